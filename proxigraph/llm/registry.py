@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", )
+NAMES = ("quality_rules", "pii")
 
 
 def modules() -> list:
