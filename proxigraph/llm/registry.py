@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", "pii")
+NAMES = ("quality_rules", "pii", "simhash")
 
 
 def modules() -> list:
