@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", "pii", "chat", "mixing", "simhash")
+NAMES = ("quality_rules", "pii", "chat", "warc", "mixing", "simhash")
 
 
 def modules() -> list:
