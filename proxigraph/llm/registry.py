@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", "pii", "chat", "warc", "quality_classifier", "mixing", "simhash")
+NAMES = ("quality_rules", "pii", "chat", "warc", "quality_classifier", "mixing", "simhash", "embedding_dedup")
 
 
 def modules() -> list:
