@@ -4,8 +4,8 @@ A term t near an entity c discloses it as far as PMI(c; t) reaches c's whole inf
 reveal = log2(p(c|t) / p(c)) / log2(1 / p(c)), with probabilities from co-occurrence in the
 corpus. From ``generalise_at`` on a term is generalised, from ``remove_at`` on removed.
 
-Counts go over all documents, distinct texts once each, so copies of one page are not taken
-for evidence. Contexts are a fixed number of characters around an entity: rows grow with the
+Counts go over all documents; a term must stand near the entity in several distinct texts, so
+copies of one page are not taken for evidence. Contexts are a fixed number of characters around an entity: rows grow with the
 number of entities found, never with pairs of terms.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -141,28 +142,36 @@ def _bloom(terms: DataFrame) -> bytes:
 
 
 def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    """(term, n_t): in how many distinct texts each candidate term occurs, over all documents."""
+    """(term, n_t): in how many documents each candidate term occurs, over all documents.
+
+    Tasks count for themselves, so what is shuffled is a row per task and candidate."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(cand))
     mask = (1 << BLOOM_BITS) - 1
 
-    def run(b: pa.RecordBatch) -> dict:
-        bits, term, th = shared.value, [], []
+    def run(batches):
+        bits = shared.value
         known: dict[str, bool] = {}
-        for t, h in zip(texts(b["text"]), b["th"].to_pylist(), strict=True):
-            for w in set(_TERM.findall(t.lower())):
-                hit = known.get(w)
-                if hit is None:
-                    x = xxhash.xxh64_intdigest(w.encode(), 42) & mask
-                    known[w] = hit = bool(bits[x >> 3] >> (x & 7) & 1)
-                if hit:
-                    term.append(w)
-                    th.append(h)
-        return {"term": term, "th": th}
-
-    seen = map_arrow(docs, run, "term string, th long").join(cand.select("term").distinct(), "term", "left_semi")
-    return seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+        counts: Counter = Counter()
+        for b in batches:
+            for t in texts(b["text"]):
+                for w in set(_TERM.findall(t.lower())):
+                    hit = known.get(w)
+                    if hit is None:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        x = xxhash.xxh64_intdigest(w.encode(), 42) & mask
+                        known[w] = hit = bool(bits[x >> 3] >> (x & 7) & 1)
+                    if hit:
+                        counts[w] += 1
+            if len(counts) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+
+    seen = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return seen.join(cand.select("term").distinct(), "term", "left_semi")
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: int = CONTEXT, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
@@ -177,10 +186,11 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: i
     found = materialize(map_arrow(src, _scan(context), _FOUND), "pii-found")
     near = found.filter(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
     n_all = found.count()
-    n_ct = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= min_texts)
+    by_text = near.groupBy("entity", "term", "th").agg(F.count_distinct("doc_id").alias("docs"))
+    n_ct = by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("n_ct")).filter(F.col("texts") >= min_texts)
     cand = materialize(n_ct, "pii-candidates")
-    n_c = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n_t = _counted(src.select("text", "th"), cand)
+    n_c = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    n_t = _counted(src, cand)
     pc = F.col("n_c") / F.lit(float(max(n_all, 1)))
     reveal = F.log2((F.col("n_ct") / F.col("n_t")) / pc) / -F.log2(pc)
     told = cand.join(n_c, "entity").join(n_t, "term").filter(pc < 1).select("entity", "term", reveal.alias("reveal")).filter(F.col("reveal") >= GENERALISE_AT)
