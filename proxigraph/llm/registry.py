@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", "pii", "chat", "warc", "quality_classifier", "mixing", "simhash", "embedding_dedup")
+NAMES = ("quality_rules", "pii", "chat", "warc", "quality_classifier", "mixing", "simhash", "suffix_dedup", "embedding_dedup")
 
 
 def modules() -> list:
