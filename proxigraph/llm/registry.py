@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("quality_rules", "pii", "chat", "warc", "quality_classifier", "mixing", "simhash", "suffix_dedup", "embedding_dedup")
+NAMES = ("sentencepiece", "pii", "chat", "warc", "quality_rules", "quality_classifier", "mixing", "simhash", "suffix_dedup", "embedding_dedup")
 
 
 def modules() -> list:
-    return [importlib.import_module(f"proxigraph.llm.{n}") for n in NAMES]
+    return [*(importlib.import_module(f"proxigraph.llm.{n}") for n in NAMES), importlib.import_module("corpus_pipeline")]
