@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from proxigraph.plans.shared import fresh_path, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SHARD_ROWS = 16384
+SHARD_ROWS = 8192
 MASK = 62  # characters of a chunk whose boundaries fit a long
 LONG = 256  # longer chunks are cut wherever no piece joins two characters
 
@@ -228,13 +228,19 @@ def fold_long(chunk: str, pieces: Pieces) -> list[tuple[int, int, int]]:
     return out
 
 
+_START, _END, _RANK = 26, 20, 32  # bits of a packed edge: rank, start, end, id
+_ID_MASK = (1 << _END) - 1
+
+
 def _merge_fold(edges: Column, n: Column) -> tuple:
-    """The mask of boundaries that the merges leave, and a function from it to the pieces: edges are taken once by rank, then start; one is merged when
-    its ends are boundaries and just one boundary lies between. Boundaries are bits of a long."""
+    """The mask of boundaries that the merges leave, and a function from it to the pieces: edges
+    are taken once by rank, then start; one is merged when its ends are boundaries and just one
+    boundary lies between. Boundaries are bits of a long; edges are longs too, so sorting them
+    is sorting numbers."""
     shifted = lambda x, i: F.call_function("shiftleft", F.lit(x).cast("long"), i)
-    bit = lambda i: shifted(1, i)
-    inside = lambda x: bit(x["e"]) - bit(x["s"] + 1)
-    ends = lambda m, x: F.getbit(m, x["s"]).cast("int") + F.getbit(m, x["e"]).cast("int") == 2
+    field = lambda x, k: F.shiftright(x, k).bitwiseAND(63).cast("int")
+    inside = lambda x: shifted(1, field(x, _END)) - shifted(2, field(x, _START))
+    ends = lambda m, x: (F.getbit(m, field(x, _START)) == 1) & (F.getbit(m, field(x, _END)) == 1)
     mask = F.aggregate(edges, F.bitwise_not(shifted(-1, n + 1)), lambda m, x: F.when(ends(m, x) & (F.bit_count(m.bitwiseAND(inside(x))) == 1), m.bitwiseAND(F.bitwise_not(inside(x)))).otherwise(m))
     return mask, lambda m: F.filter(edges, lambda x: ends(m, x) & (m.bitwiseAND(inside(x)) == 0))
 
@@ -267,20 +273,52 @@ def encode_chunks(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) ->
     """
     spark = words.sparkSession
     rows = [(p, i, -float(pieces.score[p]), p in pieces.odd) for p, i in pieces.ids.items() if len(p) > 1 or not pieces.bpe]
-    lookup = spark.createDataFrame(rows or [("", -1, 0.0, False)], "piece string, id int, cost double, odd boolean")
+    if pieces.bpe:
+        rank = {c: k for k, c in enumerate(sorted({r[2] for r in rows}))}
+        rows = [(p, (rank[c] << _RANK) | i, c, odd) for p, i, c, odd in rows]
+    lookup = spark.createDataFrame(rows or [("", -1, 0.0, False)], "piece string, id long, cost double, odd boolean")
     n = F.length("chunk")
     first = 2 if pieces.bpe else 1
-    places = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.when(s + first <= n, F.transform(F.sequence(F.lit(first), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("chunk"), s + 1, k).alias("piece")))).otherwise(F.array().cast("array<struct<s:int,e:int,piece:string>>"))))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), n - first), lambda s: F.transform(F.sequence(F.lit(first), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring(F.col("chunk"), s + 1, k).alias("piece")))))
     sub = words.filter(n >= first).select(*by, "chunk", F.explode(places).alias("x")).select(*by, "chunk", "x.*")
     edges = sub.join(F.broadcast(lookup), "piece")  # the vocabulary: its size is the model's
-    grouped = edges.groupBy(*by, "chunk").agg(F.collect_list(F.struct("cost", "s", "e", "id")).alias("edges"), F.max("odd").alias("odd"))
     if pieces.bpe:
-        ordered = grouped.withColumn("edges", F.sort_array("edges"))
+        packed = F.col("id").bitwiseOR(F.shiftleft(F.col("s").cast("long"), _START)).bitwiseOR(F.shiftleft((F.col("s") + F.col("k")).cast("long"), _END))
+        grouped = edges.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(packed)).alias("edges"), F.max("odd").alias("odd"))
         state, path = _merge_fold(F.col("edges"), n)
-        return ordered.withColumn("state", state).select(*by, "chunk", F.sort_array(F.transform(path(F.col("state")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id")))).alias("path"), "odd")
-    ordered = grouped.withColumn("edges", F.sort_array(F.transform("edges", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (-x["cost"]).alias("score"), x["id"].alias("id")))))
+        return grouped.withColumn("state", state).select(*by, "chunk", path(F.col("state")).alias("path"), "odd")
+    one = F.struct(F.col("s"), (F.col("s") + F.col("k")).alias("e"), (-F.col("cost")).alias("score"), F.col("id").cast("int").alias("id"))
+    ordered = edges.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(one)).alias("edges"), F.max("odd").alias("odd"))
     state, walk = _viterbi_fold(F.col("edges"), n, min(pieces.score.values(), default=0.0) - 10)
-    return ordered.withColumn("state", state).select(*by, "chunk", walk(F.col("state")).alias("path"), "odd")
+    packed = lambda x: x["id"].cast("long").bitwiseOR(F.shiftleft(x["s"].cast("long"), _START)).bitwiseOR(F.shiftleft(x["e"].cast("long"), _END))
+    return ordered.withColumn("state", state).select(*by, "chunk", F.transform(walk(F.col("state")), packed).alias("path"), "odd")
+
+
+def unpack_path(path) -> list[tuple[int, int, int]]:
+    """(start, end, id) of packed edges, by start."""
+    return sorted((x >> _START & 63, x >> _END & 63, x & _ID_MASK) for x in path)
+
+
+def chunk_lists(column: pa.Array, pieces: Pieces) -> pa.ListArray:
+    """``chunks`` of a whole column. Only texts with doubled spaces, a space in front, the space
+    sign itself, nothing at all or a very long chunk are cut one by one."""
+    text = pc.fill_null(column, "")
+    slow = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.starts_with(text, " ")), pc.or_(pc.match_substring(text, SPACE), pc.equal(text, "")))
+    t = pc.replace_substring(pc.binary_join_element_wise(SPACE, text, ""), " ", " " + SPACE)
+    if pieces.newline_cuts:
+        t = pc.replace_substring(t, "\n", " \n")
+    lists = pc.split_pattern(t, " ")
+    long = pc.greater(pc.utf8_length(lists.flatten()), LONG)
+    slow = slow.to_numpy(zero_copy_only=False).copy()
+    if pc.any(long).as_py():
+        slow[np.searchsorted(lists.offsets.to_numpy(), np.flatnonzero(long.to_numpy(zero_copy_only=False)), side="right") - 1] = True
+    if not slow.any():
+        return lists
+    rows = np.flatnonzero(slow)
+    other = pa.array([chunks(x, pieces) for x in text.take(pa.array(rows)).to_pylist()], pa.list_(pa.string()))
+    order = np.arange(len(text))
+    order[rows] = len(text) + np.arange(len(rows))
+    return pa.concat_arrays([lists, other]).take(pa.array(order))
 
 
 _ZSTD = "zstd"
@@ -295,6 +333,15 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=n, codec=_ZSTD, asbytes=True) if n else b""
 
 
+def _runs(shards: pa.Array, most: int = 1024) -> Iterator[tuple[int, int]]:
+    """(offset, length) of stretches of one shard, of at most ``most`` rows."""
+    code = shards.dictionary_encode().indices.to_numpy()
+    cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
+    for a, b in zip(cut, [*cut[1:], len(code)], strict=True):
+        for i in range(int(a), int(b), most):
+            yield i, min(most, int(b) - i)
+
+
 def _shard_file(shard: str) -> str:
     return hashlib.sha1(shard.encode()).hexdigest() + ".arrow"
 
@@ -334,31 +381,31 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
     kept = [c for c in docs.columns if c != "ids"]
     src = _sharded(docs.select(*[docs[c] for c in kept]))
     shared = spark.sparkContext.broadcast(pieces)
-    parts = max(12, min(8192, math.ceil(math.sqrt(docs.count()) / 8)))
+    parts = max(12, min(8192, math.ceil(math.sqrt(docs.count()) / 4)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         p = shared.value
 
-        def send(shard: str, words: set[str]) -> pa.RecordBatch:
+        def send(shard: str, words: pa.Array) -> pa.RecordBatch:
             deal: list[list[str]] = [[] for _ in range(parts)]
-            for w in words:
+            for w in words.to_pylist():
                 if len(w) <= LONG:
                     deal[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % parts].append(w)
             some = [(k, _pack(" ".join(sorted(d)).encode("utf-8", "surrogatepass"))) for k, d in enumerate(deal) if d]
             return pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.string()), pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["shard", "part", "chunks"])
 
-        shard, words = None, set()
-        for b in batches:
-            for s, t in zip(b["__shard"].to_pylist(), b["text"].to_pylist(), strict=True):
-                if s != shard:
-                    if words:
+        shard, words = None, pa.array([], pa.string())
+        for big in batches:
+            for at in _runs(big["__shard"]):
+                b = big.slice(*at)
+                if (name := b["__shard"][0].as_py()) != shard:
+                    if len(words):
                         yield send(shard, words)
-                    shard, words = s, set()
-                if t:
-                    words.update(chunks(t, p))
-        if words:
+                    shard, words = name, pa.array([], pa.string())
+                words = pc.unique(pa.concat_arrays([words, pc.unique(chunk_lists(b["text"], p).flatten())]))
+        if len(words):
             yield send(shard, words)
 
     asked = materialize(src.select("__shard", F.col(text).alias("text")).mapInArrow(ask, "shard string, part int, chunks binary"), "sp-asked")
@@ -394,7 +441,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
                 got = done.get(w)
                 if got is None:
                     edges, odd = path.get(w, ((), False))
-                    steps = fold_long(w, p) if odd or len(w) > MASK else [(x["s"], x["e"], x["id"]) for x in edges]
+                    steps = fold_long(w, p) if odd or len(w) > MASK else unpack_path(edges)
                     done[w] = got = _ids_of(w, steps, p)
                 all_ids.append(got)
             flat = np.array([i for x in all_ids for i in x], np.int32)
@@ -442,72 +489,48 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, (fs, root) = shared.value, _fs(folder)
-        shard, code, sizes, ids, starts = None, {}, None, None, None
+        shard, tables = None, None
 
         def open_shard(name: str):
-            words: list[str] = []
-            size_parts, id_parts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            words, sizes, ids = [pa.array([], pa.string())], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             file = f"{root}/{_shard_file(name)}"
             if fs.get_file_info(file).is_file:
                 with fs.open_input_stream(file, compression=None) as f:
                     for b in pa.ipc.open_stream(f):
                         for c, s, i in zip(*(b[k].to_pylist() for k in ("chunks", "sizes", "ids")), strict=True):
-                            words += _unpack(c).decode("utf-8", "surrogatepass").split(" ")
-                            size_parts.append(np.frombuffer(_unpack(s), np.int32))
-                            id_parts.append(np.frombuffer(_unpack(i), np.int32))
-            sizes = np.concatenate(size_parts).astype(np.int64)
-            return {w: k for k, w in enumerate(words)}, sizes, np.concatenate(id_parts), np.cumsum(sizes) - sizes
+                            words.append(pa.array(_unpack(c).decode("utf-8", "surrogatepass").split(" "), pa.string()))
+                            sizes.append(np.frombuffer(_unpack(s), np.int32))
+                            ids.append(np.frombuffer(_unpack(i), np.int32))
+            n = np.concatenate(sizes).astype(np.int64)
+            return pa.concat_arrays(words), n, np.concatenate(ids), np.cumsum(n) - n
 
         for big in batches:
-            for lo in range(0, big.num_rows, 512):
-                b = big.slice(lo, 512)
-                flat, counts = [], []
-                names, docs_text = b["__shard"].to_pylist(), b["__text"].to_pylist()
-                i = 0
-                while i < len(names):
-                    if names[i] != shard:
-                        shard = names[i]
-                        code, sizes, ids, starts = open_shard(shard)
-                    j, codes, n_words, extra = i, [], [], {}
-                    while j < len(names) and names[j] == shard:
-                        w = chunks(docs_text[j], p) if docs_text[j] else []
-                        try:
-                            got = list(map(code.__getitem__, w))
-                        except KeyError:  # chunks beyond LONG that nothing cuts
-                            got = []
-                            for x in w:
-                                if x not in code:
-                                    if len(x) <= LONG:
-                                        raise RuntimeError(f"no table entry for a chunk of {shard}") from None
-                                    extra[-1 - len(extra)] = _ids_of(x, fold_long(x, p), p)
-                                    got.append(-len(extra))
-                                else:
-                                    got.append(code[x])
-                        codes += got
-                        n_words.append(len(got))
-                        j += 1
-                    c = np.array(codes, np.int64)
-                    if extra:  # rare: lists
-                        at = 0
-                        for k in n_words:
-                            doc = [extra[x] if x < 0 else ids[starts[x] : starts[x] + sizes[x]].tolist() for x in codes[at : at + k]]
-                            doc = [y for x in doc for y in x]
-                            flat.append(np.array(doc, np.int32))
-                            counts.append(len(doc))
-                            at += k
-                    else:
-                        n = sizes[c] if len(c) else np.zeros(0, np.int64)
-                        ends = np.cumsum(n)
-                        total = int(ends[-1]) if len(ends) else 0
-                        where = np.arange(total) + np.repeat((starts[c] if len(c) else n) - (ends - n), n)
-                        flat.append(ids[where] if total else np.zeros(0, np.int32))
-                        at = np.r_[0, np.cumsum(n_words)]
-                        cum = np.r_[0, ends]
-                        counts += (cum[at[1:]] - cum[at[:-1]]).tolist()
-                    i = j
-                offsets = np.r_[0, np.cumsum(np.array(counts, np.int64))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], lists], names=[*kept, "ids"])
+            for at in _runs(big["__shard"]):
+                b = big.slice(*at)
+                if (name := b["__shard"][0].as_py()) != shard:
+                    shard, tables = name, None
+                    tables = open_shard(name)
+                words, sizes, ids, starts = tables
+                lists = chunk_lists(b["__text"], p)
+                values, per_doc = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.index_in(values, value_set=words)
+                if found.null_count:  # chunks beyond LONG that nothing cuts: encoded here
+                    extra = [_ids_of(w, fold_long(w, p), p) if len(w) > LONG else None for w in values.filter(found.is_null()).to_pylist()]
+                    if None in extra:
+                        raise RuntimeError(f"no table entry for a chunk of {shard}")
+                    code = found.to_numpy(zero_copy_only=False)
+                    code = np.where(np.isnan(code), len(sizes) + np.cumsum(np.isnan(code)) - 1, code).astype(np.int64)
+                    sizes = np.r_[sizes, [len(x) for x in extra]].astype(np.int64)
+                    ids = np.r_[ids, [i for x in extra for i in x]].astype(np.int32)
+                    starts = np.cumsum(sizes) - sizes
+                else:
+                    code = found.to_numpy(zero_copy_only=False).astype(np.int64)
+                n = sizes[code]
+                ends = np.cumsum(n)
+                where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[code] - (ends - n), n)
+                offsets = np.r_[0, ends][np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[where]))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], out], names=[*kept, "ids"])
 
     out_schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
     return src.select(*kept, "__shard", F.col(text).alias("__text")).mapInArrow(apply, out_schema)
@@ -548,7 +571,7 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", model: s
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    size = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return col.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)]
 
 

@@ -48,7 +48,7 @@ def test_replay_heap_and_mask_agree(spark):
     base = {"a": -9.0, "b": -8.0, "c": -7.0, "ab": -1.0, "bc": -2.0, "abc": -3.0, "ca": -4.0, "cab": -5.0, "aa": -6.0}
     p = sp.make({k: i for i, k in enumerate(base)}, base, (-1,) * 256, 99, tuple(k.encode() for k in base), bpe=True)
     words = ["".join(r.choices("abcx", k=r.randint(1, 20))) for _ in range(300)]
-    got = {x.chunk: [tuple(e) for e in x.path] for x in sp.encode_chunks(spark.createDataFrame([(w,) for w in set(words)], "chunk string"), p).filter("not odd").collect()}
+    got = {x.chunk: sp.unpack_path(x.path) for x in sp.encode_chunks(spark.createDataFrame([(w,) for w in set(words)], "chunk string"), p).filter("not odd").collect()}
     for w in set(words):
         cut = set(range(len(w) + 1))
         for _, s, e in sp.replay(w, {k: v for k, v in base.items() if k in p.ids}):
@@ -65,7 +65,7 @@ def test_viterbi_matches_brute_force(spark):
     p = sp.make({k: i for i, k in enumerate(score)}, score, (-1,) * 256, 99, (), bpe=False)
     low = min(score.values()) - 10
     words = {"".join(r.choices("abx", k=r.randint(1, 9))) for _ in range(80)}
-    got = {x.chunk: [tuple(e) for e in x.path] for x in sp.encode_chunks(spark.createDataFrame([(w,) for w in words], "chunk string"), p).collect()}
+    got = {x.chunk: sp.unpack_path(x.path) for x in sp.encode_chunks(spark.createDataFrame([(w,) for w in words], "chunk string"), p).collect()}
     for w in words:
         best, path = -math.inf, None
         for cuts in itertools.product([0, 1], repeat=len(w) - 1):
