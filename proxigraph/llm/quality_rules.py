@@ -90,12 +90,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size(w).cast("long")
     per_word = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
     n_lines, n_chars = F.size(ls), F.length(squeezed)
-    return work.select(*[F.col(f"`{c}`") for c in kept], F.struct(
+    # A filter on the metrics must not be pushed below the steps: it would compute them for every array
+    # element. The condition always holds, but is not deterministic, so no filter passes it.
+    barrier = F.monotonically_increasing_id() >= 0
+    return work.select(*[F.col(f"`{c}`") for c in kept], F.when(barrier, F.struct(
         n.alias("n_words"), n_chars.cast("long").alias("word_chars"), F.col(n_symbols).cast("long").alias("n_symbols"),
         n_dup.cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"), n_lines.cast("long").alias("n_lines"), F.col(n_stop).cast("long").alias("n_stop_words"),
         per_word(n_chars).alias("mean_word_chars"), per_word(F.col(n_symbols)).alias("symbol_ratio"), per_word(F.col(n_stop)).alias("stop_word_ratio"),
         F.when(n_lines > 0, n_dup / n_lines).otherwise(F.lit(0.0)).alias("duplicate_line_ratio"),
-    ).alias("rule_metrics"))
+    )).alias("rule_metrics"))
 
 
 def compile_rules(rules=RULES, of: str = "rule_metrics") -> Column:
