@@ -27,3 +27,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str |
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, beside the JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

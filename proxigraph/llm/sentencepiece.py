@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from proxigraph.llm.arrow import trim
 from proxigraph.plans.session import table
 from proxigraph.plans.shared import fresh_path, materialize
 
@@ -403,29 +404,33 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
                 if (name := b["__shard"][0].as_py()) != shard:
                     if len(words):
                         yield send(shard, words)
+                        trim()
                     shard, words = name, pa.array([], pa.string())
                 words = pc.unique(pa.concat_arrays([words, pc.unique(chunk_lists(b["text"], p).flatten())]))
         if len(words):
             yield send(shard, words)
+        trim()
 
     asked = materialize(src.select("__shard", F.col(text).alias("text")).mapInArrow(ask, "shard string, part int, chunks binary"), "sp-asked")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, str]] = set()  # chunks that this task has sent lately
+        seen: set[str] = set()  # chunks that this task has sent lately
         for b in batches:
             part, word = [], []
             for k, blob in zip(b["part"].to_pylist(), b["chunks"].to_pylist(), strict=True):
                 for w in _unpack(blob).decode("utf-8", "surrogatepass").split(" "):
-                    if len(w) <= MASK and (k, w) not in seen:
-                        seen.add((k, w))
+                    if len(w) <= MASK and w not in seen:
+                        seen.add(w)
                         part.append(k)
                         word.append(w)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
-                if len(part) > 100_000:
+                if len(part) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
                     part, word = [], []
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
+        seen.clear()
+        trim()
 
     words = asked.select("part", "chunks").mapInArrow(spell, "part int, chunk string").repartition("part").dropDuplicates(["part", "chunk"])
     paths = encode_chunks(words, pieces, ("part",))
@@ -447,7 +452,10 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
             flat = np.array([i for x in all_ids for i in x], np.int32)
             for k, v in zip(out, (shard, blob, _pack(np.array([len(x) for x in all_ids], np.int32).tobytes()), _pack(flat.tobytes())), strict=True):
                 out[k].append(v)
-        return pa.table({k: pa.array(v, pa.string() if k == "shard" else pa.binary()) for k, v in out.items()})
+        made = pa.table({k: pa.array(v, pa.string() if k == "shard" else pa.binary()) for k, v in out.items()})
+        del path, done, out
+        trim()
+        return made
 
     schema = "shard string, chunks binary, sizes binary, ids binary"
     answers = asked.groupBy("part").cogroup(paths.groupBy("part")).applyInArrow(answer, schema)
