@@ -1,0 +1,329 @@
+"""Kernels for small hard problems: plain Python on one connected component at a time.
+
+A component is one group of ``applyInPandas``. Components above ``most`` edges are refused by
+name rather than cut: these problems have no distributed form with the same answer.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from proxigraph.operators.iterative import connected
+from proxigraph.plans.graph import Graph, user_seq
+from proxigraph.plans.shared import materialize
+
+MOST_EDGES = 200_000
+MOST_CLIQUES = 100_000
+EXACT_VERTICES = 30
+
+
+def adjacency(pdf: pd.DataFrame) -> dict[str, dict[str, float]]:
+    adj: dict[str, dict[str, float]] = {}
+    for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
+        adj.setdefault(a, {})[b] = w
+        adj.setdefault(b, {})[a] = w
+    return {v: adj[v] for v in sorted(adj)}
+
+
+def per_component(g: Graph, kernel: Callable[[dict], list[tuple]], schema: str, most: int = MOST_EDGES) -> DataFrame:
+    """``kernel`` maps the adjacency of a component with edges to rows of ``schema``."""
+    c = connected(g).withColumnRenamed("id", "src")
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"the component of {pdf['component'].iloc[0]} has more than {most} edges")
+        return pd.DataFrame(kernel(adjacency(pdf)), columns=names)
+
+    return g.edges.join(c, "src").select("component", "src", "dst", "weight").groupBy("component").applyInPandas(run, schema)
+
+
+def betweenness(adj: dict) -> list[tuple]:
+    """Brandes; halved, not normalised."""
+    score = dict.fromkeys(adj, 0.0)
+    for s in adj:
+        order, parents, paths, dist = [], {v: [] for v in adj}, dict.fromkeys(adj, 0), {s: 0}
+        paths[s] = 1
+        todo = deque([s])
+        while todo:
+            v = todo.popleft()
+            order.append(v)
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+                    parents[w].append(v)
+        part = dict.fromkeys(adj, 0.0)
+        for w in reversed(order):
+            for v in parents[w]:
+                part[v] += paths[v] / paths[w] * (1 + part[w])
+            if w != s:
+                score[w] += part[w]
+    return [(v, x / 2) for v, x in score.items()]
+
+
+def cut_points(adj: dict) -> list[tuple]:
+    """(kind, a, b): bridges and articulation points by one depth-first pass without recursion."""
+    seen, low, out, count = {}, {}, [], 0
+    for root in adj:
+        if root in seen:
+            continue
+        seen[root] = low[root] = count
+        count += 1
+        stack, kids, cuts = [(root, None, iter(adj[root]))], 0, set()
+        while stack:
+            v, up, it = stack[-1]
+            w = next(it, None)
+            if w is None:
+                stack.pop()
+                if stack:
+                    p = stack[-1][0]
+                    low[p] = min(low[p], low[v])
+                    if low[v] > seen[p]:
+                        out.append(("bridge", min(p, v), max(p, v)))
+                    if p != root and low[v] >= seen[p]:
+                        cuts.add(p)
+            elif w not in seen:
+                seen[w] = low[w] = count
+                count += 1
+                kids += v == root
+                stack.append((w, v, iter(adj[w])))
+            elif w != up:
+                low[v] = min(low[v], seen[w])
+        if kids > 1:
+            cuts.add(root)
+        out += [("articulation", v, None) for v in sorted(cuts)]
+    return out
+
+
+def louvain(adj: dict, resolution: float = 1.0) -> list[tuple]:
+    """Communities by local moves and aggregation, vertices in order of id; weight 0 counts as 1."""
+    part = {v: v for v in adj}
+    now = {v: {u: (w or 1.0) for u, w in n.items()} for v, n in adj.items()}
+    loops = dict.fromkeys(now, 0.0)
+    while True:
+        k = {v: sum(n.values()) + 2 * loops[v] for v, n in now.items()}
+        m2 = sum(k.values()) or 1.0
+        home, total, moved = {v: v for v in now}, dict(k), True
+        any_move = False
+        while moved:
+            moved = False
+            for v in now:
+                near: dict = {}
+                for u, w in now[v].items():
+                    near[home[u]] = near.get(home[u], 0.0) + w
+                old = home[v]
+                total[old] -= k[v]
+                best, gain = old, near.get(old, 0.0) - resolution * k[v] * total[old] / m2
+                for c in sorted(near):
+                    x = near[c] - resolution * k[v] * total[c] / m2
+                    if x > gain + 1e-12:
+                        best, gain = c, x
+                total[best] = total.get(best, 0.0) + k[v]
+                if best != old:
+                    home[v], moved, any_move = best, True, True
+        part = {v: home[c] for v, c in part.items()}
+        if not any_move:
+            return sorted(part.items())
+        new: dict = {c: {} for c in sorted(set(home.values()))}
+        inner = dict.fromkeys(new, 0.0)
+        for v, n in now.items():
+            inner[home[v]] += loops[v]
+            for u, w in n.items():
+                if home[u] == home[v]:
+                    inner[home[v]] += w / 2
+                else:
+                    new[home[v]][home[u]] = new[home[v]].get(home[u], 0.0) + w
+        now, loops = new, inner
+
+
+def cliques(adj: dict) -> list[tuple]:
+    """Maximal cliques (members, size), at most MOST_CLIQUES; Bron-Kerbosch with pivots, no recursion."""
+    n = {v: set(x) for v, x in adj.items()}
+    out, stack = [], [([], set(n), set())]
+    while stack and len(out) < MOST_CLIQUES:
+        r, p, x = stack.pop()
+        if not p and not x:
+            out.append((",".join(sorted(r)), len(r)))
+            continue
+        pivot = max(p | x, key=lambda v: (len(n[v] & p), v))
+        for v in sorted(p - n[pivot]):
+            stack.append(([*r, v], p & n[v], x & n[v]))
+            p = p - {v}
+            x = x | {v}
+    return out
+
+
+def colouring(adj: dict) -> list[tuple]:
+    """DSATUR: the vertex that sees most colours next; ties by degree, then id."""
+    colour: dict = {}
+    sees: dict = {v: set() for v in adj}
+    while len(colour) < len(adj):
+        v = max((u for u in adj if u not in colour), key=lambda u: (len(sees[u]), len(adj[u]), [-ord(c) for c in u]))
+        colour[v] = next(c for c in range(len(adj)) if c not in sees[v])
+        for u in adj[v]:
+            sees[u].add(colour[v])
+    return sorted(colour.items())
+
+
+def independent_set(adj: dict) -> list[tuple]:
+    """Greedy by least remaining degree."""
+    left, out = {v: set(n) for v, n in adj.items()}, []
+    while left:
+        v = min(left, key=lambda u: (len(left[u]), u))
+        out.append((v,))
+        gone = left[v] | {v}
+        for u in gone:
+            for w in left.pop(u, ()):
+                if w in left:
+                    left[w].discard(u)
+    return out
+
+
+def vertex_cover(adj: dict) -> list[tuple]:
+    """Both ends of a maximal matching: at most twice the least cover."""
+    out: set = set()
+    for v in adj:
+        for u in sorted(adj[v]):
+            if v not in out and u not in out:
+                out |= {u, v}
+    return [(v,) for v in sorted(out)]
+
+
+def dominating_set(adj: dict) -> list[tuple]:
+    """Greedy by most vertices newly dominated."""
+    left, out = set(adj), []
+    while left:
+        v = max(adj, key=lambda u: (len(left & (set(adj[u]) | {u})), [-ord(c) for c in u]))
+        out.append((v,))
+        left -= set(adj[v]) | {v}
+    return out
+
+
+def max_flow(source: str, sink: str):
+    """Edmonds-Karp: (value, cut): an undirected edge is two arcs of its weight; the cut's edges."""
+
+    def run(adj: dict) -> list[tuple]:
+        if source not in adj or sink not in adj:
+            return []
+        rest = {v: dict(n) for v, n in adj.items()}
+        value = 0.0
+        while True:
+            up, todo = {source: None}, deque([source])
+            while todo and sink not in up:
+                v = todo.popleft()
+                for u, c in rest[v].items():
+                    if c > 1e-12 and u not in up:
+                        up[u] = v
+                        todo.append(u)
+            if sink not in up:
+                cut = sorted(f"{v}-{u}" for v in up for u in adj[v] if u not in up)
+                return [(value, ",".join(cut))]
+            path, v = [], sink
+            while up[v] is not None:
+                path.append((up[v], v))
+                v = up[v]
+            f = min(rest[a][b] for a, b in path)
+            for a, b in path:
+                rest[a][b] -= f
+                rest[b][a] = rest[b].get(a, 0.0) + f
+            value += f
+
+    return run
+
+
+def matching(adj: dict) -> list[tuple]:
+    """Maximum matching of a bipartite component by augmenting paths; nothing for others."""
+    side, todo = {}, deque()
+    for root in adj:
+        if root not in side:
+            side[root] = 0
+            todo.append(root)
+        while todo:
+            v = todo.popleft()
+            for u in adj[v]:
+                if u not in side:
+                    side[u] = 1 - side[v]
+                    todo.append(u)
+                elif side[u] == side[v]:
+                    return []
+    mate: dict = {}
+    for s in (v for v in adj if side[v] == 0):
+        up, todo, end = {s: None}, deque([s]), None
+        while todo and end is None:
+            v = todo.popleft()
+            for u in sorted(adj[v]):
+                if u not in up:
+                    up[u] = v
+                    if u not in mate:
+                        end = u
+                        break
+                    up[mate[u]] = u
+                    todo.append(mate[u])
+        while end is not None:
+            v = up[end]
+            nxt = mate.get(v)
+            mate[v], mate[end] = end, v
+            end = nxt
+    return [(v, mate[v]) for v in adj if side[v] == 0 and v in mate]
+
+
+def spectrum(adj: dict) -> list[tuple]:
+    """Laplacian and adjacency eigenvalues, ascending."""
+    at = {v: i for i, v in enumerate(adj)}
+    a = np.zeros((len(at), len(at)))
+    for v, n in adj.items():
+        for u in n:
+            a[at[v], at[u]] = 1
+    low, adjacent = np.linalg.eigvalsh(np.diag(a.sum(1)) - a), np.linalg.eigvalsh(a)
+    return [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(low, adjacent, strict=True))]
+
+
+KERNELS = {
+    "betweenness": (betweenness, "id string, betweenness double"),
+    "bridges_articulation": (cut_points, "kind string, a string, b string"),
+    "louvain": (louvain, "id string, community string"),
+    "cliques": (cliques, "members string, size int"),
+    "colouring": (colouring, "id string, colour int"),
+    "independent_set": (independent_set, "id string"),
+    "vertex_cover": (vertex_cover, "id string"),
+    "dominating_set": (dominating_set, "id string"),
+    "max_flow": (max_flow("u1", "u2"), "value double, cut string"),
+    "bipartite_matching": (matching, "a string, b string"),
+    "spectrum": (spectrum, "i int, laplacian double, adjacency double"),
+}
+
+
+def simulate_cascade(g: Graph, seeds: list[str], p: float = 0.1, trials: int = 100, seed: int = 7) -> DataFrame:
+    """(trial, infected): independent cascades. Whether an edge carries in a trial is a hash of both,
+    so every trial is a fixed subgraph and all trials spread in the same joins."""
+    spark = g.edges.sparkSession
+    t = spark.range(trials).select(F.col("id").alias("trial"))
+    hit = F.pmod(F.xxhash64("trial", "src", "dst", F.lit(seed)), F.lit(1_000_000)) < int(p * 1_000_000)
+    live = t.join(g.edges.select("src", "dst")).filter(hit)  # trials are few; each keeps a share p of the edges
+    links = live.select("trial", F.col("src").alias("v"), F.col("dst").alias("u")).unionByName(live.select("trial", F.col("dst").alias("v"), F.col("src").alias("u")))
+    links = materialize(links, "cascade")
+    seen = t.join(g.vertices.filter(F.col("id").isin(seeds))).select("trial", "id", F.lit(0).alias("h"))
+    h = 0
+    while True:
+        nxt = seen.filter(F.col("h") == h).join(links, (links["v"] == F.col("id")) & (links["trial"] == seen["trial"])).select(links["trial"], F.col("u").alias("id")).distinct()
+        new = materialize(nxt.join(seen.select("trial", "id"), ["trial", "id"], "left_anti").withColumn("h", F.lit(h + 1)), "cascade-new")
+        if new.isEmpty():
+            return seen.groupBy("trial").agg(F.count("*").alias("infected"))
+        seen, h = materialize(seen.unionByName(new), "cascade-seen"), h + 1
+
+
+
+QUERIES = {
+    **{k: (lambda s, d, k=k: per_component(user_seq(s, d), *KERNELS[k])) for k in KERNELS},
+    "ic_spread": lambda s, d: simulate_cascade(user_seq(s, d), ["u1", "u2"], trials=20),
+}
+SQL: dict[str, str] = {}
