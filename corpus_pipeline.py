@@ -33,8 +33,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces."""
-    out = sentencepiece.encode(docs)
-    return out.select("doc_id", "lang", "source", "text", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    out = sentencepiece.encode(docs, keep=["doc_id", "lang", "source"])
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality_rules", rules), ("simhash", near_duplicates), ("pii", personal_data), ("mixing", mixture), ("sentencepiece", tokens)]

@@ -334,7 +334,7 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=n, codec=_ZSTD, asbytes=True) if n else b""
 
 
-def _runs(shards: pa.Array, most: int = 1024) -> Iterator[tuple[int, int]]:
+def _runs(shards: pa.Array, most: int = 512) -> Iterator[tuple[int, int]]:
     """(offset, length) of stretches of one shard, of at most ``most`` rows."""
     code = shards.dictionary_encode().indices.to_numpy()
     cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
@@ -372,15 +372,17 @@ def _place() -> Column:
     return F.concat_ws("#", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SHARD_ROWS))
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>): what SentencePiece gives for each whole text.
 
-    Null and empty texts have no ids. Rows, their other columns and repeated rows stay.
+    Null and empty texts have no ids. Rows, their other columns (or only ``keep``) and repeated
+    rows stay. ``digest`` adds decoded_sha256, of the text that the ids decode to, in the same pass.
     """
     pieces = load(model) if isinstance(model, str) else model
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c != "ids"]
-    src = _sharded(docs.select(*[docs[c] for c in kept]))
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "ids" and not (digest and c == "decoded_sha256")]
+    read = [*kept, text] if text not in kept else kept
+    src = _sharded(docs.select(*[docs[c] for c in read]))
     shared = spark.sparkContext.broadcast(pieces)
     parts = max(12, min(8192, math.ceil(math.sqrt(docs.count()) / 4)))
 
@@ -495,6 +497,8 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
 
     answers.repartition("shard").sortWithinPartitions("shard").mapInArrow(store, "shard string").agg(F.count("*")).collect()
 
+    at_text = read.index(text)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, (fs, root) = shared.value, _fs(folder)
         shard, tables = None, None
@@ -519,7 +523,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
                     shard, tables = name, None
                     tables = open_shard(name)
                 words, sizes, ids, starts = tables
-                lists = chunk_lists(b["__text"], p)
+                lists = chunk_lists(b.column(at_text), p)
                 values, per_doc = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
                 found = pc.index_in(values, value_set=words)
                 if found.null_count:  # chunks beyond LONG that nothing cuts: encoded here
@@ -537,11 +541,17 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL) ->
                 ends = np.cumsum(n)
                 where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[code] - (ends - n), n)
                 offsets = np.r_[0, ends][np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
-                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[where]))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], out], names=[*kept, "ids"])
+                flat = ids[where]
+                out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if digest:
+                    out.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(flat, offsets, p)]))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *out], names=names)
+        tables = None
+        trim()
 
+    names = [*kept, "ids"] + ["decoded_sha256"] * digest
     out_schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
-    return src.select(*kept, "__shard", F.col(text).alias("__text")).mapInArrow(apply, out_schema)
+    return src.select(*read, "__shard").mapInArrow(apply, out_schema.add("decoded_sha256", "string") if digest else out_schema)
 
 
 def decode_ids(flat: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> list[str]:
@@ -584,8 +594,8 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return decode(got).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    got = encode(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 QUERIES = {"op1_sentencepiece": op1_sentencepiece}

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -30,13 +31,13 @@ def test_ids_match_the_library_and_round_trip(spark, tmp_path, stored):
     schema = "doc_id long, text string, chunk string, part int"
     docs = write(spark, tmp_path, rows, schema) if stored else spark.createDataFrame(rows, schema)
     lib = library.SentencePieceProcessor(model_file=sp.MODEL)
-    got = sp.decode(sp.encode(docs)).collect()
+    got = sp.decode(sp.encode(docs, digest=True)).collect()
     assert len(got) == len(rows)
     for r in got:
         t = rows[r.doc_id][1] or ""
         assert r.ids == lib.encode(t), t[:80]
         assert r.decoded == t.replace("▁", " ")
-        assert r.chunk == "clash"
+        assert r.chunk == "clash" and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
 def test_empty_table(spark):
