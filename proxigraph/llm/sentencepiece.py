@@ -416,27 +416,28 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
     asked = materialize(src.select("__shard", F.col(text).alias("text")).mapInArrow(ask, "shard string, part int, chunks binary"), "sp-asked")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()  # chunks that this task has sent lately
+        at, seen = -1, set()  # blobs come by part, so a task sends each chunk once
         for b in batches:
             part, word = [], []
             for k, blob in zip(b["part"].to_pylist(), b["chunks"].to_pylist(), strict=True):
-                for w in _unpack(blob).decode("utf-8", "surrogatepass").split(" "):
-                    if len(w) <= MASK and w not in seen:
-                        seen.add(w)
-                        part.append(k)
-                        word.append(w)
-                if len(seen) > 200_000:
-                    seen.clear()
+                if k != at:
+                    at, seen = k, set()
+                new = [w for w in _unpack(blob).decode("utf-8", "surrogatepass").split(" ") if len(w) <= MASK and w not in seen]
+                seen.update(new)
+                word += new
+                part += [k] * len(new)
                 if len(part) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
                     part, word = [], []
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
-        seen.clear()
+        seen = set()
         trim()
 
-    words = asked.select("part", "chunks").mapInArrow(spell, "part int, chunk string").repartition("part").dropDuplicates(["part", "chunk"])
+    words = asked.select("part", "chunks").sortWithinPartitions("part").mapInArrow(spell, "part int, chunk string").repartition("part").dropDuplicates(["part", "chunk"])
     paths = encode_chunks(words, pieces, ("part",))
 
+    wide = np.uint16 if len(pieces.text) < 1 << 16 else np.int32  # ids in the tables of chunks
+
     def answer(asked_t: pa.Table, paths_t: pa.Table) -> pa.Table:
         p = shared.value
         path = dict(zip(paths_t["chunk"].to_pylist(), zip(paths_t["path"].to_pylist(), paths_t["odd"].to_pylist(), strict=True), strict=True))
@@ -451,8 +452,8 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
                     steps = fold_long(w, p) if odd or len(w) > MASK else unpack_path(edges)
                     done[w] = got = _ids_of(w, steps, p)
                 all_ids.append(got)
-            flat = np.array([i for x in all_ids for i in x], np.int32)
-            for k, v in zip(out, (shard, blob, _pack(np.array([len(x) for x in all_ids], np.int32).tobytes()), _pack(flat.tobytes())), strict=True):
+            flat = np.array([i for x in all_ids for i in x], wide)
+            for k, v in zip(out, (shard, blob, _pack(np.array([len(x) for x in all_ids], np.uint16).tobytes()), _pack(flat.tobytes())), strict=True):
                 out[k].append(v)
         made = pa.table({k: pa.array(v, pa.string() if k == "shard" else pa.binary()) for k, v in out.items()})
         del path, done, out
@@ -504,17 +505,17 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
         shard, tables = None, None
 
         def open_shard(name: str):
-            words, sizes, ids = [pa.array([], pa.string())], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            words, sizes, ids = [pa.array([], pa.string())], [np.zeros(0, np.uint16)], [np.zeros(0, wide)]
             file = f"{root}/{_shard_file(name)}"
             if fs.get_file_info(file).is_file:
                 with fs.open_input_stream(file, compression=None) as f:
                     for b in pa.ipc.open_stream(f):
                         for c, s, i in zip(*(b[k].to_pylist() for k in ("chunks", "sizes", "ids")), strict=True):
                             words.append(pa.array(_unpack(c).decode("utf-8", "surrogatepass").split(" "), pa.string()))
-                            sizes.append(np.frombuffer(_unpack(s), np.int32))
-                            ids.append(np.frombuffer(_unpack(i), np.int32))
+                            sizes.append(np.frombuffer(_unpack(s), np.uint16))
+                            ids.append(np.frombuffer(_unpack(i), wide))
             n = np.concatenate(sizes).astype(np.int64)
-            return pa.concat_arrays(words), n, np.concatenate(ids), np.cumsum(n) - n
+            return pa.concat_arrays(words), n, np.concatenate(ids).astype(np.int32), np.cumsum(n) - n
 
         for big in batches:
             for at in _runs(big["__shard"]):
