@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and terms that disclose the entities which those find.
 
-A term t near an entity c discloses it as far as PMI(c; t) reaches c's whole information:
-reveal = log2(p(c|t) / p(c)) / log2(1 / p(c)), with probabilities from co-occurrence in the
-corpus. From ``generalise_at`` on a term is generalised, from ``remove_at`` on removed.
-
-Counts go over all documents; a term must stand near the entity in several distinct texts, so
-copies of one page are not taken for evidence. Contexts are a fixed number of characters around an entity: rows grow with the
-number of entities found, never with pairs of terms.
+A term t in a document with an entity c discloses it as far as PMI(c; t) reaches c's whole
+information: reveal = log2(p(c|t) / p(c)) / log2(1 / p(c)), with probabilities from
+co-occurrence in whole documents. From ``GENERALISE_AT`` on a term is generalised, from
+``REMOVE_AT`` on removed, wherever it stands in a document that holds the entity.
+
+Counts go over all documents, and entities of one document are judged like any other. Of
+entities that stand in the same texts only one is counted, as all their counts are equal: rows
+grow with the terms of documents that hold entities, never with pairs of terms.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,8 @@ from proxigraph.plans.session import table
 from proxigraph.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 160  # code points on either side of an entity
-MIN_TEXTS = 3  # distinct texts in which an entity, and a term near it, must occur to be judged
 GENERALISE_AT, REMOVE_AT = 0.85, 0.97
-BLOOM_BITS = 23  # the filter of candidate terms has a fixed size: 1 MB
+BLOOM_BITS = 26  # the filter of candidate terms has a fixed size: 8 MB
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Possessive runs: each pattern is linear in the text and matches what its plain form matches.
@@ -86,59 +86,46 @@ def _entity(t: str, a: int, k: int, b: int) -> str:
     return f"{KINDS[k]}:" + (t[a:b].lower() if k < 2 else "".join(_DIGIT.findall(t[a:b])))
 
 
-def _near(t: str, spans, context: int):
-    """(number of the span, term, start, end) for words around each span, but not inside one."""
-    inside = [(a, b) for a, _, b in spans]
-    for n, (a, _, b) in enumerate(spans):
-        lo, hi = max(0, a - context), min(len(t), b + context)
-        for x, y in ((lo, a), (b, hi)):
-            for m in _TERM.finditer(t, x, y):
-                p, q = m.span()
-                cut = (p == lo and lo > 0 and t[lo - 1].isalnum()) or (q == hi and hi < len(t) and t[hi].isalnum())
-                if not cut and all(q <= u or p >= v for u, v in _around(inside, n, p, q)):
-                    yield n, m[0].lower(), p, q
-
-
-def _around(inside, n, p, q):
-    """The spans beside number n that can overlap [p, q)."""
-    i = n
-    while i > 0 and n - i < 8 and inside[i - 1][1] > p - 400:
-        i -= 1
-        yield inside[i]
-    i = n + 1
-    while i < len(inside) and inside[i][0] < q:
-        yield inside[i]
-        i += 1
+def _words(t: str, spans) -> dict[str, list[tuple[int, int]]]:
+    """Where each term of the text stands outside of all spans."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    n, end = 0, 0  # spans that start before the term, and how far they reach
+    for m in _TERM.finditer(t):
+        p, q = m.span()
+        while n < len(spans) and spans[n][0] < q:
+            end = max(end, spans[n][2])
+            n += 1
+        if p >= end:
+            out.setdefault(m[0].lower(), []).append((p, q))
+    return out
 
 
 _FOUND = (
     "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<s:int,k:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int>>"
+    "base array<struct<s:int,k:int,e:int>>, entities array<string>, near array<struct<term:string,at:array<struct<s:int,e:int>>>>"
 )
 
 
-def _scan(context: int):
-    def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near")}
-        for t in texts(b["text"]):
-            spans = base_spans(t)
-            for i, k in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
-                out[k].append(sum(x[1] == i for x in spans))
-            out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
-            out["base"].append([{"s": a, "k": k, "e": e} for a, k, e in spans])
-            keys = [_entity(t, *x) for x in spans]
-            out["near"].append([{"entity": keys[n], "term": w, "s": p, "e": q} for n, w, p, q in _near(t, spans, context)])
-        return out | {"doc_id": b["doc_id"], "th": b["th"]}
-
-    return run
+def _scan(b: pa.RecordBatch) -> dict:
+    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near")}
+    for t in texts(b["text"]):
+        spans = base_spans(t)
+        for i, k in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
+            out[k].append(sum(x[1] == i for x in spans))
+        out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
+        out["base"].append([{"s": a, "k": k, "e": e} for a, k, e in spans])
+        out["entities"].append(sorted({_entity(t, *x) for x in spans}))
+        out["near"].append([(w, at) for w, at in _words(t, spans).items()] if spans else [])
+    return out | {"doc_id": b["doc_id"], "th": b["th"]}
 
 
-def _bloom(terms: DataFrame) -> bytes:
+def _bloom(terms: DataFrame) -> np.ndarray:
     """A filter of fixed size over the candidate terms: 2**BLOOM_BITS bits, set by Spark's own hash."""
-    bits = bytearray(1 << (BLOOM_BITS - 3))
-    for row in terms.select((F.xxhash64("term").bitwiseAND((1 << BLOOM_BITS) - 1)).alias("x")).distinct().toLocalIterator():
-        bits[row.x >> 3] |= 1 << (row.x & 7)
-    return bytes(bits)
+    at = terms.select(F.xxhash64("term").bitwiseAND((1 << BLOOM_BITS) - 1).alias("x"))
+    words = at.groupBy(F.shiftright("x", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    bits[words["i"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint8)  # bit x is bit x % 8 of byte x // 8
 
 
 def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
@@ -156,13 +143,13 @@ def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for b in batches:
             for t in texts(b["text"]):
-                for w in set(_TERM.findall(t.lower())):
+                for w in {w.lower() for w in set(_TERM.findall(t))}:
                     hit = known.get(w)
                     if hit is None:
                         if len(known) > 1_000_000:
                             known.clear()
                         x = xxhash.xxh64_intdigest(w.encode(), 42) & mask
-                        known[w] = hit = bool(bits[x >> 3] >> (x & 7) & 1)
+                        known[w] = hit = bool(int(bits[x >> 3]) >> (x & 7) & 1)
                     if hit:
                         counts[w] += 1
             if len(counts) > 200_000:
@@ -174,7 +161,7 @@ def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
     return seen.join(cand.select("term").distinct(), "term", "left_semi")
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: int = CONTEXT, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """What the patterns find, one row for each row of ``docs``, and the terms that disclose it.
 
     Returns (found, terms). found: doc_id, th (hash of the text), counts, base_sha256, base spans.
@@ -183,20 +170,26 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: i
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("th", F.xxhash64("text"))
-    found = materialize(map_arrow(src, _scan(context), _FOUND), "pii-found")
-    near = found.filter(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
+    found = materialize(map_arrow(src, _scan, _FOUND), "pii-found")
     n_all = found.count()
-    by_text = near.groupBy("entity", "term", "th").agg(F.count_distinct("doc_id").alias("docs"))
-    n_ct = by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("n_ct")).filter(F.col("texts") >= min_texts)
-    cand = materialize(n_ct, "pii-candidates")
-    n_c = near.select("entity", "doc_id", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n_t = _counted(src, cand)
+    with_any = found.filter(F.size("entities") > 0)
+    by_text = with_any.groupBy("th").agg(F.count("*").alias("docs"), F.first("entities").alias("entities"), F.first("near").alias("near"))
+    by_text = materialize(by_text, "pii-texts")
+    held = by_text.select("th", "docs", F.explode("entities").alias("entity"))
+    # Entities of the same texts have the same counts with every term: the least of them stands for all.
+    where = (F.count("*").alias("texts"), F.sum(F.xxhash64("th").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "th")).alias("h2"))
+    one = held.groupBy("entity").agg(F.sum("docs").alias("n_c"), *where).groupBy("n_c", "texts", "h1", "h2").agg(F.min("entity").alias("entity")).select("entity", "n_c")
+    words = by_text.select("th", F.explode("near").alias("x")).select("th", "x.term", "x.at")
+    pairs = materialize(held.join(one, "entity").join(words.select("th", "term"), "th").select("th", "docs", "entity", "n_c", "term"), "pii-pairs")
+    n_ct = pairs.groupBy("entity", "term", "n_c").agg(F.sum("docs").alias("n_ct"))
+    n_t = _counted(src, words.select("term"))
     pc = F.col("n_c") / F.lit(float(max(n_all, 1)))
     reveal = F.log2((F.col("n_ct") / F.col("n_t")) / pc) / -F.log2(pc)
-    told = cand.join(n_c, "entity").join(n_t, "term").filter(pc < 1).select("entity", "term", reveal.alias("reveal")).filter(F.col("reveal") >= GENERALISE_AT)
-    spans = near.join(told, ["entity", "term"]).groupBy("doc_id", "th", "s", "e").agg(F.max("reveal").alias("reveal"))
-    terms = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "reveal"))).alias("told"))
-    return found, materialize(terms, "pii-terms")
+    told = n_ct.join(n_t, "term").filter(pc < 1).select("entity", "term", reveal.alias("reveal")).filter(F.col("reveal") >= GENERALISE_AT)
+    told = pairs.join(told, ["entity", "term"]).groupBy("th", "term").agg(F.max("reveal").alias("reveal"))
+    spans = words.join(told, ["th", "term"]).select("th", "reveal", F.explode("at").alias("x"))
+    spans = spans.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("x.s", F.lit(4).alias("k"), "x.e", "reveal"))).alias("told"))
+    return found, materialize(with_any.select("doc_id", "th").distinct().join(spans, "th").select("doc_id", "th", "told"), "pii-terms")
 
 
 def _clean_text(t: str, spans) -> str:
@@ -211,13 +204,13 @@ def _clean_text(t: str, spans) -> str:
     return "".join([*out, t[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with personal data replaced by its kind, disclosing terms by <TERM> or nothing.
 
     A null text stays null. Only texts with a digit or an at sign can hold a fixed pattern, so
     all others pass through without a shuffle. Columns, their order and the row count stay.
     """
-    _, terms = find(docs, text, doc_id, **kw)
+    _, terms = find(docs, text, doc_id)
     risky = F.col(text).rlike("[0-9@]")
     at, key = docs.columns.index(text), ("__pii_id", "__pii_th")
     hit = docs.filter(risky).withColumns({key[0]: F.col(doc_id).cast("long"), key[1]: F.xxhash64(F.col(text))})

@@ -80,3 +80,34 @@ def test_empty_table(spark):
     assert pii.sanitise(frame(spark, [])).count() == 0
     found, terms = pii.find(frame(spark, []))
     assert found.count() == terms.count() == 0
+
+
+def test_entity_of_one_document_is_disclosed_by_terms_anywhere(spark):
+    plain = "plain document number words nothing here "
+    text = f"Zorblatt {plain * 10}agent@secret.org ++ agent@secret.org 1.2.3.4 {plain * 10}said zorblatt"
+    rows = [(i, plain + "said" * (i > 0), "x") for i in range(200)] + [(1000, text, "x"), (1000, text, "x"), (None, text, "x"), (1001, "zorblatts " + plain, "x")]
+    found, terms = pii.find(frame(spark, rows))
+    assert "entities" in found.columns and found.count() == len(rows)
+    got = {r.doc_id: [text[x.s : x.e] for x in r.told] for r in terms.collect()}
+    assert got == {1000: ["Zorblatt", "zorblatt"], None: ["Zorblatt", "zorblatt"]}
+    clean = [r.text for r in pii.sanitise(frame(spark, rows)).collect() if "<EMAIL>" in r.text]
+    assert len(clean) == 3 and not any("orblatt" in t for t in clean)
+
+
+def test_terms_match_counts_by_hand(spark):
+    import math
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    words = {i: pii._words(t, pii.base_spans(t)) for i, t in docs.items()}
+    ids = {i: {pii._entity(t, *x) for x in pii.base_spans(t)} for i, t in docs.items()}
+    n_t = __import__("collections").Counter(w for t in docs.values() for w in {w.lower() for w in pii._TERM.findall(t)})
+    want = {}
+    for c in set().union(*ids.values()):
+        held = [i for i in ids if c in ids[i]]
+        for w in set().union(*(words[i] for i in held)):
+            pc = len(held) / len(docs)
+            if math.log2(sum(w in words[i] for i in held) / n_t[w] / pc) / -math.log2(pc) >= pii.GENERALISE_AT:
+                for i in held:
+                    want.setdefault(i, set()).update(words[i].get(w, ()))
+    _, terms = pii.find(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert {r.doc_id: {(x.s, x.e) for x in r.told} for r in terms.collect()} == {i: v for i, v in want.items() if v}
