@@ -40,6 +40,26 @@ def test_mix_keeps_all_rows_and_the_schedule(spark):
         mixing.mix(docs, {"a": 1}).collect()
 
 
+def test_mix_stays_within_one_block_of_the_weights_asked_for(spark):
+    rows = [(i, "abc"[i % 3]) for i in range(4500)] + [(10_000 + i, "rare") for i in range(3)]
+    weights = {"a": 1, "b": 1, "c": 1, "rare": 1e-3}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1).collect()
+    assert len({x.mix_slot for x in got}) == len(got) == len(rows)
+    total = sum(map(Fraction, weights.values()))
+    for x in got:
+        w = Fraction(weights[x.mix_source]) / total
+        assert x.mix_block <= w * (x.mix_slot + 1) and x.mix_slot * w < x.mix_block + 1, x
+
+
+def test_mix_takes_many_sources_and_long_runs(spark):
+    docs = spark.createDataFrame([(i, "s%d" % (i % 1200)) for i in range(2400)], "doc_id long, source string")
+    assert len({x.mix_position for x in mixing.mix(docs, block=1).collect()}) == 2400
+    plan = mixing.exact_slots({"a": 1, "b": 1, "c": 1}, dict.fromkeys("abc", 31_250))
+    assert sorted(t for x in plan.values() for t in x) == list(range(93_750))
+    assert all(abs(3 * k - t) < 3 for x in plan.values() for k, t in enumerate(x))
+    assert len(mixing.exact_slots({"x": 1e-9, "y": 1}, {"x": 100, "y": 5})["x"]) == 100
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
