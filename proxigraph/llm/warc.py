@@ -32,6 +32,7 @@ from proxigraph.plans.shared import fresh_path, materialize
 MIN_REVISIT = 100  # bytes of payload from which equal ones become revisits
 ARCHIVE_BYTES = 256 << 20  # an archive file is closed once it is larger
 BLOCK_LINES = 512
+FETCH_BYTES = 64 << 20  # bytes of records that a task fetches, more or less
 READ_BYTES = 8 << 20  # neighbouring records are read together up to this size
 MAX_SHARDS = 200_000  # index shards whose first keys the driver hands out, some MB at most
 DATE = "1970-01-01T00:00:00Z"
@@ -98,7 +99,7 @@ def _fs(folder: str):
 
 @dataclass
 class Archive:
-    """A folder of archives and its index. ``shards``: file, first key and line count of each."""
+    """A folder of archives and its index. ``shards``: file, first key, line count and record bytes of each."""
 
     folder: str
     shards: DataFrame
@@ -109,13 +110,21 @@ def plan_records(pages: DataFrame) -> DataFrame:
     the least page_id is the response; repeated rows with that id are responses too."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    same = p.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n"))
-    same = same.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    return p.join(same, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    long = F.octet_length("payload") >= MIN_REVISIT
+    same = p.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    same = same.filter((F.col("n") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("same"), "first")
+    # Short payloads refer to nothing; each gets a key of its own, so that '' is not one hot key.
+    key = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url", "payload"))))
+    return p.withColumn("same", key).join(same, "same", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES) -> Archive:
-    """Write a record for each row of ``pages`` (page_id, url, html; null html: empty) and index it."""
+    """Write a record for each row of ``pages`` and index it.
+
+    Reads page_id, url and html; other columns, whatever their names, are not looked at. Null html:
+    an empty payload. Null url: no target. Null page_id: a record without number that nothing refers
+    to. Repeated rows give repeated records. An empty table gives an archive without files.
+    """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
 
@@ -148,7 +157,7 @@ def write(pages: DataFrame, block_lines: int = BLOCK_LINES, archive_bytes: int =
         fs, root = _fs(folder)
         lines: list[str] = []
         directory: list = []
-        out, at, n, name = None, 0, 0, f"{uuid.uuid4().hex}.idx"
+        out, at, n, size, name = None, 0, 0, 0, f"{uuid.uuid4().hex}.idx"
 
         def flush() -> int:
             block = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
@@ -163,7 +172,7 @@ def write(pages: DataFrame, block_lines: int = BLOCK_LINES, archive_bytes: int =
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 lines.append(json.dumps(row))
-                n += 1
+                n, size = n + 1, size + row[3]
                 if len(lines) == block_lines:
                     at += flush()
         if out is not None:
@@ -172,11 +181,11 @@ def write(pages: DataFrame, block_lines: int = BLOCK_LINES, archive_bytes: int =
             sparse = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(sparse + struct.pack("<QQ", at, len(sparse)))
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [name], "first": [directory[0][0]], "n": [n]}, schema=pa.schema([("shard", pa.string()), ("first", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"shard": [name], "first": [directory[0][0]], "n": [n], "bytes": [size]}, schema=pa.schema([("shard", pa.string()), ("first", pa.string()), ("n", pa.int64()), ("bytes", pa.int64())]))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = captures.repartitionByRange(parts, "k").sortWithinPartitions("k")
-    return Archive(folder, materialize(ordered.mapInArrow(index, "shard string, first string, n long"), "warc-shards"))
+    return Archive(folder, materialize(ordered.mapInArrow(index, "shard string, first string, n long, bytes long"), "warc-shards"))
 
 
 class _Shard:
@@ -208,7 +217,9 @@ class _Shard:
 def lookup(archive: Archive, captures: DataFrame) -> DataFrame:
     """Where the captures (url, page_id) lie: (k, file, at, size), a row per record found.
 
-    Each distinct capture is asked for once. Those that the archive does not have give no row.
+    Each distinct key is asked for once: captures that differ in scheme, port 80 or 443, user,
+    case of the host or fragment alone have one key, and what lies under it comes once. Those
+    that the archive does not have give no row. A null url counts as ''; other columns are not read.
     """
     spark = captures.sparkSession
     known = archive.shards.orderBy("first", "shard").limit(MAX_SHARDS + 1).collect()
@@ -241,14 +252,22 @@ def lookup(archive: Archive, captures: DataFrame) -> DataFrame:
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("k", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
 
-    asked = captures.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).distinct()
-    dealt = asked.mapInArrow(deal, "shard int, k string").repartition("shard").sortWithinPartitions("shard", "k")
+    asked = captures.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id"))
+    # The shard groups the keys for reading; a key lies in one task, so duplicates fall there without another shuffle.
+    dealt = asked.mapInArrow(deal, "shard int, k string").repartition("shard").dropDuplicates(["shard", "k"]).sortWithinPartitions("shard", "k")
     return dealt.mapInArrow(search, CAPTURES)
 
 
 def fetch(archive: Archive, places: DataFrame, payload: bool = True) -> DataFrame:
-    """The records at ``places`` (file, at, size) as RECORDS, by range reads in order of the files."""
+    """The records at ``places`` (file, at, size) as RECORDS, by range reads in order of the files.
+
+    Tasks are dealt stretches of READ_BYTES of a file, as many tasks as the archives' bytes ask for:
+    the places themselves are too small to tell. A null payload: a revisit, or not asked for.
+    """
     folder = archive.folder
+    spark = places.sparkSession
+    size = archive.shards.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FETCH_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(folder)
@@ -273,11 +292,13 @@ def fetch(archive: Archive, places: DataFrame, payload: bool = True) -> DataFram
                 i = j
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
 
-    order = places.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
+    order = places.select("file", "at", "size").repartition(parts, F.col("file"), F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("file", "at")
     return order.mapInArrow(read, RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, as the archives say after writing and reading back; see ``write`` for nulls and
+    repeated rows. Of equal payloads of 100 bytes or more the least page_id is the response."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archive = write(pages)
     return fetch(archive, lookup(archive, pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
