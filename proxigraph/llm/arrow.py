@@ -24,6 +24,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str |
     return df.mapInArrow(run, out)
 
 
+def free_name(name: str, *used: list[str]) -> str:
+    """``name``, with underscores put in front until no column of ``used`` has it in any case."""
+    taken = {c.lower() for cols in used for c in cols}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proxigraph.llm.arrow import free_name
 from proxigraph.plans.session import table
 
 SPACE = "\\x20\\x09-\\x0D"
@@ -62,14 +63,15 @@ def _same(words: Column, a: Column, b: Column) -> Column:
     return (a["h"] == b["h"]) & (F.get(words, a["i"]) == F.get(words, b["i"])) & (F.get(words, a["i"] + 1) == F.get(words, b["i"] + 1)) & (F.get(words, a["i"] + 2) == F.get(words, b["i"] + 2))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``rule_metrics``: counts and ratios of the whole text.
+def measure(docs: DataFrame, text: str = "text", into: str = "rule_metrics") -> DataFrame:
+    """``docs`` with the struct column ``into``: counts and ratios of the whole text.
 
     A null text counts as one without words. Windows are compared by a 64-bit hash and then
-    by their words. Rows are neither merged nor dropped; other columns stay as they are.
+    by their words. Rows are neither merged nor dropped; other columns stay as they are, but
+    one that is named like ``into`` gives way to it.
     """
-    kept, t = docs.columns, F.coalesce(F.col(text), F.lit(""))
-    w, ls, squeezed, win, pos = (f"__rule_{x}" for x in ("words", "lines", "squeezed", "windows", "repeats"))
+    kept, t = [c for c in docs.columns if c.lower() != into.lower()], F.coalesce(docs[text], F.lit(""))
+    w, ls, squeezed, win, pos = (free_name(f"rule_{x}", docs.columns) for x in ("words", "lines", "squeezed", "windows", "repeats"))
     # Each step is a column of its own, read more than once by the next: the optimiser then computes it once a row.
     work = docs.withColumns({w: _words(t), ls: F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0), squeezed: F.translate(t, _BLANKS, "")})
     work = work.withColumn(win, _repeated(F.col(w)))
@@ -80,13 +82,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )))
     covered = F.aggregate(F.col(pos), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
     stop = F.array(*[F.lit(x) for x in STOP_WORDS])
-    n_stop, n_symbols = f"{pos}_stop", f"{pos}_symbols"
+    n_stop, n_symbols, dup = (free_name(f"rule_{x}", docs.columns) for x in ("stop", "symbols", "dup"))
     work = work.withColumns({
         n_stop: F.size(F.filter(w, lambda x: (F.length(x) <= 5) & F.array_contains(stop, x))),
         n_symbols: F.length(squeezed) - F.length(F.translate(squeezed, SYMBOLS, "")),
-        f"{pos}_dup": F.size(ls) - F.size(F.array_distinct(ls)),
+        dup: F.size(ls) - F.size(F.array_distinct(ls)),
     })
-    n_dup = F.col(f"{pos}_dup")
+    n_dup = F.col(dup)
     n = F.size(w).cast("long")
     per_word = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
     n_lines, n_chars = F.size(ls), F.length(squeezed)
@@ -98,30 +100,42 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         n_dup.cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"), n_lines.cast("long").alias("n_lines"), F.col(n_stop).cast("long").alias("n_stop_words"),
         per_word(n_chars).alias("mean_word_chars"), per_word(F.col(n_symbols)).alias("symbol_ratio"), per_word(F.col(n_stop)).alias("stop_word_ratio"),
         F.when(n_lines > 0, n_dup / n_lines).otherwise(F.lit(0.0)).alias("duplicate_line_ratio"),
-    )).alias("rule_metrics"))
+    )).alias(into))
 
 
 def compile_rules(rules=RULES, of: str = "rule_metrics") -> Column:
     """The table as one boolean expression."""
     out = F.lit(True)
     for r in rules:
-        c = F.col(f"{of}.{r.metric}")
+        c = F.col(f"`{of}`.{r.metric}")
         out = out & (F.lit(True) if r.low is None else c >= r.low) & (F.lit(True) if r.high is None else c <= r.high)
     return out
 
 
 def base_failed(of: str = "rule_metrics") -> Column:
     """Fewer than 50 words, or over half of the words in repeated 3-word windows."""
-    return (F.col(f"{of}.n_words") < 50) | (100 * F.col(f"{of}.n_repeat_words") > 50 * F.col(f"{of}.n_words"))
+    return (F.col(f"`{of}`.n_words") < 50) | (100 * F.col(f"`{of}`.n_repeat_words") > 50 * F.col(f"`{of}`.n_words"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with ``rule_metrics``, ``base_failed`` and ``kept`` (never null; empty texts fail)."""
+    """``docs`` with ``rule_metrics``, ``base_failed`` and ``kept`` (never null; empty texts fail).
+
+    Input columns of these three names give way to the results; ``keep`` leaves all as they are.
+    """
     out = measure(docs, text).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that pass, repeated ones too, with just their own columns, whatever their names."""
+    of = free_name("rule_metrics", docs.columns)
+    passed = measure(docs, text, of).filter(~base_failed(of) & compile_rules(rules, of))
+    return passed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every row of documents; null and empty texts have no words and fail.
+    Repeated rows each give one row; an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     m = [F.col(f"rule_metrics.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")]
     return quality_rules(docs).select("doc_id", *m, "base_failed", "kept")
