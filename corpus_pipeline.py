@@ -12,7 +12,7 @@ from proxigraph.plans.shared import materialize
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` has."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: by files, then by rows of a file."""
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    prefix = free_prefix(docs)
+    mixed, at = mixing.mix(docs, prefix=prefix), f"{prefix}position"
+    return mixed.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ def test_mix_keeps_all_rows_and_the_schedule(spark):
         n = share[x.mix_source]
         assert x.mix_slot == x.mix_block // n * 60 + slot[x.mix_source, x.mix_block % n]
     assert mixing.mix(docs.limit(0)).count() == 0
+    other = mixing.mix(docs, {"a": 3, "b": 2, "": 1}, prefix="new_")
+    assert {"mix_slot", "new_slot"} <= set(other.columns) and other.filter("mix_slot = 5").count() == len(rows)
     with pytest.raises(Exception, match="no weight"):
         mixing.mix(docs, {"a": 1}).collect()
 
@@ -51,6 +53,12 @@ def test_mix_stays_within_one_block_of_the_weights_asked_for(spark):
         assert x.mix_block <= w * (x.mix_slot + 1) and x.mix_slot * w < x.mix_block + 1, x
 
 
+def test_block_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 50)
+    got = mixing.mix(spark.range(4000).selectExpr("id as doc_id", "cast(id % 7 as string) as source")).collect()
+    assert len({x.mix_position for x in got}) == 4000 and len({x.mix_slot for x in got}) <= 57
+
+
 def test_mix_takes_many_sources_and_long_runs(spark):
     docs = spark.createDataFrame([(i, "s%d" % (i % 1200)) for i in range(2400)], "doc_id long, source string")
     assert len({x.mix_position for x in mixing.mix(docs, block=1).collect()}) == 2400

@@ -24,8 +24,14 @@ def test_rule_metrics_match_brute_force(spark):
     r = random.Random(1)
     texts = [None, "", " \n\t\x0b", "a", "a a a a", "é b c\nd", "#*$ %&|<>", "x\n\nx\nx \n", "der die das " * 100, "the " * 7000]
     texts += [" ".join(r.choices(["the", "of", "w%d" % i, "ü", "#", "a\nb", "\t"], k=r.randint(0, 200))) for i in range(60)]
-    rows = [(i, t, "x") for i, t in enumerate(texts)]
-    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, kept string").drop("kept"))
+    rows = [(i, t, "x", "y", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, Rule_Metrics string, rule_words int")
+    out = quality_rules.quality_rules(docs)
+    assert sorted(out.columns) == ["base_failed", "doc_id", "kept", "rule_metrics", "rule_words", "text"]
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[x.doc_id] for x in out.filter("kept").collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
     for x in out.collect():
         m = x.rule_metrics
         assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, x.base_failed) == plain(texts[x.doc_id]), texts[x.doc_id]
@@ -72,3 +78,12 @@ def test_warc_round_trip(spark):
     empty = warc.write(pages.limit(0))
     assert warc.fetch(empty, warc.lookup(empty, pages.limit(0))).count() == 0
     assert pages.agg(F.count("*")).first()[0] == len(rows)
+
+
+def test_warc_captures_of_one_key_come_once(spark):
+    rows = [(1, "http://a.org/x", "one" * 50), (1, "https://a.org/x", "two" * 50), (None, None, "p"), (None, None, "q" * 200), (1, "http://A.org:80/x#f", "one" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(pages)
+    got = warc.fetch(archive, warc.lookup(archive, pages.unionAll(pages)))
+    assert sorted((str(x.page_id), bytes(x.payload or b"").decode(), x.record_type) for x in got.collect()) == sorted((str(i), h, "response") for i, _, h in rows)
+    assert archive.shards.agg(F.sum("n")).first()[0] == 5 and archive.shards.agg(F.sum("bytes")).first()[0] > 500
