@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into chunks that no piece can cross: at spaces and line ends. Each distinct
+A text is cut into chunks wherever no piece joins two neighbouring characters. Each distinct
 chunk is encoded once. Its substrings of bounded length are exploded and equi-joined to the
 piece table; the edges found are grouped by chunk and folded by a higher-order aggregate:
 
@@ -11,6 +11,7 @@ piece table; the edges found are grouped by chunk and folded by a higher-order a
 Chunk tables go back to the documents by shard, a range of rows of one input file: a task
 reads the tables of its shards from the shared folder, so texts are never shuffled and no
 task holds more than the chunks of one shard. Characters without a piece become byte pieces.
+Inside tasks chunks stay Arrow arrays and ids numpy arrays, never lists of Python objects.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from proxigraph.llm.arrow import trim
 from proxigraph.plans.session import table
-from proxigraph.plans.shared import fresh_path, materialize
+from proxigraph.plans.shared import drop, fresh_path, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SHARD_ROWS = 8192
+SLICE_CHARS = 2_000_000  # characters that a task handles at once, one text at least
 MASK = 62  # characters of a chunk whose boundaries fit a long
-LONG = 256  # longer chunks are cut wherever no piece joins two characters
+LONG = 256  # longer chunks are not put into tables but encoded where they occur
 
 
 @dataclass(frozen=True)
@@ -54,9 +56,24 @@ class Pieces:
     pairs: frozenset[str]  # two characters that stand side by side in a piece
     odd: frozenset[str]  # BPE pieces that one pass of merges by rank would not find
 
-    @property
-    def newline_cuts(self) -> bool:
-        return not any("\n" in p for p in self.pairs)
+    @cached_property
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """A class for each code point (0: in no piece of two or more), and which classes a piece joins."""
+        seen = {c: k for k, c in enumerate(sorted({c for p in self.pairs for c in p}), 1)}
+        kind = np.zeros(0x110000, np.uint16)
+        kind[[ord(c) for c in seen]] = list(seen.values())
+        joined = np.zeros((len(seen) + 1, len(seen) + 1), bool)
+        for p in self.pairs:
+            joined[seen[p[0]], seen[p[1]]] = True
+        return kind, joined
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The id of each one-character piece by code point, else -1."""
+        out = np.full(0x110000, -1, np.int32)
+        one = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
+        out[list(one)] = list(one.values())
+        return out
 
 
 def replay(chunk: str, score: dict[str, float]) -> list[tuple[float, int, int]]:
@@ -92,6 +109,9 @@ def load(model: str = MODEL) -> Pieces:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    for probe in ("a", " a  b ", "\ta\n", "\ufb01 \uff21 e\u0301"):
+        if sp.decode(sp.encode(probe)) != probe or sp.encode("")  or sp.encode(probe, out_type=str)[0][:1] != SPACE:
+            raise ValueError(f"{model} normalises texts or has no dummy prefix or byte pieces")
     ids, score, text, byte_ids = {}, {}, [], [-1] * 256
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
@@ -124,60 +144,66 @@ def make(ids: dict[str, int], score: dict[str, float], byte_ids: tuple[int, ...]
     return Pieces(ids, score, byte_ids, unknown, text, bpe, max(map(len, ids), default=1), pairs, odd)
 
 
-def chunks(text: str, pieces: Pieces) -> list[str]:
-    """The text with its dummy prefix, cut where no piece can cross; '' has no chunks."""
-    if not text:
-        return []
-    t = text.replace(SPACE, " ") if SPACE in text else text
-    double = "  " in t or t[0] == " "
-    t = (SPACE + t).replace(" ", " " + SPACE)
-    if pieces.newline_cuts:
-        t = t.replace("\n", " \n")
-    out = t.split(" ")
-    if double:
-        joined, held = [], ""
-        for w in out:
-            if w == SPACE:
-                held += w
-                continue
-            if held and w[0] != SPACE:
-                joined.append(held)
-                held = ""
-            joined.append(held + w)
-            held = ""
-        out = [*joined, held] if held else joined
-    if len(t) > LONG and max(map(len, out)) > LONG:
-        cut = []
-        for w in out:
-            if len(w) <= LONG:
-                cut.append(w)
-                continue
-            a = 0
-            for i in range(1, len(w)):
-                if w[i - 1 : i + 1] not in pieces.pairs:
-                    cut.append(w[a:i])
-                    a = i
-            cut.append(w[a:])
-        out = cut
-    return out
-
-
-def _ids_of(chunk: str, path, pieces: Pieces) -> list[int]:
-    """Ids of a chunk from its pieces (start, end, id) of two characters or more, in order."""
-    out, at = [], 0
-    for s, e, i in [*path, (len(chunk), len(chunk), -1)]:
-        for c in chunk[at:s]:
-            one = pieces.ids.get(c)
-            out += [one] if one is not None else _bytes_of(c, pieces)
-        if i >= 0:
-            out.append(i)
-        at = e
-    return out
-
-
-def _bytes_of(c: str, pieces: Pieces) -> list[int]:
-    got = [pieces.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-    return [pieces.unknown] if min(got) < 0 else got
+def cut(column: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]:
+    """All chunks of a column of texts, in order, and how many each text has. Texts get the dummy
+    prefix, blanks become the space sign; '' and null have no chunks."""
+    text = pc.fill_null(column, "")
+    t = pc.replace_substring(pc.binary_join_element_wise(pc.if_else(pc.equal(text, ""), "", SPACE), text, ""), " ", SPACE)
+    ends = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1].astype(np.int64)
+    if not len(t) or ends[0] == ends[-1]:
+        return pa.array([], pa.string()), np.zeros(len(t), np.int64)
+    codes, at, _ = _characters(t)
+    kind, joined = pieces.kinds
+    k = kind[codes]
+    first = np.r_[True, ~joined[k[:-1], k[1:]]]
+    first[np.searchsorted(at, ends[:-1][ends[1:] > ends[:-1]] - ends[0])] = True
+    starts = at[first]
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts + ends[0], ends[-1]).astype(np.int32)), t.buffers()[2])
+    return words, np.diff(np.searchsorted(starts, ends - ends[0]))
+
+
+def _characters(t: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all strings of a column, where each begins in the column's bytes, the bytes."""
+    off = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1] if len(t) else np.zeros(1, np.int32)
+    data = np.frombuffer(t.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return codes, np.flatnonzero((data & 0xC0) != 0x80), data
+
+
+def assemble(words: pa.Array, edges: tuple[np.ndarray, ...], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, how many each has). ``edges``: word, start, end, id of pieces on the words'
+    paths; characters under none are pieces of their own or become byte pieces."""
+    codes, at, data = _characters(words)
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    begin = np.searchsorted(at, off - off[0])
+    size = np.diff(np.append(at, len(data)))
+    value = pieces.single[codes]
+    bare = value < 0
+    byte_ids = np.array(pieces.byte_ids, np.int32)
+    whole = byte_ids.min() >= 0
+    count = np.where(bare & whole, size, 1)
+    word, s, e, i = edges
+    place = begin[word] + s
+    value[place], bare[place], count[place] = i, False, 1
+    under = np.zeros(len(codes) + 1, np.int32)
+    np.add.at(under, place + 1, 1)
+    np.add.at(under, place + e - s, -1)
+    inside = np.cumsum(under[:-1]) > 0
+    count[inside], bare[inside] = 0, False
+    value[bare] = pieces.unknown
+    out = np.repeat(value, count)
+    ends = np.r_[0, np.cumsum(count)]
+    if whole:
+        for k in range(4):
+            some = np.flatnonzero(bare & (size > k))
+            out[ends[some] + k] = byte_ids[data[at[some] + k]]
+    return out, np.diff(ends[begin])
+
+
+def fold_words(words: pa.Array, which: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """Edges (word, start, end, id) of the words at ``which`` by ``fold_long``."""
+    got = [(k, *x) for k, w in zip(which.tolist(), words.take(pa.array(which, pa.int64())).to_pylist(), strict=True) for x in fold_long(w, pieces)]
+    return tuple(np.array(got, np.int64).reshape(-1, 4).T)
 
 
 def fold_long(chunk: str, pieces: Pieces) -> list[tuple[int, int, int]]:
@@ -230,7 +256,8 @@ def fold_long(chunk: str, pieces: Pieces) -> list[tuple[int, int, int]]:
 
 
 _START, _END, _RANK = 26, 20, 32  # bits of a packed edge: rank, start, end, id
-_ID_MASK = (1 << _END) - 1
+_ODD = 1 << 19  # the highest bit of an id says that the piece is odd
+_ID_MASK = _ODD - 1
 
 
 def _merge_fold(edges: Column, n: Column) -> tuple:
@@ -265,34 +292,38 @@ def _viterbi_fold(edges: Column, n: Column, low: float) -> tuple:
     return best, walk
 
 
-def encode_chunks(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, chunk, path, odd): the pieces of each chunk, those of one character left out for BPE.
+def encode_chunks(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("chunk",), n: Column | None = None) -> DataFrame:
+    """(*by, path, odd): the pieces of each chunk, those of one character left out for BPE.
 
-    ``words`` has distinct chunks of at most MASK characters and is partitioned by a subset of
-    ``by`` and chunk, so that the group needs no shuffle of its own. Chunks without any edge give
-    no row. ``odd``: the fold does not hold for this chunk, use ``fold_long``.
+    ``words`` has distinct chunks of at most MASK characters, each with its own ``by``, and is
+    partitioned by a subset of it, so that the group needs no shuffle of its own; ``n`` is the
+    chunk's length, from ``by`` alone. Chunks without any edge give no row. ``odd``: the fold does
+    not hold for this chunk, use ``fold_long``.
     """
     spark = words.sparkSession
-    rows = [(p, i, -float(pieces.score[p]), p in pieces.odd) for p, i in pieces.ids.items() if len(p) > 1 or not pieces.bpe]
+    if len(pieces.text) > _ODD:
+        raise ValueError(f"more than {_ODD} pieces")
+    rows = [(p, i, -float(pieces.score[p])) for p, i in pieces.ids.items() if len(p) > 1 or not pieces.bpe]
     if pieces.bpe:
         rank = {c: k for k, c in enumerate(sorted({r[2] for r in rows}))}
-        rows = [(p, (rank[c] << _RANK) | i, c, odd) for p, i, c, odd in rows]
-    lookup = spark.createDataFrame(rows or [("", -1, 0.0, False)], "piece string, id long, cost double, odd boolean")
-    n = F.length("chunk")
+        rows = [(p, (rank[c] << _RANK) | i | (_ODD if p in pieces.odd else 0), c) for p, i, c in rows]
+    lookup = spark.createDataFrame(rows or [("", -1, 0.0)], "piece string, id long, cost double")
+    length, n = F.length("chunk"), F.length("chunk") if n is None else n
     first = 2 if pieces.bpe else 1
-    places = F.flatten(F.transform(F.sequence(F.lit(0), n - first), lambda s: F.transform(F.sequence(F.lit(first), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring(F.col("chunk"), s + 1, k).alias("piece")))))
-    sub = words.filter(n >= first).select(*by, "chunk", F.explode(places).alias("x")).select(*by, "chunk", "x.*")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), length - first), lambda s: F.transform(F.sequence(F.lit(first), F.least(F.lit(pieces.longest), length - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substring(F.col("chunk"), s + 1, k).alias("piece")))))
+    sub = words.filter(length >= first).select(*by, F.explode(places).alias("x")).select(*by, "x.*")
     edges = sub.join(F.broadcast(lookup), "piece")  # the vocabulary: its size is the model's
     if pieces.bpe:
         packed = F.col("id").bitwiseOR(F.shiftleft(F.col("s").cast("long"), _START)).bitwiseOR(F.shiftleft((F.col("s") + F.col("k")).cast("long"), _END))
-        grouped = edges.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(packed)).alias("edges"), F.max("odd").alias("odd"))
+        grouped = edges.groupBy(*by).agg(F.sort_array(F.collect_list(packed)).alias("edges"))
         state, path = _merge_fold(F.col("edges"), n)
-        return grouped.withColumn("state", state).select(*by, "chunk", path(F.col("state")).alias("path"), "odd")
+        odd = F.exists("edges", lambda x: x.bitwiseAND(_ODD) != 0)
+        return grouped.withColumn("state", state).select(*by, path(F.col("state")).alias("path"), odd.alias("odd"))
     one = F.struct(F.col("s"), (F.col("s") + F.col("k")).alias("e"), (-F.col("cost")).alias("score"), F.col("id").cast("int").alias("id"))
-    ordered = edges.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(one)).alias("edges"), F.max("odd").alias("odd"))
+    ordered = edges.groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("edges"))
     state, walk = _viterbi_fold(F.col("edges"), n, min(pieces.score.values(), default=0.0) - 10)
     packed = lambda x: x["id"].cast("long").bitwiseOR(F.shiftleft(x["s"].cast("long"), _START)).bitwiseOR(F.shiftleft(x["e"].cast("long"), _END))
-    return ordered.withColumn("state", state).select(*by, "chunk", F.transform(walk(F.col("state")), packed).alias("path"), "odd")
+    return ordered.withColumn("state", state).select(*by, F.transform(walk(F.col("state")), packed).alias("path"), F.lit(False).alias("odd"))
 
 
 def unpack_path(path) -> list[tuple[int, int, int]]:
@@ -300,28 +331,6 @@ def unpack_path(path) -> list[tuple[int, int, int]]:
     return sorted((x >> _START & 63, x >> _END & 63, x & _ID_MASK) for x in path)
 
 
-def chunk_lists(column: pa.Array, pieces: Pieces) -> pa.ListArray:
-    """``chunks`` of a whole column. Only texts with doubled spaces, a space in front, the space
-    sign itself, nothing at all or a very long chunk are cut one by one."""
-    text = pc.fill_null(column, "")
-    slow = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.starts_with(text, " ")), pc.or_(pc.match_substring(text, SPACE), pc.equal(text, "")))
-    t = pc.replace_substring(pc.binary_join_element_wise(SPACE, text, ""), " ", " " + SPACE)
-    if pieces.newline_cuts:
-        t = pc.replace_substring(t, "\n", " \n")
-    lists = pc.split_pattern(t, " ")
-    long = pc.greater(pc.utf8_length(lists.flatten()), LONG)
-    slow = slow.to_numpy(zero_copy_only=False).copy()
-    if pc.any(long).as_py():
-        slow[np.searchsorted(lists.offsets.to_numpy(), np.flatnonzero(long.to_numpy(zero_copy_only=False)), side="right") - 1] = True
-    if not slow.any():
-        return lists
-    rows = np.flatnonzero(slow)
-    other = pa.array([chunks(x, pieces) for x in text.take(pa.array(rows)).to_pylist()], pa.list_(pa.string()))
-    order = np.arange(len(text))
-    order[rows] = len(text) + np.arange(len(rows))
-    return pa.concat_arrays([lists, other]).take(pa.array(order))
-
-
 _ZSTD = "zstd"
 
 
@@ -334,13 +343,44 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=n, codec=_ZSTD, asbytes=True) if n else b""
 
 
-def _runs(shards: pa.Array, most: int = 512) -> Iterator[tuple[int, int]]:
-    """(offset, length) of stretches of one shard, of at most ``most`` rows."""
+def _runs(shards: pa.Array, text: pa.Array) -> Iterator[tuple[int, int]]:
+    """(offset, length) of stretches of one shard, of at most SLICE_CHARS bytes or one text."""
     code = shards.dictionary_encode().indices.to_numpy()
-    cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
-    for a, b in zip(cut, [*cut[1:], len(code)], strict=True):
-        for i in range(int(a), int(b), most):
-            yield i, min(most, int(b) - i)
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]).tolist() if len(code) else []
+    for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True):
+        while a < b:
+            k = max(a + 1, min(b, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_CHARS, side="right"))))
+            yield a, k - a
+            a = k
+
+
+def _blob(words: list[str]) -> bytes:
+    return _pack(" ".join(sorted(words)).encode("utf-8"))  # no chunk has a blank
+
+
+def _of_blob(blob: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([_unpack(blob).decode("utf-8")], pa.string()), " ").flatten()
+
+
+class _Distinct:
+    """Distinct strings of arrays that come one by one; sorted at the end, so always the same."""
+
+    def __init__(self):
+        self.got, self.new, self.n = pa.array([], pa.string()), [], 0
+
+    def add(self, words: pa.Array) -> None:
+        self.new.append(words)
+        self.n += len(words)
+        if self.n > 100_000 + 2 * len(self.got):
+            self._fold()
+
+    def _fold(self) -> None:
+        self.got, self.new, self.n = pc.unique(pa.concat_arrays([self.got, *self.new])), [], 0
+
+    def done(self) -> pa.Array:
+        self._fold()
+        return self.got.take(pc.sort_indices(self.got))
 
 
 def _shard_file(shard: str) -> str:
@@ -384,7 +424,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
     read = [*kept, text] if text not in kept else kept
     src = _sharded(docs.select(*[docs[c] for c in read]))
     shared = spark.sparkContext.broadcast(pieces)
-    parts = max(12, min(8192, math.ceil(math.sqrt(docs.count()) / 4)))
+    parts = max(12, math.ceil(math.sqrt(docs.count()) / 4))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -393,70 +433,81 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
 
         def send(shard: str, words: pa.Array) -> pa.RecordBatch:
             deal: list[list[str]] = [[] for _ in range(parts)]
-            for w in words.to_pylist():
-                if len(w) <= LONG:
-                    deal[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % parts].append(w)
-            some = [(k, _pack(" ".join(sorted(d)).encode("utf-8", "surrogatepass"))) for k, d in enumerate(deal) if d]
+            for w in words.filter(pc.less_equal(pc.utf8_length(words), LONG)).to_pylist():
+                deal[xxhash.xxh32_intdigest(w) % parts].append(w)
+            some = [(k, _blob(d)) for k, d in enumerate(deal) if d]
             return pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.string()), pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["shard", "part", "chunks"])
 
-        shard, words = None, pa.array([], pa.string())
+        shard, words = None, _Distinct()
         for big in batches:
-            for at in _runs(big["__shard"]):
+            for at in _runs(big["__shard"], big["text"]):
                 b = big.slice(*at)
                 if (name := b["__shard"][0].as_py()) != shard:
-                    if len(words):
-                        yield send(shard, words)
+                    if shard is not None:
+                        yield send(shard, words.done())
                         trim()
-                    shard, words = name, pa.array([], pa.string())
-                words = pc.unique(pa.concat_arrays([words, pc.unique(chunk_lists(b["text"], p).flatten())]))
-        if len(words):
-            yield send(shard, words)
+                    shard, words = name, _Distinct()
+                words.add(pc.unique(cut(b["text"], p)[0]))
+        if shard is not None:
+            yield send(shard, words.done())
         trim()
 
     asked = materialize(src.select("__shard", F.col(text).alias("text")).mapInArrow(ask, "shard string, part int, chunks binary"), "sp-asked")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = -1, set()  # blobs come by part, so a task sends each chunk once
+        """The distinct chunks of each part that need a lattice; key: number in the part, length."""
+
+        def rows(part: int, words: pa.Array) -> Iterator[pa.RecordBatch]:
+            n = pc.utf8_length(words).to_numpy()
+            some = np.flatnonzero((n <= MASK) & (n > 1 if p.bpe else n > 0))
+            for i in range(0, len(some), 20_000):
+                at = some[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(at << 6 | n[at]), words.take(pa.array(at))], names=["part", "key", "chunk"])
+
+        p, part, words = shared.value, -1, _Distinct()
         for b in batches:
-            part, word = [], []
-            for k, blob in zip(b["part"].to_pylist(), b["chunks"].to_pylist(), strict=True):
-                if k != at:
-                    at, seen = k, set()
-                new = [w for w in _unpack(blob).decode("utf-8", "surrogatepass").split(" ") if len(w) <= MASK and w not in seen]
-                seen.update(new)
-                word += new
-                part += [k] * len(new)
-                if len(part) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
-                    part, word = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(word, pa.string())], names=["part", "chunk"])
-        seen = set()
+            for k, blob in zip(b["part"].to_pylist(), b["chunks"], strict=True):
+                if k != part:
+                    yield from rows(part, words.done())
+                    part, words = k, _Distinct()
+                words.add(_of_blob(blob.as_py()))
+        yield from rows(part, words.done())
+        del words
         trim()
 
-    words = asked.select("part", "chunks").sortWithinPartitions("part").mapInArrow(spell, "part int, chunk string").repartition("part").dropDuplicates(["part", "chunk"])
-    paths = encode_chunks(words, pieces, ("part",))
+    words = asked.select("part", "chunks").repartition("part").sortWithinPartitions("part").mapInArrow(spell, "part int, key long, chunk string")
+    paths = encode_chunks(words.repartition("part"), pieces, ("part", "key"), F.col("key").bitwiseAND(63).cast("int"))
 
     wide = np.uint16 if len(pieces.text) < 1 << 16 else np.int32  # ids in the tables of chunks
 
     def answer(asked_t: pa.Table, paths_t: pa.Table) -> pa.Table:
-        p = shared.value
-        path = dict(zip(paths_t["chunk"].to_pylist(), zip(paths_t["path"].to_pylist(), paths_t["odd"].to_pylist(), strict=True), strict=True))
-        done: dict[str, list[int]] = {}
-        out: dict[str, list] = {k: [] for k in ("shard", "chunks", "sizes", "ids")}
-        for shard, blob in zip(asked_t["shard"].to_pylist(), asked_t["chunks"].to_pylist(), strict=True):
-            all_ids: list[list[int]] = []
-            for w in _unpack(blob).decode("utf-8", "surrogatepass").split(" "):
-                got = done.get(w)
-                if got is None:
-                    edges, odd = path.get(w, ((), False))
-                    steps = fold_long(w, p) if odd or len(w) > MASK else unpack_path(edges)
-                    done[w] = got = _ids_of(w, steps, p)
-                all_ids.append(got)
-            flat = np.array([i for x in all_ids for i in x], wide)
-            for k, v in zip(out, (shard, blob, _pack(np.array([len(x) for x in all_ids], np.uint16).tobytes()), _pack(flat.tobytes())), strict=True):
-                out[k].append(v)
-        made = pa.table({k: pa.array(v, pa.string() if k == "shard" else pa.binary()) for k, v in out.items()})
-        del path, done, out
+        p, blobs = shared.value, asked_t["chunks"]
+        distinct = _Distinct()
+        for b in blobs:
+            distinct.add(_of_blob(b.as_py()))
+        words = distinct.done()
+        usual = paths_t.filter(pc.invert(paths_t["odd"])).combine_chunks()
+        path = usual["path"].combine_chunks() if usual.num_rows else pa.array([], pa.list_(pa.int64()))
+        packed = path.flatten().to_numpy(zero_copy_only=False)
+        word = np.repeat(usual["key"].to_numpy() >> 6, pc.list_value_length(path).to_numpy(zero_copy_only=False))
+        other = np.r_[paths_t.filter(paths_t["odd"])["key"].to_numpy() >> 6, np.flatnonzero(pc.utf8_length(words).to_numpy() > MASK)]
+        own = (word, packed >> _START & 63, packed >> _END & 63, packed & _ID_MASK)
+        ids, sizes = assemble(words, tuple(np.r_[a, b] for a, b in zip(own, fold_words(words, other, p), strict=True)), p)
+        ids, starts = ids.astype(wide), np.cumsum(sizes) - sizes
+        out: dict[str, list] = {"sizes": [], "ids": []}
+        held: list[pa.Array] = []
+        for k, b in enumerate(blobs):  # looked up many at once, as a look-up hashes all words of the part
+            held.append(_of_blob(b.as_py()))
+            if k + 1 < len(blobs) and sum(map(len, held)) < 100_000 + 2 * len(words):
+                continue
+            code = pc.index_in(pa.concat_arrays(held), value_set=words).to_numpy()
+            for one in np.split(code, np.cumsum([len(x) for x in held])[:-1]):
+                n = sizes[one]
+                out["sizes"].append(_pack(n.astype(np.uint16).tobytes()))
+                out["ids"].append(_pack(ids[_ranges(starts[one], n)].tobytes()))
+            held = []
+        made = pa.table({"shard": asked_t["shard"], "chunks": blobs} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+        del words, usual, path, packed, out, held
         trim()
         return made
 
@@ -497,6 +548,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["shard"])
 
     answers.repartition("shard").sortWithinPartitions("shard").mapInArrow(store, "shard string").agg(F.count("*")).collect()
+    drop(asked)
 
     at_text = read.index(text)
 
@@ -511,38 +563,37 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
                 with fs.open_input_stream(file, compression=None) as f:
                     for b in pa.ipc.open_stream(f):
                         for c, s, i in zip(*(b[k].to_pylist() for k in ("chunks", "sizes", "ids")), strict=True):
-                            words.append(pa.array(_unpack(c).decode("utf-8", "surrogatepass").split(" "), pa.string()))
+                            words.append(_of_blob(c))
                             sizes.append(np.frombuffer(_unpack(s), np.uint16))
                             ids.append(np.frombuffer(_unpack(i), wide))
             n = np.concatenate(sizes).astype(np.int64)
             return pa.concat_arrays(words), n, np.concatenate(ids).astype(np.int32), np.cumsum(n) - n
 
         for big in batches:
-            for at in _runs(big["__shard"]):
+            for at in _runs(big["__shard"], big.column(at_text)):
                 b = big.slice(*at)
                 if (name := b["__shard"][0].as_py()) != shard:
                     shard, tables = name, None
                     tables = open_shard(name)
                 words, sizes, ids, starts = tables
-                lists = chunk_lists(b.column(at_text), p)
-                values, per_doc = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                found = pc.index_in(values, value_set=words)
-                if found.null_count:  # chunks beyond LONG that nothing cuts: encoded here
-                    extra = [_ids_of(w, fold_long(w, p), p) if len(w) > LONG else None for w in values.filter(found.is_null()).to_pylist()]
-                    if None in extra:
+                values, per_doc = cut(b.column(at_text), p)
+                values = values.dictionary_encode()
+                found = pc.index_in(values.dictionary, value_set=words)
+                if found.null_count:  # chunks beyond LONG: encoded here
+                    extra = values.dictionary.filter(found.is_null())
+                    if pc.min(pc.utf8_length(extra)).as_py() <= LONG:
                         raise RuntimeError(f"no table entry for a chunk of {shard}")
+                    more, n_more = assemble(extra, fold_words(extra, np.arange(len(extra)), p), p)
                     code = found.to_numpy(zero_copy_only=False)
                     code = np.where(np.isnan(code), len(sizes) + np.cumsum(np.isnan(code)) - 1, code).astype(np.int64)
-                    sizes = np.r_[sizes, [len(x) for x in extra]].astype(np.int64)
-                    ids = np.r_[ids, [i for x in extra for i in x]].astype(np.int32)
+                    sizes, ids = np.r_[sizes, n_more], np.r_[ids, more]
                     starts = np.cumsum(sizes) - sizes
                 else:
                     code = found.to_numpy(zero_copy_only=False).astype(np.int64)
+                code = code[values.indices.to_numpy()]
                 n = sizes[code]
-                ends = np.cumsum(n)
-                where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[code] - (ends - n), n)
-                offsets = np.r_[0, ends][np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
-                flat = ids[where]
+                offsets = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
+                flat = ids[_ranges(starts[code], n)]
                 out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 if digest:
                     out.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(flat, offsets, p)]))
@@ -555,6 +606,12 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
     return src.select(*read, "__shard").mapInArrow(apply, out_schema.add("decoded_sha256", "string") if digest else out_schema)
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the lengths ``n``."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
 def decode_ids(flat: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> list[str]:
     """Texts of lists of ids: piece bytes are gathered by numpy into one buffer."""
     table_ = [x or b"" for x in pieces.text]
