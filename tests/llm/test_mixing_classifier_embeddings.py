@@ -76,8 +76,17 @@ def test_classifier_on_held_out_labels(spark):
     got = {x.doc_id: x for x in qc.score(docs, model, ["doc_id"]).collect()}
     test = labels.filter("doc_id % 2 = 0").collect()
     assert len(got) == docs.count() and len(model.rounds) == qc.ROUNDS
-    assert np.mean([(got[x.doc_id].score >= 0.5) == (x.quality == 1) for x in test]) > 0.93
+    right = lambda of: np.mean([(of[x.doc_id].score >= 0.5) == (x.quality == 1) for x in test])
+    assert right(got) > 0.93
     assert np.mean([got[x.doc_id].kept for x in test if x.quality == 1]) > 0.98
+    few = labels.filter("doc_id % 2 = 1 and doc_id < 250")  # co-training helps where labels are few
+    alone, taught = ({x.doc_id: x for x in qc.score(docs, qc.fit(docs, few, rounds=r), ["doc_id"]).collect()} for r in (0, qc.ROUNDS))
+    print("held-out accuracy", right(got), "few labels", right(alone), "co-trained", right(taught))
+    assert right(taught) >= right(alone) - 0.01
+    again = qc.fit(docs.repartition(7), odd)
+    assert again.rounds == model.rounds and np.allclose(again.text_w, model.text_w)
+    pool = docs.count() - min(qc.FIT_ROWS, odd.count())
+    assert any(n for r in model.rounds for n in r) and all(n <= pool for r in model.rounds for n in r)
 
 
 def test_classifier_scores_like_its_vectors_and_takes_odd_input(spark, monkeypatch):
