@@ -1,23 +1,28 @@
-"""SimHash near-duplicates: exact links between 64-bit fingerprints by tiled comparison.
+"""SimHash near-duplicates: links between fingerprints by tiled comparison.
 
-Only distinct fingerprints are compared. Two that differ in at most ``radius`` bits agree on
-one of ``radius + 1`` bands of bits (pigeonhole), so every pair meets in a band's bucket. A
-bucket is sorted by population count and cut into tiles; a pair of tiles whose counts differ
+Only distinct fingerprints are compared. Two 64-bit ones that differ in at most ``radius`` bits
+agree on one of ``radius + 1`` bands of bits (pigeonhole), so every pair meets in a band's bucket.
+Every bucket is sorted by population count and cut into tiles; a pair of tiles whose counts differ
 by more than the radius is skipped, the others are compared by exclusive-or and bit counts.
 A bucket too large for one task is dealt out as pairs of tiles. Tasks return a spanning
 forest of the links they find, never all pairs.
+
+Texts of which a fifth of the shingles differ are some ten bits of 64 apart, too many for bands.
+``similar`` takes WORDS * 64 bits, whose distance estimates the similarity, and meets pairs in
+tables of sampled bits instead, as many as find all but MISSED of the pairs at the limit.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.arrow import map_arrow, texts
+from proxigraph.llm.arrow import free_name, map_arrow, texts
 from proxigraph.plans.components import components
 from proxigraph.plans.session import table
 from proxigraph.plans.shared import materialize
@@ -26,11 +31,13 @@ RADIUS = 3
 TILE = 1024
 BUCKET = 8192  # fingerprints of a bucket that one task compares by itself
 SHINGLE = 3
+HELD = 1 << 16  # rows of whole buckets that a task compares at once
+WORDS, MISSED, MEET = 4, 0.03, 1024  # of ``similar``: words of a fingerprint, share not met, documents that meet by chance
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints(docs: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each whole text; no words gives zero."""
+def _hashes(docs: list[str], shingle: int) -> tuple[list[np.ndarray], list[int]]:
+    """Hashes of the shingles of each whole text, repeats included, and how many there are."""
     import xxhash
 
     digest, hashes, lengths = xxhash.xxh64_intdigest, [], []
@@ -45,7 +52,23 @@ def fingerprints(docs: list[str], shingle: int = SHINGLE) -> np.ndarray:
             got = [digest(b" ".join(words), 42)] if words else []
         hashes.append(np.array(got, np.uint64))
         lengths.append(len(got))
-    return _majority(hashes, lengths)
+    return hashes, lengths
+
+
+def fingerprints(docs: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each whole text; no words gives zero."""
+    return _majority(*_hashes(docs, shingle))
+
+
+def wide_fingerprints(docs: list[str], shingle: int, words: int = WORDS) -> np.ndarray:
+    """(texts x words): SimHash of 64 bits a word; the others' bits come from hashes of the hashes."""
+    hashes, lengths = _hashes(docs, shingle)
+    out = [_majority(hashes, lengths)]
+    for _ in range(1, words):
+        hashes = [(h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for h in hashes]
+        hashes = [(h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) for h in hashes]
+        out.append(_majority([h ^ (h >> np.uint64(31)) for h in hashes], lengths))
+    return np.stack(out, axis=1)
 
 
 def _majority(hashes: list[np.ndarray], lengths: list[int]) -> np.ndarray:
@@ -71,11 +94,12 @@ def _majority(hashes: list[np.ndarray], lengths: list[int]) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and ``fp`` (the fingerprint as a signed long)."""
-    src = docs.select(*keep, F.col(text).alias("__simhash_text"))
+    mine = free_name("text", keep)
+    src = docs.select(*keep, F.col(text).alias(mine))
     schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(b: pa.RecordBatch) -> dict:
-        return {c: b[c] for c in keep} | {"fp": pa.array(fingerprints(texts(b["__simhash_text"])).view(np.int64))}
+        return {c: b[c] for c in keep} | {"fp": pa.array(fingerprints(texts(b[mine])).view(np.int64))}
 
     return map_arrow(src, run, schema)
 
@@ -104,76 +128,149 @@ class _Forest:
             np.minimum.at(self.up, hi, lo)
 
 
-def _tiles(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
-    """Link all close pairs of two index lists (or of one with itself), both by population count."""
-    counts = np.bitwise_count(fp)
+def _tiles(forest: _Forest, fp: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[int, int]:
+    """Link all close pairs of two index lists (or of one with itself), both by population count.
+    Returns how many pairs of tiles were compared, and how many skipped."""
+    done = skipped = 0
     for i in range(0, len(left), TILE):
         a = left[i : i + TILE]
-        lo, hi = int(counts[a[0]]), int(counts[a[-1]])
+        lo, hi = counts[a[0]] - radius, counts[a[-1]] + radius
         for j in range(i if right is left else 0, len(right), TILE):
             b = right[j : j + TILE]
-            if int(counts[b[0]]) - hi > radius or lo - int(counts[b[-1]]) > radius:
+            if counts[b[0]] > hi or counts[b[-1]] < lo:
+                skipped += 1
                 continue
-            x, y = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius)
+            done += 1
+            far = np.zeros((len(a), len(b)), np.uint16)
+            for w in range(fp.shape[1]):
+                far += np.bitwise_count(fp[a, w][:, None] ^ fp[b, w][None, :])
+            x, y = np.nonzero(far <= radius)
             forest.link(a[x], b[y])
+    return done, skipped
 
 
 def _links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fp, fp) within each bucket of one partition."""
-    order = np.lexsort((np.bitwise_count(fp), key))
-    key, fp, side = key[order], fp[order], side[order]
+    """Spanning links (row, row) within each bucket; ``fp``: rows x words."""
+    counts = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((counts, key))
+    key, fp, side, counts = key[order], fp[order], side[order], counts[order]
     forest = _Forest(len(fp))
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(key)])
-    two = np.add.reduceat(side, start) > 0 if len(key) else np.zeros(0, bool)
-    small = (size <= 64) & ~two
-    where = np.repeat(np.where(small, start + size, 0), size)  # end of a small bucket, else 0
     index = np.arange(len(key))
-    for step in range(1, int(size[small].max(initial=1))):
-        a = index[index + step < where]
-        forest.link(*(x[np.bitwise_count(fp[a] ^ fp[a + step]) <= radius] for x in (a, a + step)))
-    for s, n, both in zip(start[~small], size[~small], two[~small], strict=True):
-        own = np.arange(s, s + n)
-        if both:
-            _tiles(forest, fp, own[side[own] == 1], own[side[own] == 2], radius)
+    for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        own = index[s : s + n]
+        if side[s : s + n].any():
+            _tiles(forest, fp, counts, own[side[own] == 1], own[side[own] == 2], radius)
         else:
-            _tiles(forest, fp, own, own, radius)
+            _tiles(forest, fp, counts, own, own, radius)
     root = forest.roots(index)
-    on = root != index
-    return fp[index[on]], fp[root[on]]
+    on = np.flatnonzero(root != index)
+    return order[on], order[root[on]]
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between the distinct fingerprints in column ``fp`` that span every group."""
-    bands = radius + 1
-    edges = np.linspace(0, 64, bands + 1).astype(int)
-    masks = [(((1 << int(b - a)) - 1) << int(a), int(a), i) for i, (a, b) in enumerate(itertools.pairwise(edges))]
-    key = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")), s).alias("part")) for m, s, i in masks])
-    dealt = distinct.select("fp", F.explode(key).alias("k")).select("fp", F.xxhash64("k.band", "k.part").alias("key"))
+def _compare(dealt: DataFrame, words: int, radius: int, bucket: int) -> DataFrame:
+    """(a, b): spanning links between the ids of ``dealt`` (id, f0.., key): those of one key that
+    are at most ``radius`` bits apart."""
+    fp = [f"f{w}" for w in range(words)]
     large = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket)
     # A large bucket is cut into tiles of its own by population count and hash; close pairs of tiles are dealt out.
-    tiles = dealt.join(large, "key").withColumns({"pop": F.bit_count("fp"), "parts": F.ceil(F.col("n") / bucket).cast("int")})
-    tiles = tiles.withColumn("tile", F.struct("pop", F.pmod(F.hash("fp"), F.col("parts")).alias("p")))
+    pop = F.floor(sum((F.bit_count(c) for c in fp), F.lit(0)) / (radius + 1)).cast("int")
+    tiles = dealt.join(large, "key").withColumns({"pop": pop, "parts": F.ceil(F.col("n") / bucket).cast("int")})
+    tiles = tiles.withColumn("tile", F.struct("pop", F.pmod(F.hash(*fp), F.col("parts")).alias("p")))
     each = F.sequence(F.lit(0), F.col("parts") - 1)
-    met = F.flatten(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.transform(each, lambda p: F.struct((F.col("pop") + d).alias("pop"), p.alias("p")))))
+    met = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(each, lambda p: F.struct((F.col("pop") + d).alias("pop"), p.alias("p")))))
     pair = lambda a, b: F.xxhash64("key", a["pop"], a["p"], b["pop"], b["p"])
-    spread = tiles.select("fp", "key", "tile", F.explode(met).alias("m")).select(
-        "fp", F.when(F.col("tile") <= F.col("m"), pair(F.col("tile"), F.col("m"))).otherwise(pair(F.col("m"), F.col("tile"))).alias("key"),
+    spread = tiles.select("id", *fp, "key", "tile", F.explode(met).alias("m")).select(
+        "id", *fp, F.when(F.col("tile") <= F.col("m"), pair(F.col("tile"), F.col("m"))).otherwise(pair(F.col("m"), F.col("tile"))).alias("key"),
         F.when(F.col("tile") == F.col("m"), 0).when(F.col("tile") < F.col("m"), 1).otherwise(2).alias("side"),
     )
-    small = dealt.join(large, "key", "left_anti").select("fp", "key", F.lit(0).alias("side"))
-    work = small.unionByName(spread).repartition("key")
+    small = dealt.join(large, "key", "left_anti").select("id", *fp, "key", F.lit(0).alias("side"))
+    work = small.unionByName(spread).repartition("key").sortWithinPartitions("key")
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        a, b = _links(t["key"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in fp], axis=1), t["side"].to_numpy(), radius)
+        ids = t["id"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got)
-            a, b = _links(t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy(), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < HELD:
+                continue
+            t = pa.Table.from_batches(held)
+            key = t["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if cut:
+                yield links(t.slice(0, cut))
+                held, n = t.slice(cut).to_batches(), t.num_rows - cut
+        if n:
+            yield links(pa.Table.from_batches(held))
 
     return work.mapInArrow(run, "a long, b long")
 
 
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between the distinct fingerprints in column ``fp`` that span every group."""
+    edges = np.linspace(0, 64, radius + 2).astype(int)
+    masks = [(((1 << int(b - a)) - 1) << int(a), int(a), i) for i, (a, b) in enumerate(itertools.pairwise(edges))]
+    key = F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")), s)) for m, s, i in masks])
+    return _compare(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("f0"), F.explode(key).alias("key")), 1, radius, bucket)
+
+
+def bits_apart(similarity: float, words: int = WORDS) -> int:
+    """How many bits two texts of this Jaccard similarity differ in, on average, and half a standard
+    deviation more: the share of differing bits is the angle of the shingle counts over pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * words * p + math.sqrt(64 * words * p * (1 - p)) / 2)
+
+
+def sampled_bits(n: int, similarity: float, words: int = WORDS) -> np.ndarray:
+    """(tables x bits): positions that the tables for ``n`` fingerprints take, drawn from a fixed seed."""
+    bits = max(12, math.ceil(math.log2(max(1, n) / MEET)))
+    met = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    draw = np.random.default_rng(20)
+    return np.stack([draw.permutation(64 * words)[:bits] for _ in range(math.ceil(math.log(MISSED) / math.log(1 - met)))])
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, component_id) of documents in groups of two or more; component_id is the least doc_id.
+
+    Documents link where their fingerprints are at most ``bits_apart(similarity)`` apart. Equal
+    texts and texts without words always link. Null ids are left out; rows of one id are one
+    document. Pairs above the similarity are met with a chance of 1 - MISSED or more.
+    """
+    src = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    fp = [f"f{w}" for w in range(WORDS)]
+
+    def scan(b: pa.RecordBatch) -> dict:
+        got = wide_fingerprints(texts(b["text"]), shingle).view(np.int64)
+        return {"doc_id": b["doc_id"]} | {c: pa.array(got[:, w]) for w, c in enumerate(fp)}
+
+    rows = materialize(map_arrow(src, scan, "doc_id long, " + ", ".join(f"{c} long" for c in fp)), "simhash-wide")
+    own = materialize(rows.groupBy(*fp).agg(F.min("doc_id").alias("id")), "simhash-reps")
+    at = sampled_bits(own.count(), similarity)
+
+    def deal(batches):
+        for big in batches:
+            for i in range(0, big.num_rows, 4096):
+                b = big.slice(i, 4096)
+                grid = np.stack([b[c].to_numpy().view(np.uint64) for c in fp], axis=1)
+                for k, some in enumerate(at):
+                    key = np.full(len(grid), k, np.int64)
+                    for x in some.tolist():
+                        key = key << 1 | (grid[:, x // 64] >> np.uint64(x % 64) & np.uint64(1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([b["id"], *[b[c] for c in fp], pa.array(key)], names=["id", *fp, "key"])
+
+    dealt = own.select("id", *fp).mapInArrow(deal, "id long, " + ", ".join(f"{c} long" for c in fp) + ", key long")
+    links = _compare(dealt, WORDS, bits_apart(similarity), bucket)
+    same = rows.join(own, fp).filter(F.col("doc_id") != F.col("id")).select("id", "doc_id")
+    comp = components(links.toDF("src", "dst").unionByName(same.toDF("src", "dst")))
+    return comp.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs``.
 
@@ -195,17 +292,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(least, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; a row without id is its own group.
-
-    Of repeated rows with that id all stay. Texts are not shuffled for groups of one.
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its group (see ``similar``); a row without id
+    is its own group. Of repeated rows with that id all stay. Texts are not shuffled by fingerprint.
     """
-    near = near_duplicates(docs, text, doc_id, radius)
-    gone = near.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    near = similar(docs, text, doc_id, shingle, similarity)
+    key = free_name("gone", docs.columns)
+    gone = near.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs[doc_id].cast("long") == gone[key], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of documents, links at 3 bits or fewer; see
+    ``near_duplicates`` for nulls, texts without words, repeated rows and an empty table."""
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

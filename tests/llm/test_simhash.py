@@ -88,3 +88,51 @@ def test_keep_one_keeps_least_id_and_columns(spark):
     rows = [(2, "a b c d e f", 1), (1, "a b c d e f", 2), (9, "something else entirely here", 3), (None, None, 4)]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, rep int"))
     assert out.columns == ["doc_id", "text", "rep"] and {r.rep for r in out.collect()} == {2, 3, 4}
+
+
+def test_tiles_far_apart_in_population_count_are_skipped(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    r = np.random.default_rng(4)
+    fp = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64) & r.integers(0, 1 << 63, 400, dtype=np.uint64))
+    fp = np.unique(np.r_[fp, fp ^ np.uint64(5), ~fp])
+    fp = fp[np.argsort(np.bitwise_count(fp), kind="stable")][:, None]
+    counts, own = np.bitwise_count(fp[:, 0]).astype(int), np.arange(len(fp))
+    forest = simhash._Forest(len(fp))
+    done, skipped = simhash._tiles(forest, fp, counts, own, own, 3)
+    assert skipped > done > 0
+    assert {i: int(x) for i, x in enumerate(forest.roots(own))} == groups(list(range(len(fp))), [int(x) for x in fp[:, 0]])
+
+
+@pytest.mark.parametrize("bucket", [3, 8192])
+def test_similar_documents_meet(spark, bucket):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    rows, want, base = [], {}, []
+    for g in range(40):
+        t = [word() for _ in range(r.randint(80, 400))]
+        for c in range(4):
+            u = list(t)
+            for at in r.sample(range(len(u)), c * len(u) // 300):  # each changed word takes five shingles
+                u[at] = word()
+            rows.append((len(rows), " ".join(u), 1))
+            want[len(rows) - 1] = 4 * g
+    rows += [(900 + i, " ".join(word() for _ in range(60)), 1) for i in range(40)] + [(None, rows[0][1], 1), (None, None, 1), (2, rows[2][1], 1)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string, f0 int"), bucket=bucket).collect()}
+    assert got == want
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, f0 int")).collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == [*range(0, 160, 4), *range(900, 940)] and sum(x.doc_id is None for x in kept) == 2
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bits_estimate_the_similarity():
+    r = random.Random(9)
+    for j in (0.75, 0.8, 0.9):
+        apart = []
+        for _ in range(40):
+            n = 600
+            both = [r.random().hex() for _ in range(round(2 * n * j / (1 + j)))]
+            a, b = (both + [r.random().hex() for _ in range(n - len(both))] for _ in "ab")
+            x, y = simhash.wide_fingerprints([" ".join(a), " ".join(b)], 1)
+            apart.append(int(np.bitwise_count(x ^ y).sum()))
+        p = np.arccos(2 * j / (1 + j)) / np.pi * 256
+        assert abs(np.mean(apart) - p) < 3
