@@ -256,12 +256,14 @@ _KEY = ["doc_id", "th"]
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(source, spans): ``source`` has doc_id, th (a hash of the text) and text; ``spans`` one row for
-    each (doc_id, th) from which bytes go, with a list of stretches (a, b) that may overlap.
+    """(source, spans): ``source`` has id, doc_id, th (a hash of the text) and text; ``spans`` one row
+    for each (doc_id, th) from which bytes go, with a list of stretches (a, b) that may overlap.
 
-    Null text: empty; null doc_id: -1 in these tables. Repeated rows repeat each other's bytes.
+    Null text: empty. ``id`` is the row's own; doc_id, a key of these two tables only, has -1 where it
+    is null, as rows of one text lose the same bytes anyway. Repeated rows repeat each other's bytes.
     """
-    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = F.col(doc_id).cast("long")
+    src = docs.select(own.alias("id"), F.coalesce(own, F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("th", F.xxhash64("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +273,13 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gr
             pack = (r["start"] << 16) | (r["count"] << 8) | r["off"]
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(doc), b["th"].take(doc), pa.array(pack, pa.int64()), pa.array(r["h"]), pa.array(r["c"])], names=["doc_id", "th", "pack", "h", "c"])
 
-    all_runs = src.mapInArrow(cut, "doc_id long, th long, pack long, h long, c long")
-    kinds = all_runs.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    about = kinds.join(mixed, "h", "left").filter("n > 1 or kinds is not null")
-    met = all_runs.join(about, ["h", "c"]).filter((F.col("n") > 1) | (F.col("doc_id") == F.col("rep")))
+    all_runs = src.select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, pack long, h long, c long")
+    twice = all_runs.groupBy("h").agg(F.count("*").alias("n_h"), (F.min("c") != F.max("c")).alias("mixed")).filter("n_h > 1")
+    met = materialize(all_runs.join(twice, "h"), "suffix-met")  # most anchors stand once and go here
+    kinds = met.filter("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+    about = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h")
+    met = met.filter("mixed").join(about, ["h", "c"]).filter((F.col("n") > 1) | (F.col("doc_id") == F.col("rep"))).select(*_KEY, "pack", "h", "c", "n", "rep", "kinds").unionByName(
+        met.filter("not mixed").select(*_KEY, "pack", "h", "c", F.col("n_h").alias("n")), allowMissingColumns=True)
     rows = F.struct("pack", "h", "c", (F.col("n") == 1).alias("single"), "kinds")
     send = F.col("kinds").isNotNull() & (F.col("doc_id") == F.col("rep"))
     per_doc = met.groupBy(*_KEY).agg(F.collect_list(F.when(F.col("n") > 1, F.col("pack"))).alias("whole"), F.collect_list(F.when(send, rows)).alias("send"))
@@ -297,7 +301,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gr
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], names=list(names))
 
     schema = "doc_id long, th long, start int, count short, off short, h long, c long, single boolean, kinds long, data binary"
-    wanted = src.join(per_doc.filter(F.size("send") > 0).select(*_KEY, "send"), _KEY)
+    wanted = src.select("doc_id", "th", "text").join(per_doc.filter(F.size("send") > 0).select(*_KEY, "send"), _KEY)
     sent = materialize(wanted.mapInArrow(fetch, schema), "suffix-sent")
     span = "doc_id long, th long, a int, b int"
     usual = sent.filter(F.col("kinds") <= group).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_resolve_groups, span)
@@ -346,19 +350,21 @@ def _applied(docs: DataFrame, text: str, doc_id: str, make, schema: str) -> Data
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, kept): for each row of ``docs`` the bytes that stay, which may cut characters.
-
-    Rows with a null doc_id come back with -1."""
+    """(doc_id, kept): for each row of ``docs``, repeated or without an id, the bytes that stay, which
+    may cut characters. Null text: no bytes. Other columns are not read; an empty table gives none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [_kept(t.encode("utf-8", "surrogatepass"), s)[0] for t, s in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(kept, pa.binary())], names=["doc_id", "kept"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
     return _applied(docs, text, doc_id, make, "doc_id long, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of documents once strings that stand elsewhere too are gone; see
+    ``find_repeats`` and ``deduplicate`` for nulls and repeated rows. No text: nothing to remove."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -367,7 +373,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kept, n = _kept(raw, s)
                 for k, v in zip(out, (len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([b["id"], *(pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 
     return _applied(table(spark, sf_dir, "documents"), "text", "doc_id", make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
