@@ -3,9 +3,10 @@
 Equal vectors of a label are one node with a multiplicity. Nodes of a label are hashed into
 shards of bounded size; each shard gets a hierarchical graph. Every node is then searched
 for in every shard of its label, in units of two shards. A search widens its beam while all
-it holds are links; a unit widens all beams until an audit against brute force passes. Links
-are verified by cosine in double precision. Units return degrees and spanning links, never
-all pairs.
+it holds are links; a unit widens all beams until an audit against brute force passes: rows are
+compared with every node until AUDIT_LINKS links are seen, and the audit's counts are returned
+(see ``audit``). Links are verified by cosine in double precision. Units return degrees and
+spanning links, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ THRESHOLD = 0.93
 SHARD_ROWS, SHARD_BYTES = 8192, 64 << 20  # a shard has at most so many nodes, or bytes of doubles
 M, M0, LEVEL_UP = 16, 32, 16  # links that a node seeks, links it may hold, nodes of a level per node above
 BEAM, STEP, BLOCK = 64, 8, 128
-AUDIT_ROWS, AUDIT_RECALL = 128, 0.995
+AUDIT_LINKS, AUDIT_ROWS, AUDIT_RECALL = 256, 1024, 0.995  # links to see, rows to look at for them at most
 
 
 def _best(sims: np.ndarray, n: int) -> np.ndarray:
@@ -84,8 +85,8 @@ def _diverse(vec: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarr
 
 
 class Graph:
-    """``vec``: unit vectors, float32. ``links``: level 0. ``top``: nodes of level 1, the first
-    ones, with links among them; a query enters by the best of a sample of those."""
+    """``vec``: unit vectors, float32. ``links``: level 0, of all nodes. ``top_links``: level 1, of the
+    first nodes. Level 2 is every LEVEL_UP-th of those, so few that a query looks at all of them."""
 
     def __init__(self, vec: np.ndarray, links: np.ndarray, top_links: np.ndarray):
         self.vec, self.links, self.top_links = vec, links, top_links
@@ -192,36 +193,52 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def _directed(g: Graph, q: np.ndarray, qx: np.ndarray, gx: np.ndarray, threshold: float, itself: bool) -> tuple[np.ndarray, list]:
-    """All links found from the queries; the beam doubles until the audit passes."""
-    exact, ef, log = _cosines(qx, gx), BEAM, []
-    audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_ROWS)).astype(int))
-    truth = np.zeros((len(audit), len(gx)), bool)
-    for i, a in enumerate(audit):
-        truth[i] = exact(np.full(len(gx), a), np.arange(len(gx))) >= threshold
+def _directed(g: Graph, q: np.ndarray, qx: np.ndarray, gx: np.ndarray, threshold: float, itself: bool) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """All links found from the queries, and (links that the audit saw, those of them found, beam).
+    The beam doubles until the audit passes."""
+    exact, ef = _cosines(qx, gx), BEAM
+    rows, truth, seen = np.random.default_rng(7).permutation(len(q))[:AUDIT_ROWS], [], 0
+    for i in range(0, len(rows), 32):
+        near = np.zeros((len(rows[i : i + 32]), len(gx)), bool)
+        a, b = np.nonzero(q[rows[i : i + 32]] @ g.vec.T >= threshold - 1e-4)
+        near[a, b] = exact(rows[i + a], b) >= threshold
         if itself:
-            truth[i, a] = False
+            near[np.arange(len(near)), rows[i : i + 32]] = False
+        truth.append(near)
+        seen += int(near.sum())
+        if seen >= AUDIT_LINKS:
+            break
+    truth = np.concatenate(truth)
+    rows = rows[: len(truth)]
     hit = np.zeros((len(q), len(gx)), bool)
     while True:
         _search(g, q, exact, hit, ef, threshold)
         if itself:
             np.fill_diagonal(hit, False)
             hit |= hit.T
-        want = int(truth.sum())
-        recall = float((hit[audit] & truth).sum() / want) if want else 1.0
-        log.append((ef, recall))
-        if recall >= AUDIT_RECALL or ef >= len(gx):
-            return hit, log
+        found = int((hit[rows] & truth).sum())
+        if found >= AUDIT_RECALL * seen or ef >= len(gx):
+            return hit, (seen, found, ef)
         ef *= 2
 
 
+def _degrees(hit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``hit @ n``, some rows at a time."""
+    return np.concatenate([hit[i : i + 256] @ n for i in range(0, len(hit), 256)] or [np.zeros(0, np.int64)])
+
+
 _GRAPH = "label int, dim int, shard int, shards int, rep binary, n binary, vec binary, links binary, top binary, top_n int"
 
 
+def _matrix(blob: bytes, n: int, dim: int) -> np.ndarray:
+    """Vectors of floats or doubles, as their bytes were packed."""
+    return np.frombuffer(blob, np.float32 if len(blob) == 4 * n * dim else np.float64).reshape(n, dim)
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     dim = int(pdf["dim"].iloc[0])
-    raw = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
+    raw = _matrix(b"".join(pdf["vec"]), len(pdf), dim)
     order = np.random.default_rng(42).permutation(len(raw))
     raw, rep, n = raw[order], pdf["rep"].to_numpy(np.int64)[order], pdf["n"].to_numpy(np.int64)[order]
     g = Graph.build(_unit(raw.astype(float)))
@@ -234,25 +251,28 @@ def _links_of_unit(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for _, r in pdf.sort_values("side").iterrows():
-            x = np.frombuffer(r["vec"], np.float32).reshape(-1, r["dim"]).astype(float)
+            x = _matrix(r["vec"], len(r["rep"]) // 8, r["dim"]).astype(float)
             grid = lambda b: np.frombuffer(b, np.int32).reshape(-1, M0).astype(np.int64)
             sides.append((x, Graph(_unit(x), grid(r["links"]), grid(r["top"])), np.frombuffer(r["rep"], np.int64), np.frombuffer(r["n"], np.int64)))
         (x, g, rep, n), (y, h, rep2, n2) = sides[0], sides[-1]
         if len(sides) == 1:
-            hit, _ = _directed(g, g.vec, x, x, threshold, True)
-            ids, degree = rep, hit @ n
+            hit, log = _directed(g, g.vec, x, x, threshold, True)
+            ids, degree = rep, _degrees(hit, n)
         else:
-            hit, _ = _directed(h, g.vec, x, y, threshold, False)
-            other, _ = _directed(g, h.vec, y, x, threshold, False)
+            hit, log = _directed(h, g.vec, x, y, threshold, False)
+            other, log2 = _directed(g, h.vec, y, x, threshold, False)
             hit |= other.T
-            ids, degree = np.r_[rep, rep2], np.r_[hit @ n2, hit.T @ n]
+            log = (log[0] + log2[0], log[1] + log2[1], max(log[2], log2[2]))
+            ids, degree = np.r_[rep, rep2], np.r_[_degrees(hit, n2), _degrees(hit.T, n)]
         forest = _Forest(len(ids))
         for i in range(0, len(hit), 256):
             a, b = np.nonzero(hit[i : i + 256])
             forest.link(a + i, b + (0 if len(sides) == 1 else len(rep)))
         root = forest.roots(np.arange(len(ids)))
         on = degree > 0
-        return pd.DataFrame({"rep": ids[on], "links": degree[on].astype(np.int64), "root": ids[root][on]})
+        out = pd.DataFrame({"rep": ids[on], "links": degree[on].astype(np.int64), "root": ids[root][on]})
+        one = {"label": [int(pdf["label"].iloc[0])], "seen": [log[0]], "found": [log[1]], "beam": [log[2]]}
+        return pd.concat([out.astype("Int64"), pd.DataFrame(one).astype("Int64")]).reindex(columns=["rep", "links", "root", "label", "seen", "found", "beam"])
 
     return run
 
@@ -274,37 +294,60 @@ def build_graphs(nodes: DataFrame) -> DataFrame:
     return placed.select("label", "dim", "shard", "shards", F.col("node").alias("rep"), "n", "vec").groupBy("label", "dim", "shard").applyInPandas(_build, _GRAPH)
 
 
-def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept): a row per row of ``emb``.
+_FOUND = "rep long, links long, root long, label long, seen long, found long, beam long"
 
-    Vectors link when labels are equal and the cosine reaches the threshold. Those that are
-    null, zero, or hold a null or a non-finite component, and rows with a null label, link with
-    nothing; so do vectors of different length. Repeated rows are vectors of their own with the
-    same id, and what they link to is reached from each other. Rows with a null vec_id link with
-    nothing, have no component and are kept.
-    """
-    src = emb.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<float>").alias("embedding"))
 
-    def pack(b: pa.RecordBatch) -> dict:
+def pack(emb: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+    """(vec_id, label, dim, vec): vectors as bytes of their own precision; null if they link with nothing."""
+    single = emb.schema[embedding].dataType.elementType.typeName() == "float"
+    dtype = np.float32 if single else np.float64
+    src = emb.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("embedding"))
+
+    def run(b: pa.RecordBatch) -> dict:
         out, dims = [], []
         for v, i in zip(b["embedding"], b["vec_id"], strict=True):
             x = None
             if i.is_valid and v.is_valid and len(v) and v.values.null_count == 0:
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0 becomes 0
+                x = v.values.to_numpy(zero_copy_only=False).astype(dtype) + dtype(0)  # -0 becomes 0
                 if not np.isfinite(x).all() or not x.any():
                     x = None
             out.append(None if x is None else x.tobytes())
             dims.append(0 if x is None else len(x))
         return {"vec_id": b["vec_id"], "label": b["label"], "dim": dims, "vec": out}
 
-    rows = materialize(map_arrow(src, pack, "vec_id long, label int, dim int, vec binary"), "emb-rows")
-    nodes = materialize(distinct_vectors(rows), "emb-nodes")
+    return map_arrow(src, run, "vec_id long, label int, dim int, vec binary")
+
+
+def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Degrees and spanning links of ``distinct_vectors``: (rep, links, root), and a row for each pair of
+    shards with its audit: (label, seen, found, beam)."""
     graphs = materialize(build_graphs(nodes), "emb-graphs")
     blob = ["dim", "rep", "n", "vec", "links", "top"]
     left = graphs.select("label", "shard", *blob, F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("other"))
     right = graphs.filter("shard > 0").select("label", "shard", *blob, F.explode(F.sequence(F.lit(0), F.col("shard") - 1)).alias("other"))
     units = left.select("label", F.col("shard").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"), *blob).unionByName(right.select("label", F.col("other").alias("a"), F.col("shard").alias("b"), F.lit(1).alias("side"), *blob))
-    found = materialize(units.groupBy("label", "dim", "a", "b").applyInPandas(_links_of_unit(threshold), "rep long, links long, root long"), "emb-found")
+    return materialize(units.groupBy("label", "dim", "a", "b").applyInPandas(_links_of_unit(threshold), _FOUND), "emb-found")
+
+
+def audit(emb: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(label, seen, found, beam): of the links that brute force saw in the audits of a label, how many
+    the graphs found, and the widest beam used. Recall is found / seen; labels without links are left out."""
+    found = find_links(materialize(distinct_vectors(pack(emb)), "emb-nodes"), threshold)
+    return found.filter("seen > 0").groupBy("label").agg(F.sum("seen").alias("seen"), F.sum("found").alias("found"), F.max("beam").alias("beam"))
+
+
+def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept): a row per row of ``emb``.
+
+    Vectors link when labels are equal and the cosine reaches the threshold. Those that are
+    null, zero, or hold a null or a non-finite component, and rows with a null label, link with
+    nothing; so do vectors of different length. Repeated rows are vectors of their own with the
+    same id, and what they link to is reached from each other. Rows with a null vec_id link with
+    nothing, have no component and are kept. Other columns are not read; no rows give none.
+    """
+    rows = materialize(pack(emb, vec_id, embedding, label), "emb-rows")
+    nodes = materialize(distinct_vectors(rows), "emb-nodes")
+    found = find_links(nodes, threshold).filter("rep is not null")
     rep = lambda c: nodes.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_id"))
     edges = found.filter(F.col("rep") != F.col("root")).select("rep", "root").join(rep("rep"), "rep").join(rep("root"), "root").select(F.col("rep_id").alias("src"), F.col("root_id").alias("dst"))
     ids = rows.join(nodes.select("label", "dim", "vec", "rep"), ["label", "dim", "vec"]).select("vec_id", "rep")
@@ -320,6 +363,8 @@ def near_duplicates(emb: DataFrame, threshold: float = THRESHOLD, vec_id: str =
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every row of embeddings at a cosine of 0.93 or more; see
+    ``near_duplicates`` for vectors that link with nothing, repeated rows and nulls."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

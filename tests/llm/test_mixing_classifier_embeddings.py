@@ -155,4 +155,25 @@ def test_graph_recall_against_brute_force():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     truth = u @ u.T >= 0.93
     np.fill_diagonal(truth, False)
-    assert (hit & ~truth).sum() == 0 and (hit & truth).sum() >= 0.99 * truth.sum() and log[-1][1] >= ed.AUDIT_RECALL
+    assert (hit & ~truth).sum() == 0 and (hit & truth).sum() >= 0.99 * truth.sum()
+    assert log[0] >= ed.AUDIT_LINKS and log[1] >= ed.AUDIT_RECALL * log[0]
+
+
+def test_audit_sees_rare_links(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(400, 24))
+    x[7] = x[390] * 2
+    _, log = ed._directed(ed.Graph.build(ed._unit(x)), ed._unit(x), x, x, 0.93, True)
+    assert log[:2] == (2, 2)
+    rows = [(i, [float(np.float32(v)) for v in y], 3) for i, y in enumerate(x)] + [(900, [1.0] * 24, 4)]
+    got = ed.audit(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert [(r.label, r.seen, r.found) for r in got] == [(3, 2, 2)]
+
+
+def test_doubles_keep_their_precision(spark):
+    a = [1.0, 0.0]
+    b = [0.93, float(np.sqrt(1 - 0.93**2))]  # a cosine that rounding to floats would move
+    for eps, links in ((1e-12, 0), (-1e-12, 1)):
+        rows = [(1, a, 1), (2, [b[0] - eps, b[1] + eps * b[0] / b[1]], 1)]
+        got = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert [r.n_links for r in got] == [links, links]
