@@ -37,7 +37,7 @@ from proxigraph.plans.shared import drop, fresh_path, materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SHARD_ROWS = 8192
-SLICE_CHARS = 2_000_000  # characters that a task handles at once, one text at least
+SLICE_CHARS = 1_000_000  # characters that a task handles at once, one text at least
 MASK = 62  # characters of a chunk whose boundaries fit a long
 LONG = 256  # longer chunks are not put into tables but encoded where they occur
 
