@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +27,32 @@ def community_report(g: Graph) -> DataFrame:
     return c.groupBy("component").agg(F.count("*").alias("size")).join(e, "component", "left").select("component", "size", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-def levels(g: Graph, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(id, source, hops): breadth first from every row (id, source) of ``seeds`` at once."""
+def levels(g: Graph, seeds: DataFrame, rounds: int = 10_000, most: int | None = None) -> DataFrame:
+    """(id, source, hops): breadth first from every row (id, source) of ``seeds`` at once, up to ``most`` hops.
+
+    Neighbours of a level lie in it or next to it, so only the last two levels are looked at and
+    each is written once. An error if ``rounds`` do not reach the end."""
     s = materialize(g.both(), "bfs-links")
-    seen = materialize(seeds.select("id", "source", F.lit(0).alias("hops")), "bfs")
-    for h in range(1, rounds + 1):
-        nxt = seen.filter(F.col("hops") == h - 1).join(s, F.col("id") == F.col("v")).select(F.col("u").alias("id"), "source").distinct()
-        new = materialize(nxt.join(seen.select("id", "source"), ["id", "source"], "left_anti").withColumn("hops", F.lit(h)), "bfs-new")
+    done, now, before = None, materialize(seeds.select("id", "source", F.lit(0).alias("hops")).distinct(), "bfs"), None
+    parts = [now]
+    for h in range(1, (rounds if most is None else most) + 1):
+        nxt = now.join(s, F.col("id") == F.col("v")).select(F.col("u").alias("id"), "source").distinct()
+        for old in (now, before):
+            if old is not None:
+                nxt = nxt.join(old.select("id", "source"), ["id", "source"], "left_anti")
+        new = materialize(nxt.withColumn("hops", F.lit(h)), "bfs")
         if new.isEmpty():
+            drop(new)
             break
-        both = materialize(seen.unionByName(new), "bfs")
-        drop(seen)
-        seen = both
-    return seen
+        parts.append(new)
+        before, now = now, new
+        if len(parts) > 24:  # a plan of a few scans
+            done = materialize(reduce(DataFrame.unionByName, parts[:-2] if done is None else [done, *parts[:-2]]), "bfs")
+            parts = parts[-2:]
+    else:
+        if most is None:
+            raise RuntimeError(f"not all levels were reached in {rounds} rounds")
+    return reduce(DataFrame.unionByName, parts if done is None else [done, *parts])
 
 
 def bfs(g: Graph, source: str) -> DataFrame:
@@ -95,12 +110,14 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, rounds: i
 
 
 def rank_compare(ranks: DataFrame, g: Graph, top: int = 20) -> DataFrame:
-    """Places by rank and by degree, for those among the first ``top`` of either."""
-    x = ranks.join(g.degrees(), "id")
-    a, b = x.orderBy(F.desc(F.round("rank", 12)), "id").limit(top), x.orderBy(F.desc("degree"), "id").limit(top)
-    both = a.select("id").union(b.select("id")).distinct()
-    by = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "id"))
-    return x.withColumns({"by_rank": by(F.round("rank", 12)), "by_degree": by("degree")}).join(both, "id").select("id", "by_rank", "by_degree", (F.col("by_degree") - F.col("by_rank")).alias("shift"))
+    """Places by rank and by degree, for those among the first ``top`` of either: vertices ahead of
+    each of these few are counted, so nothing is numbered as a whole."""
+    x = materialize(ranks.join(g.degrees(), "id").select("id", F.round("rank", 12).alias("rank"), F.col("degree")), "rank-compare")
+    a, b = x.orderBy(F.desc("rank"), "id").limit(top), x.orderBy(F.desc("degree"), "id").limit(top)
+    few = a.union(b).distinct().select(F.col("id").alias("i"), F.col("rank").alias("r"), F.col("degree").alias("d"))
+    ahead = lambda c, k: F.sum(F.when((F.col(c) > F.col(k)) | ((F.col(c) == F.col(k)) & (F.col("id") <= F.col("i"))), 1).otherwise(0))
+    n = x.join(F.broadcast(few)).groupBy("i").agg(ahead("rank", "r").alias("by_rank"), ahead("degree", "d").alias("by_degree"))  # 2 * top rows
+    return n.select(F.col("i").alias("id"), "by_rank", "by_degree", (F.col("by_degree") - F.col("by_rank")).alias("shift"))
 
 
 def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
@@ -119,8 +136,8 @@ def coreness(g: Graph, rounds: int = 1000) -> DataFrame:
         c = new.select("id", "core")
         c._proxigraph_path = new._proxigraph_path
         if not changed:
-            break
-    return c
+            return c
+    raise RuntimeError(f"core numbers did not settle in {rounds} rounds")
 
 
 def core_profile(g: Graph) -> DataFrame:
@@ -170,6 +187,7 @@ def spanning_forest(g: Graph) -> DataFrame:
             break
         both = new if chosen is None else materialize(chosen.unionByName(new), "mst")
         chosen = both
+        drop(label)
         c = components(chosen)
         label = materialize(g.vertices.join(c, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "mst-labels")
     return chosen if chosen is not None else e.limit(0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proxigraph.plans.session import table
+from proxigraph.plans.shared import materialize
 
 EDGE_COLUMNS = ("src", "dst", "type", "weight", "label", "ts", "end_ts")
 
@@ -76,7 +77,7 @@ def co_part(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
     kind = F.get(F.array(*[F.lit(t) for t in TYPES]), ((F.col("p") + F.col("q")) % 5).cast("int"))
     edges = e.select(F.least(name("p"), name("q")).alias("src"), F.greatest(name("p"), name("q")).alias("dst"), kind.alias("type"), F.col("w").cast("double").alias("weight"), "label", "ts", "end_ts")
-    return Graph(part.select(name("p_partkey").alias("id")), edges)
+    return Graph(part.select(name("p_partkey").alias("id")), materialize(edges, "co-part"))  # operators read it several times
 
 
 #: The same graph for DuckDB: CTEs v(id) and e(src, dst, type, weight, label, ts, end_ts), s(v, u, type, weight), d(id, degree).
@@ -108,7 +109,16 @@ def user_seq(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
     e = e.select(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
     null = lambda t: F.lit(None).cast(t)
     edges = e.select("src", "dst", F.lit("f").alias("type"), "weight", null("string").alias("label"), null("long").alias("ts"), null("long").alias("end_ts"))
-    return Graph(table(spark, sf_dir, "events").select(name(F.col("user_id")).alias("id")).distinct(), edges)
+    return Graph(table(spark, sf_dir, "events").select(name(F.col("user_id")).alias("id")).distinct(), materialize(edges, "user-seq"))
+
+
+def user_next(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
+    """As ``user_seq``, directed: src's event comes directly before dst's, at least ``least`` times."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.date_trunc("day", "ts").alias("day"))
+    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    e = ev.select(name(F.col("user_id")).alias("src"), name(nxt).alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
+    return Graph(table(spark, sf_dir, "events").select(name(F.col("user_id")).alias("id")).distinct(), materialize(e, "user-next"), directed=True)
 
 
 USER_SEQ_SQL = """
@@ -118,6 +128,16 @@ e AS (SELECT least('u' || a, 'u' || b) AS src, greatest('u' || a, 'u' || b) AS d
 s AS (SELECT src AS v, dst AS u, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"""
 
 
+USER_NEXT_SQL = """
+nx AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS b FROM events),
+v AS (SELECT DISTINCT 'u' || user_id AS id FROM events),
+e AS (SELECT 'u' || a AS src, 'u' || b AS dst, count(*)::DOUBLE AS weight FROM nx WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def next_sql(body: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {USER_NEXT_SQL}{',' if more else ''}\n{more}\n{body}"
+
+
 def user_sql(body: str, more: str = "") -> str:
     return f"WITH RECURSIVE {USER_SEQ_SQL}{',' if more else ''}\n{more}\n{body}"
 
