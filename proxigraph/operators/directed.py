@@ -35,6 +35,15 @@ def strong_components(g: Graph) -> DataFrame:
     e = materialize(g.edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).filter("v <> u").distinct(), "scc-edges")
     out = None
     while not left.isEmpty():
+        # vertices without an edge in or out are components of their own: most go here, many at once
+        both = e.select(F.col("v").alias("id")).distinct().join(e.select(F.col("u").alias("id")).distinct(), "id")
+        alone = materialize(left.join(both, "id", "left_anti").select("id", F.col("id").alias("scc")), "scc-alone")
+        if not alone.isEmpty():
+            out = alone if out is None else materialize(out.unionByName(alone), "scc")
+            rest = materialize(left.join(alone, "id", "left_anti"), "scc-left")
+            inside = materialize(e.join(rest.select(F.col("id").alias("v")), "v", "left_semi").join(rest.select(F.col("id").alias("u")), "u", "left_semi"), "scc-edges")
+            left, e = rest, inside
+            continue
         fore = _spread(left.withColumn("mark", F.col("id")), e)
         inner = e.join(fore.select(F.col("id").alias("v"), F.col("mark").alias("a")), "v").join(fore.select(F.col("id").alias("u"), F.col("mark").alias("b")), "u").filter("a = b")
         back = _spread(fore.select("id", F.when(F.col("mark") == F.col("id"), F.col("id")).alias("mark")), inner.select(F.col("u").alias("v"), F.col("v").alias("u")))

@@ -220,11 +220,12 @@ QUERIES = {
     "growth_profile": lambda s, d: growth_profile(user_seq(s, d), A),
     "ball_overlap": lambda s, d: ball_overlap(user_seq(s, d), A, B, 1),
     "distance_percentiles": lambda s, d: distance_percentiles(_all(s, d)),
-    "betweenness_nodes": lambda s, d: brandes(user_seq(s, d))[0].select("id", rounded("betweenness", "betweenness")),
+    "betweenness": lambda s, d: brandes(user_seq(s, d))[0].select("id", rounded("betweenness", "betweenness")),
     "betweenness_edges": lambda s, d: brandes(user_seq(s, d))[1].select("src", "dst", rounded("betweenness", "betweenness")),
     "bridges": lambda s, d: bridges(user_seq(s, d, 4)),
     "label_propagation": lambda s, d: label_propagation(co_part(s, d)),
 }
+_BTW = user_sql("SELECT v.id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN (SELECT x.id, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM sg x JOIN sg y ON y.source = x.id JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + y.hops WHERE x.hops > 0 AND y.hops > 0 GROUP BY x.id) q ON q.id = v.id", _DIST + ", " + _SIGMA)
 _path = lambda a, b: _PAR.replace("{a}", a).replace("{b}", b)
 SQL = {
     "shortest_path_hops": user_sql("SELECT hops AS step, id FROM back", _DIST + ", " + _path(A, B)),
@@ -236,7 +237,7 @@ SQL = {
     "growth_profile": user_sql("SELECT hops, boundary, reached, round(CASE WHEN reached > boundary THEN boundary / (reached - boundary) ELSE 0 END, 6) AS rate FROM (SELECT hops, count(*) AS boundary, sum(count(*)) OVER (ORDER BY hops)::BIGINT AS reached FROM dist WHERE source = 'u1' GROUP BY hops)", _DIST),
     "ball_overlap": user_sql(f"SELECT round(coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) / count(*), 1), 6) AS overlap FROM (SELECT id, count(DISTINCT source) AS n FROM dist WHERE source IN ('{A}', '{B}') AND hops <= 1 GROUP BY id)", _DIST),
     "distance_percentiles": user_sql("SELECT p, min(hops) AS hops FROM (SELECT hops, sum(count(*)) OVER (ORDER BY hops) AS upto, sum(count(*)) OVER () AS total FROM dist WHERE source < id GROUP BY hops), (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS p) WHERE upto >= greatest(1, ceil(p * total)) GROUP BY p", _DIST),
-    "betweenness_nodes": user_sql("SELECT v.id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN (SELECT x.id, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM sg x JOIN sg y ON y.source = x.id JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + y.hops WHERE x.hops > 0 AND y.hops > 0 GROUP BY x.id) q ON q.id = v.id", _DIST + ", " + _SIGMA),
+    "betweenness": _BTW,
     "betweenness_edges": user_sql("SELECT e.src, e.dst, round(coalesce(b, 0), 6) AS betweenness FROM e LEFT JOIN (SELECT least(s.v, s.u) AS src, greatest(s.v, s.u) AS dst, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM s JOIN sg x ON x.id = s.v JOIN sg y ON y.source = s.u JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + 1 + y.hops GROUP BY 1, 2) q ON q.src = e.src AND q.dst = e.dst", _DIST + ", " + _SIGMA),
     "bridges": user_sql("SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.a = e.src AND cut.b = e.dst AND cut.id = e.dst)", "cut(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cut.a, cut.b, s.u FROM cut JOIN s ON s.v = cut.id AND NOT (s.v = cut.a AND s.u = cut.b) AND NOT (s.v = cut.b AND s.u = cut.a))").replace("count(*) >= 2", "count(*) >= 4"),
     "label_propagation": sql("SELECT * FROM l5", _LP),

@@ -172,7 +172,7 @@ QUERIES = {
     "nodes_isolated": _nodes(lambda q: q.isolated()),
     "nodes_leaves": _nodes(lambda q: q.leaves()),
     "nodes_where": _nodes(lambda q: q.with_min_degree(1).where(F.length("id") == 3)),
-    "nodes_sorted_by_degree": lambda s, d: GraphQueryEngine(co_part(s, d)).nodes().sorted_by_degree().limit(25),
+    "nodes_sorted_by_degree": lambda s, d: GraphQueryEngine(co_part(s, d)).nodes().sorted_by_degree(),
     "edges_of_type": _edges(lambda q: q.of_type("c")),
     "edges_weight_range": _edges(lambda q: q.with_min_weight(2).with_max_weight(3)),
     "edges_between": _edges(lambda q: q.between_nodes(q.g.degrees().filter("degree >= 4"))),
@@ -180,6 +180,9 @@ QUERIES = {
     "edges_label_regex": _edges(lambda q: q.label_matching(".*[12]")),
     "edges_active_at": _edges(lambda q: q.active_at(_T)),
     "edges_active_during": _edges(lambda q: q.active_during(_T, _T + 10**10)),
+    "edges_where": _edges(lambda q: q.where((F.col("weight") > 2) | (F.length("label") < 8))),
+    "edges_sorted_by_weight": lambda s, d: GraphQueryEngine(co_part(s, d)).edges().with_min_weight(3).sorted_by_weight().select("src", "dst", "weight"),
+    "node_count": lambda s, d: GraphQueryEngine(co_part(s, d)).nodes().with_min_degree(2).results().agg(F.count("*").alias("nodes")),
     "edges_temporal": _edges(lambda q: q.temporal()),
     "type_breakdown": lambda s, d: GraphQueryEngine(co_part(s, d)).edges().type_breakdown(),
     "query_stats": lambda s, d: GraphQueryEngine(co_part(s, d)).stats(),
@@ -196,7 +199,7 @@ SQL = {
     "nodes_isolated": sql("SELECT id FROM v WHERE id NOT IN (SELECT v FROM s)"),
     "nodes_leaves": sql("SELECT id FROM d WHERE degree = 1"),
     "nodes_where": sql("SELECT id FROM d WHERE degree >= 1 AND length(id) = 3"),
-    "nodes_sorted_by_degree": sql("SELECT id, degree FROM d ORDER BY degree DESC, id LIMIT 25"),
+    "nodes_sorted_by_degree": sql("SELECT id, degree FROM d"),
     "edges_of_type": sql(_E + "type = 'c'"),
     "edges_weight_range": sql(_E + "weight BETWEEN 2 AND 3"),
     "edges_between": sql(_E + "src IN (SELECT id FROM d WHERE degree >= 4) AND dst IN (SELECT id FROM d WHERE degree >= 4)"),
@@ -204,6 +207,9 @@ SQL = {
     "edges_label_regex": sql(_E + "regexp_full_match(label, '.*[12]')"),
     "edges_active_at": sql(_E + f"ts <= {_T} AND end_ts >= {_T}"),
     "edges_active_during": sql(_E + f"ts <= {_T + 10**10} AND end_ts >= {_T}"),
+    "edges_where": sql(_E + "weight > 2 OR length(label) < 8"),
+    "edges_sorted_by_weight": sql("SELECT src, dst, weight FROM e WHERE weight >= 3"),
+    "node_count": sql("SELECT count(*) AS nodes FROM d WHERE degree >= 2"),
     "edges_temporal": sql(_E + "ts IS NOT NULL"),
     "type_breakdown": sql("SELECT type, count(*) AS n FROM e GROUP BY type"),
     "query_stats": sql("SELECT count(*) AS n_nodes, (sum(degree) / 2)::BIGINT AS n_edges, min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree), 6) AS avg_degree FROM d"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proxigraph.operators.query import active_at, active_during
-from proxigraph.plans.graph import Graph, co_part, rounded, sql
+from proxigraph.plans.graph import Graph, co_part, rounded, sql, user_seq, user_sql
 from proxigraph.plans.shared import materialize
 
 
@@ -241,7 +241,7 @@ QUERIES = {
     "merge_intersection": _two(lambda a, b: merge(a, b, "intersection", "AVERAGE")),
     "merge_symdiff": _two(lambda a, b: merge(a, b, "symdiff")),
     "merge_left": _two(lambda a, b: merge(a, b, "left", "MAX")),
-    "complement_small": lambda s, d: complement(induced(co_part(s, d), co_part(s, d).degrees().orderBy(F.desc("degree"), "id").limit(60))),
+    "complement_small": lambda s, d: complement(user_seq(s, d)),
     "sparsify_local_k": lambda s, d: sparsify_local(co_part(s, d), 2),
     "sparsify_threshold": lambda s, d: sparsify_threshold(co_part(s, d), 3),
     "quotient_degree": lambda s, d: quotient(co_part(s, d), co_part(s, d).degrees().select("id", F.floor(F.col("degree") / 3).cast("string").alias("label"))),
@@ -266,7 +266,7 @@ SQL = {
     "merge_intersection": sql("SELECT src, dst, (a.weight + b.weight) / 2 AS weight FROM ea a JOIN eb b USING (src, dst)", _HALF),
     "merge_symdiff": sql("SELECT src, dst, coalesce(a.weight, b.weight) AS weight FROM ea a FULL JOIN eb b USING (src, dst) WHERE a.weight IS NULL OR b.weight IS NULL", _HALF),
     "merge_left": sql(f"SELECT src, dst, {_PICK.format('greatest(a.weight, b.weight)')} AS weight FROM ea a FULL JOIN (SELECT * FROM eb WHERE src IN (FROM va) AND dst IN (FROM va)) b USING (src, dst)", _HALF),
-    "complement_small": sql("SELECT a.id AS src, b.id AS dst FROM t a JOIN t b ON a.id < b.id ANTI JOIN e ON e.src = a.id AND e.dst = b.id", "t AS (SELECT id FROM d ORDER BY degree DESC, id LIMIT 60)"),
+    "complement_small": user_sql("SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id < b.id ANTI JOIN e ON e.src = a.id AND e.dst = b.id"),
     "sparsify_local_k": sql("SELECT DISTINCT least(v, u) AS src, greatest(v, u) AS dst FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY v ORDER BY weight DESC, u) <= 2)"),
     "sparsify_threshold": sql("SELECT src, dst FROM e WHERE weight >= 3"),
     "quotient_degree": sql("SELECT least(x.l, y.l) AS a, greatest(x.l, y.l) AS b, count(*) AS edges, sum(weight) AS weight FROM e JOIN l x ON x.id = src JOIN l y ON y.id = dst GROUP BY 1, 2", "l AS (SELECT id, (degree // 3)::VARCHAR AS l FROM d)"),

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from proxigraph.operators import iterative as it
-from proxigraph.operators import kernels as kn
 from proxigraph.operators import local, pipeline, query, subgraph
 from proxigraph.plans.components import components
 from proxigraph.plans.graph import Graph
@@ -117,22 +116,6 @@ def test_spanning_forest_weight(spark):
     assert it.spanning_forest(g).agg(F.sum("weight")).first()[0] == 10.0
 
 
-def test_kernel_invariants(spark):
-    ring = {f"r{i}": {f"r{(i + 1) % 6}": 1.0, f"r{(i - 1) % 6}": 1.0} for i in range(6)}
-    assert all(abs(x - 2.0) < 1e-9 for _, x in kn.betweenness(ring))
-    assert kn.cut_points(ring) == [] and len(kn.cliques(ring)) == 6
-    colour = dict(kn.colouring(ring))
-    assert all(colour[v] != colour[u] for v in ring for u in ring[v]) and len(set(colour.values())) == 2
-    cover = {v for (v,) in kn.vertex_cover(ring)}
-    assert all(v in cover or u in cover for v in ring for u in ring[v])
-    assert kn.max_flow("r0", "r3")(ring)[0][0] == 2.0 and len(kn.matching(ring)) == 3
-    path = {"a": {"b": 1.0}, "b": {"a": 1.0, "c": 1.0}, "c": {"b": 1.0}}
-    assert sorted(kn.cut_points(path), key=str) == sorted([("bridge", "a", "b"), ("bridge", "b", "c"), ("articulation", "b", None)], key=str)
-    two = {f"{s}{i}": {f"{s}{j}": 1.0 for j in range(4) if j != i} for s in "xy" for i in range(4)}
-    two["x0"]["y0"] = two["y0"]["x0"] = 1.0
-    assert len({c for _, c in kn.louvain(two)}) == 2
-
-
 def test_edge_list_round_trip(spark, tmp_path, five):
     edge_list.write(five.edges, str(tmp_path / "g"))
     g, bad = edge_list.read(spark, str(tmp_path / "g"))
