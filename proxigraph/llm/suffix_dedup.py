@@ -276,8 +276,9 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gr
     all_runs = src.select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, pack long, h long, c long")
     twice = all_runs.groupBy("h").agg(F.count("*").alias("n_h"), (F.min("c") != F.max("c")).alias("mixed")).filter("n_h > 1")
     met = materialize(all_runs.join(twice, "h"), "suffix-met")  # most anchors stand once and go here
-    kinds = met.filter("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
-    about = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h")
+    kinds = materialize(met.filter("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")), "suffix-kinds")
+    # Both sides are tables of their own, so that a join on an anchor with very many kinds can be split.
+    about = materialize(kinds.join(materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "suffix-anchors"), "h"), "suffix-about")
     met = met.filter("mixed").join(about, ["h", "c"]).filter((F.col("n") > 1) | (F.col("doc_id") == F.col("rep"))).select(*_KEY, "pack", "h", "c", "n", "rep", "kinds").unionByName(
         met.filter("not mixed").select(*_KEY, "pack", "h", "c", F.col("n_h").alias("n")), allowMissingColumns=True)
     rows = F.struct("pack", "h", "c", (F.col("n") == 1).alias("single"), "kinds")
