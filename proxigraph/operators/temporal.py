@@ -66,7 +66,7 @@ def lifecycles(g: Graph, k: int) -> DataFrame:
     moved = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), F.lit(0.0), lambda s, i: s + F.abs(F.get("y", i) - F.get("y", i - 1))) / (k - 1)
     z = grid.select("id", slope.alias("s"), moved.alias("v"), (F.get("y", F.lit(0)) > 0).alias("a"), (F.get("y", F.lit(k - 1)) > 0).alias("b"))
     kind = F.when(~F.col("a") & F.col("b"), "NEWCOMER").when(F.col("a") & ~F.col("b"), "DEPARTING").when(F.col("v") > 0.15, "VOLATILE").when(F.col("s") > 0.02, "RISING").when(F.col("s") < -0.02, "DECLINING").otherwise("STABLE")
-    return z.select("id", rounded("s", "slope", 4), rounded("v", "volatility", 4), kind.alias("kind"))
+    return z.select("id", (F.round("s", 4) + 0.0).alias("slope"), rounded("v", "volatility", 4), kind.alias("kind"))
 
 
 def community_matches(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ SQL = {
     "velocity": sql("SELECT w, round(dn, 6) AS d_n, round(dm, 6) AS d_m, round(dd, 6) AS d_density, round(speed, 6) AS speed FROM ve", _VEL),
     "change_points": sql(f"SELECT w, 'increase' AS direction, round(up, 6) AS value FROM cs WHERE up > {ALARM} UNION ALL SELECT w, 'decrease', round(down, 6) FROM cs WHERE down > {ALARM}", _CUSUM),
     "momentum": sql("SELECT round(s, 4) AS speed, round(x, 4) AS gain, CASE WHEN s IS NULL THEN 'STAGNANT' WHEN s > 1.0 AND x > 0.2 THEN 'EXPLOSIVE' WHEN s > 0.3 AND x > 0 THEN 'ACCELERATING' WHEN s > 0.1 AND abs(x) < 0.1 THEN 'STEADY' WHEN s > 0.1 AND x < -0.1 THEN 'DECELERATING' WHEN s < 0.05 THEN 'STAGNANT' WHEN de < -0.3 THEN 'COLLAPSING' ELSE 'STEADY' END AS phase FROM (SELECT avg(speed) AS s, arg_max(speed, w) - arg_min(speed, w) AS x, sum(dd) AS de FROM (SELECT * FROM ve ORDER BY w DESC LIMIT 3))", _VEL),
-    "node_lifecycles": sql("SELECT id, round(s, 4) AS slope, round(v, 4) AS volatility, CASE WHEN NOT a AND b THEN 'NEWCOMER' WHEN a AND NOT b THEN 'DEPARTING' WHEN v > 0.15 THEN 'VOLATILE' WHEN s > 0.02 THEN 'RISING' WHEN s < -0.02 THEN 'DECLINING' ELSE 'STABLE' END AS kind FROM li", _LIFE),
+    "node_lifecycles": sql("SELECT id, round(s, 4) + 0.0 AS slope, round(v, 4) AS volatility, CASE WHEN NOT a AND b THEN 'NEWCOMER' WHEN a AND NOT b THEN 'DEPARTING' WHEN v > 0.15 THEN 'VOLATILE' WHEN s > 0.02 THEN 'RISING' WHEN s < -0.02 THEN 'DECLINING' ELSE 'STABLE' END AS kind FROM li", _LIFE),
 }
 
 

@@ -28,7 +28,7 @@ def read(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
 
 
 def write(edges: DataFrame, path: str) -> None:
-    """``edges`` header and a line per edge in one ordered file."""
+    """``edges`` header and a line per edge, ordered; a large graph is several files in order of name."""
     rows = edges.select(F.lit(1).alias("k"), F.concat_ws(" ", "type", "src", "dst", F.col("weight").cast("string")).alias("value"))
     head = edges.sparkSession.createDataFrame([(0, "edges")], "k int, value string")
-    head.unionByName(rows).orderBy("k", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
+    head.unionByName(rows).repartitionByRange("k", "value").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)

@@ -89,7 +89,9 @@ def test_core_truss_triangles_on_random_graph(spark):
     r = random.Random(3)
     pairs = sorted(r.sample(list(itertools.combinations([f"v{i:02}" for i in range(25)], 2)), 80))
     g = graph(spark, [(a, b, "f", 1.0) for a, b in pairs])
-    adj = kn.adjacency(g.edges.toPandas())
+    adj = {v: {} for p in pairs for v in p}
+    for a, b in pairs:
+        adj[a][b] = adj[b][a] = 1.0
     core, left, k = {}, {v: set(n) for v, n in adj.items()}, 0
     while left:
         low = [v for v in left if len(left[v]) <= k]
