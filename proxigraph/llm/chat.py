@@ -160,6 +160,8 @@ _PROBE = "</s>[INST] ok [/INST]"
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation, read back from its formatted text. Rows go by turn, then role and text;
+    null text and role: empty; repeated rows are turns of their own; a null conv_id is one conversation."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
     return read_back(format_chats(rows.unionByName(probe)))

@@ -230,6 +230,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of every row of documents: base spans and those of disclosing terms. Null text:
+    empty; null ids stay null; repeated rows are documents of their own in all counts."""
     found, terms = find(table(spark, sf_dir, "documents"))
     t = terms.select(F.col("doc_id").alias("i"), F.col("th").alias("h"), "told")
     both = found.join(t, found.doc_id.eqNullSafe(t.i) & (found.th == t.h), "left")

@@ -651,10 +651,25 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)]
 
 
+def unigram(pieces: Pieces) -> Pieces:
+    """The same pieces as a unigram model: by Zipf's law the score of a piece is minus the log of its
+    place in the table plus its length's share, so that longer pieces are worth their characters."""
+    place = {p: k for k, p in enumerate(sorted(pieces.ids, key=pieces.ids.get), 1)}
+    return make(dict(pieces.ids), {p: -math.log(k + 10) - 1.0 / len(p) for p, k in place.items()}, pieces.byte_ids, pieces.unknown, pieces.text, bpe=False)
+
+
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the Viterbi fold: a row each with the number of pieces and what they decode to."""
+    got = encode(table(spark, sf_dir, "documents"), model=unigram(load(MODEL)), keep=["doc_id"], digest=True)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every row of documents and the digest of the text they decode to: the text itself, with
+    the space sign as a blank. Null and empty texts have no ids; repeated rows stay; none give none."""
     got = encode(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "sentencepiece_unigram": sentencepiece_unigram}
 SQL: dict[str, str] = {}

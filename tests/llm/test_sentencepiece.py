@@ -81,3 +81,29 @@ def test_viterbi_matches_brute_force(spark):
             full += [(i, i + 1) for i in range(at, s)] + ([(s, e)] if e > s else [])
             at = e
         assert path and abs(total(full) - best) < 1e-9, w
+
+
+def test_models_that_normalise_are_refused(monkeypatch):
+    class Folding:
+        def encode(self, t, out_type=int):
+            return [x for x in t.split()]
+
+        def decode(self, ids):
+            return " ".join(ids)
+
+    monkeypatch.setattr(library, "SentencePieceProcessor", lambda model_file: Folding())
+    with pytest.raises(ValueError):
+        sp.load("another.model")
+
+
+def test_unigram_pieces_round_trip(spark):
+    rows = [(i, t) for i, t in enumerate(texts(3)[:60])]
+    p = sp.unigram(sp.load(sp.MODEL))
+    got = {r.doc_id: r for r in sp.encode(spark.createDataFrame(rows, "doc_id long, text string"), model=p, digest=True).collect()}
+    for i, t in rows:
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()
+    word = "▁representatives"
+    path = sp.fold_long(word, p)
+    want = [p.ids[word[a:b]] for a, b, _ in path]
+    one = sp.encode(spark.createDataFrame([(1, word[1:])], "doc_id long, text string"), model=p).first().ids
+    assert one == want or sum(p.score[p.text[i].decode()] for i in one) == pytest.approx(sum(p.score[p.text[i].decode()] for i in want))
