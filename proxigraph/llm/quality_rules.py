@@ -76,15 +76,14 @@ def measure(docs: DataFrame, text: str = "text", into: str = "rule_metrics") ->
     work = docs.withColumns({w: _words(t), ls: F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0), squeezed: F.translate(t, _BLANKS, "")})
     work = work.withColumn(win, _repeated(F.col(w)))
     win = F.col(win)
-    work = work.withColumn(pos, F.array_sort(F.transform(
+    work = work.withColumn(pos, F.sort_array(F.transform(
         F.filter(win, lambda x, k: ((k > 0) & _same(F.col(w), x, F.get(win, k - 1))) | ((k + 1 < F.size(win)) & _same(F.col(w), x, F.get(win, k + 1)))),
         lambda x: x["i"],
     )))
     covered = F.aggregate(F.col(pos), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
-    stop = F.array(*[F.lit(x) for x in STOP_WORDS])
     n_stop, n_symbols, dup = (free_name(f"rule_{x}", docs.columns) for x in ("stop", "symbols", "dup"))
     work = work.withColumns({
-        n_stop: F.size(F.filter(w, lambda x: (F.length(x) <= 5) & F.array_contains(stop, x))),
+        n_stop: F.size(F.filter(w, lambda x: (F.length(x) <= 5) & x.isin(STOP_WORDS))),
         n_symbols: F.length(squeezed) - F.length(F.translate(squeezed, SYMBOLS, "")),
         dup: F.size(ls) - F.size(F.array_distinct(ls)),
     })
