@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proxigraph.functions.columns import csv_field
 from proxigraph.operators.local import _CLU, local_clustering
-from proxigraph.operators.scalars import csv_field
 from proxigraph.operators.subgraph import _K, _WIN, growth
 from proxigraph.plans.graph import TYPES, Graph, co_part, sql
 from proxigraph.plans.numbering import numbered

@@ -228,6 +228,10 @@ def _core_sql(k: int) -> str:
     return ", ".join(out)
 
 
+_TRI = "tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst)"
+_ORBITS = ", ".join(["o0 AS MATERIALIZED (SELECT id, sha256(degree::VARCHAR) AS colour FROM d)"] + [f"o{i + 1} AS MATERIALIZED (SELECT o.id, sha256(o.colour || coalesce(a, '')) AS colour FROM o{i} o LEFT JOIN (SELECT s.v, string_agg(x.colour, '' ORDER BY x.colour) AS a FROM s JOIN o{i} x ON x.id = s.u GROUP BY s.v) ON v = o.id)" for i in range(3)])
+
+
 def _dist(f):
     def run(s: SparkSession, d: str) -> DataFrame:
         g = user_seq(s, d)
@@ -266,6 +270,8 @@ SQL = {
     "rank_compare": sql("SELECT id, a AS by_rank, b AS by_degree, b - a AS shift FROM (SELECT id, row_number() OVER (ORDER BY round(r, 12) DESC, id) AS a, row_number() OVER (ORDER BY degree DESC, id) AS b FROM p5) WHERE a <= 20 OR b <= 20", _pagerank_sql(5)),
     "kcore": sql("SELECT * FROM c40", _core_sql(40)),
     "core_density_profile": sql("SELECT core, vertices, edges, round(CASE WHEN vertices > 1 THEN 2.0 * edges / (vertices * (vertices - 1)) ELSE 0 END, 6) AS density FROM (SELECT core, sum(n) OVER (ORDER BY core DESC)::BIGINT AS vertices, sum(coalesce(k, 0)) OVER (ORDER BY core DESC)::BIGINT AS edges FROM (SELECT core, count(*) AS n FROM c40 GROUP BY core) LEFT JOIN (SELECT least(x.core, y.core) AS core, count(*) AS k FROM e JOIN c40 x ON x.id = src JOIN c40 y ON y.id = dst GROUP BY 1) USING (core))", _core_sql(40)),
+    "ktruss": sql("SELECT DISTINCT src, dst FROM (SELECT unnest([a, a, b]) AS src, unnest([b, c, c]) AS dst FROM tri)", _TRI),
+    "symmetry_orbits": sql("SELECT * FROM o3", _ORBITS),
     "voronoi": user_sql("SELECT id, arg_min(source, hops * 100 + source[2:]::INT) AS seed, min(hops)::INT AS hops FROM dist WHERE source IN ('u1', 'u2', 'u3') GROUP BY id", _DIST),
     "bipartite_test": sql("SELECT component, bool_and(NOT odd) AS bipartite FROM (SELECT c.component, EXISTS (SELECT 1 FROM par a JOIN par b ON a.id = b.id AND a.p <> b.p AND a.id = c.id) AS odd FROM comp c) GROUP BY component", _RR + ", par(id, p) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT s.u, 1 - par.p FROM par JOIN s ON s.v = par.id)"),
 }
