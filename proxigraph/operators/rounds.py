@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proxigraph.operators.iterative import connected, levels
-from proxigraph.operators.paths import bridges
 from proxigraph.plans.components import components
 from proxigraph.plans.graph import Graph, user_seq, user_sql
 from proxigraph.plans.shared import drop, materialize
@@ -97,27 +96,19 @@ def blocks(g: Graph) -> DataFrame:
     tree = materialize(found.join(near, ["id", "hops"], "left").groupBy("id", "hops").agg(F.min("v").alias("parent")), "block-tree")
     depth = tree.agg(F.max("hops")).first()[0] or 0
 
-    def climb(values: DataFrame, agg) -> DataFrame:
-        """Values gathered from the leaves to the roots, a level a round; ``agg`` combines a column x."""
-        now = materialize(tree.join(values, "id", "left").select("id", "hops", "parent", "x"), "block-up")
+    def climb(values: DataFrame, folds: dict) -> DataFrame:
+        """Columns gathered from the leaves to the roots, a level a round; a fold is an aggregate and
+        how its result joins a vertex's own value."""
+        now = materialize(tree.join(values, "id", "left").select("id", "hops", "parent", *folds), "block-up")
         for h in range(depth, 0, -1):
-            up = now.filter(F.col("hops") == h).groupBy(F.col("parent").alias("id")).agg(agg(F.col("x")).alias("more"))
-            nxt = materialize(now.join(up, "id", "left").select("id", "hops", "parent", F.when(F.col("hops") == h - 1, agg.both("x", "more")).otherwise(F.col("x")).alias("x")), "block-up")
+            up = now.filter(F.col("hops") == h).groupBy(F.col("parent").alias("id")).agg(*[total(c).alias(f"more_{c}") for c, (total, _) in folds.items()])
+            own = [F.when(F.col("hops") == h - 1, pair(F.col(c), F.col(f"more_{c}"))).otherwise(F.col(c)).alias(c) for c, (_, pair) in folds.items()]
+            nxt = materialize(now.join(up, "id", "left").select("id", "hops", "parent", *own), "block-up")
             drop(now)
             now = nxt
-        return now.select("id", "x")
+        return now.select("id", *folds)
 
-    class Fold:
-        def __init__(self, over, pair):
-            self.over, self.pair = over, pair
-
-        def __call__(self, c):
-            return self.over(c)
-
-        def both(self, a, b):
-            return self.pair(F.col(a), F.col(b))
-
-    size = climb(tree.select("id", F.lit(1).cast("long").alias("x")), Fold(F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))).withColumnRenamed("x", "size")
+    size = climb(tree.select("id", F.lit(1).cast("long").alias("size")), {"size": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))})
     sized = materialize(tree.join(size, "id"), "block-sizes")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     step = materialize(sized.filter("parent is not null").withColumn("step", before + 1).select("id", "hops", "parent", "size", "step"), "block-steps")
@@ -131,26 +122,31 @@ def blocks(g: Graph) -> DataFrame:
     off = materialize(g.edges.select("src", "dst").join(stem, ["src", "dst"], "left_anti"), "block-off")
     reach = Graph(g.vertices, off).both().join(num.select(F.col("id").alias("u"), "pre"), "u").groupBy(F.col("v").alias("id")).agg(F.min("pre").alias("lo"), F.max("pre").alias("hi"))
     own = num.join(reach, "id", "left").select("id", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi"))
-    lo = climb(own.select("id", F.col("lo").alias("x")), Fold(F.min, F.least)).withColumnRenamed("x", "lo")
-    hi = climb(own.select("id", F.col("hi").alias("x")), Fold(F.max, F.greatest)).withColumnRenamed("x", "hi")
-    at = step.select("id", "parent").join(lo, "id").join(hi, "id").join(num.select(F.col("id").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("ps")), "parent")
+    ends = climb(own, {"lo": (F.min, F.least), "hi": (F.max, F.greatest)})
+    at = step.select("id", "parent").join(ends, "id").join(num.select(F.col("id").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("ps")), "parent")
     # roots have no edge above them: only parents that have one are tied
     tied = at.filter((F.col("lo") < F.col("pp")) | (F.col("hi") >= F.col("pp") + F.col("ps"))).select(F.col("id").alias("src"), F.col("parent").alias("dst")).join(step.select(F.col("id").alias("dst")), "dst", "left_semi")
     c = components(off.unionByName(tied.select("src", "dst")))
     return step.select("id", "parent").join(c, "id", "left").select("id", "parent", F.coalesce("component", "id").alias("block"))
 
 
-def articulation_points(g: Graph) -> DataFrame:
-    """(id): vertices whose loss parts their component: their forest edges lie in several blocks."""
-    b = blocks(g)
+def _cut_vertices(b: DataFrame) -> DataFrame:
     each = b.select("id", "block").unionByName(b.select(F.col("parent").alias("id"), "block"))
     return each.groupBy("id").agg(F.count_distinct("block").alias("n")).filter("n > 1").select("id")
 
 
+def articulation_points(g: Graph) -> DataFrame:
+    """(id): vertices whose loss parts their component: their forest edges lie in several blocks."""
+    return _cut_vertices(materialize(blocks(g), "blocks"))
+
+
 def bridges_articulation(g: Graph) -> DataFrame:
-    """(kind, a, b): bridges by their ends, articulation points with b null."""
-    cut = articulation_points(g).select(F.lit("articulation").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
-    return bridges(g).select(F.lit("bridge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(cut)
+    """(kind, a, b): bridges, the blocks of one forest edge that nothing is tied to, by their ends;
+    articulation points with b null."""
+    b = materialize(blocks(g), "blocks")
+    lone = b.groupBy("block").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("parent").alias("parent")).filter("n = 1")
+    cut = _cut_vertices(b).select(F.lit("articulation").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"))
+    return lone.select(F.lit("bridge").alias("kind"), F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")).unionByName(cut)
 
 
 _four = lambda q: q.replace("count(*) >= 2", "count(*) >= 4")
