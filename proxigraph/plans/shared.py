@@ -7,25 +7,29 @@ and read back, so a lost executor costs at most the stage that is running.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_roots: dict[str, str] = {}  # by application; the setting itself can only be given at the start
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. A local session without one gets a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``, given when the session starts. A local session without
+    one gets a temporary folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="proxigraph-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    _made.append((spark, root))
-    return root
+    if app not in _roots:
+        _roots[app] = "file://" + tempfile.mkdtemp(prefix="proxigraph-")
+        _made.append((spark, _roots[app]))
+    return _roots[app]
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -1,9 +1,13 @@
 import json
+import os
+import subprocess
+import sys
 import uuid
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from proxigraph.sources import annotations, jdbc
+from proxigraph.sources import annotations, edge_list, jdbc
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
@@ -28,3 +32,29 @@ def test_annotations(spark, tmp_path):
     assert set(got) == {"a", "a--b--c", "ab"}
     assert (got["a"].kind, got["a"].tags, got["a"].priority, got["a"].created_at, got["a"].updated_at) == ("node", ["p", "q"], "HIGH", 5, None)
     assert (got["a--b--c"].src, got["a--b--c"].dst, got["a--b--c"].priority) == ("a", "b--c", None) and got["ab"].kind == "node"
+
+
+def test_edge_list_in_several_files_loses_no_line(spark, tmp_path):
+    edges = spark.range(2000).select(F.format_string("a%04d", "id").alias("src"), F.format_string("b%04d", F.col("id") % 97).alias("dst"), F.lit("f").alias("type"), (F.col("id") / 4).alias("weight"))
+    edge_list.write(edges, str(tmp_path / "g"))
+    assert len(list((tmp_path / "g").glob("part-*"))) > 1
+    g, bad = edge_list.read(spark, str(tmp_path / "g"))
+    want = {(r.src, r.dst, r.weight) for r in edges.collect()}
+    assert bad.count() == 0 and g.edges.count() == 2000 and {(r.src, r.dst, r.weight) for r in g.edges.collect()} == want
+    (tmp_path / "g" / "z.txt").write_text("nodes\nlone\nedges\nf a b 2\n")
+    g, bad = edge_list.read(spark, str(tmp_path / "g"))
+    assert bad.count() == 0 and g.edges.count() == 2001 and g.vertices.filter("id = 'lone'").count() == 1
+
+
+def test_session_without_a_preset_checkpoint_folder(tmp_path):
+    code = """
+from pyspark.sql import SparkSession
+from proxigraph.plans.shared import materialize, shared_root
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert s.conf.get("spark.checkpoint.dir", None) is None
+assert materialize(s.range(5), "t").count() == 5 and shared_root(s) == shared_root(s)
+print("fine")
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert run.stdout.strip().endswith("fine"), run.stderr[-2000:]
