@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("sentencepiece", "pii", "chat", "warc", "quality_rules", "quality_classifier", "mixing", "simhash", "suffix_dedup", "embedding_dedup", "whitening", "token_ids")
+NAMES = ("sentencepiece", "pii", "chat", "warc", "quality_rules", "quality_classifier", "mixing", "simhash", "suffix_dedup", "embedding_dedup", "whitening", "token_ids", "hard_negatives")
 
 
 def modules() -> list:

@@ -46,8 +46,8 @@ class Whitening:
         return len(self.sums)
 
 
-def integers(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, x): the usable vectors of a batch, by index, and floor(SCALE * c) + SHIFT of their entries.
+def integers(column: pa.Array, dimension: int, factor: int = SCALE, shift: int = SHIFT) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, x): the usable vectors of a batch, by index, and floor(factor * c) + shift of their entries.
 
     Usable: of this dimension, without null or non-finite entries. Entries so large that their
     integer is not exact are an error."""
@@ -58,10 +58,10 @@ def integers(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     flat = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     c = flat.reshape(len(at), dimension)
     ok = np.isfinite(c).all(axis=1)
-    scaled = np.floor(SCALE * c[ok])
+    scaled = np.floor(factor * c[ok])
     if len(scaled) and np.abs(scaled).max() >= LARGEST:
         raise OverflowError("an entry is too large for an exact integer")
-    return at[ok], scaled.astype(np.int64) + SHIFT
+    return at[ok], scaled.astype(np.int64) + shift
 
 
 def deviations(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
