@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048  # ids of a block, blocks that go forward together
-REFRESH = (16, 64, 256, 512, 1024)  # steps at which order-0 frequencies are taken anew
-SLOTS = 11  # bits of the tables that contexts are hashed to
+BLOCK, LANES = 1024, 4096  # ids of a block, blocks that go forward together
+REFRESH = (16, 64, 128, 256, 512, 768)  # steps at which order-0 frequencies are taken anew
+SLOTS = 10  # bits of the tables that contexts are hashed to
 WHOLE, LEAST, RATE = 1 << 16, 64, 4  # weights sum to WHOLE, order 0 has some LEAST, speed of weights
 TOTAL = 13  # bits of the order-0 frequencies
 _FULL, _LOW = (1 << 48) - 1, 1 << 32

@@ -32,12 +32,13 @@ HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, blocks, bytes of the
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 BLOCKS = np.dtype([("n", "<u4"), ("bits", "u1"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that reaches so many
-CACHE, LONG = 1 << 17, 64  # chunks that a task remembers, characters of those it does not
+CACHE, LONG = 1 << 17, 32  # words that a task remembers, characters of those it does not
 
-#: Letters of every version of Unicode, printable ASCII: where a single blank stands between the two, the
-#: tokenizer's own pattern always starts a new word, whatever its tables of the rest.
+#: Letters of every version of Unicode. In texts of these, printable ASCII, blanks and line ends the byte-level
+#: pattern's classes are beyond doubt, so Python finds the same words as the tokenizer.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-џ一-龥"
-CUT = re.compile(f"(?<=[!-~{LETTERS}])(?= [{LETTERS}])")
+OTHER = re.compile(f"[^\t\n\r -~{LETTERS}]")
+WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
 
 
 def default_tokenizer() -> str:
@@ -49,8 +50,9 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts as little-endian bytes by the tokenizers library, end id included.
 
-    Where the tokenizer cuts texts by the byte-level pattern, they are cut at blanks that surely start a
-    word, and the library encodes every different chunk once while it is remembered; other tokenizers get whole texts."""
+    Where the tokenizer cuts texts by the byte-level pattern, the library encodes every different word once
+    while it is remembered: new words go to it as lines of one text, and the line end's id parts theirs.
+    Texts with other characters or an added token go to it whole, as does every text of another tokenizer."""
 
     def __init__(self, path: str, end: int = END):
         import json
@@ -59,29 +61,41 @@ class Encoder:
 
         self.tokenizer, self.end, self.known = Tokenizer.from_file(path), struct.pack("<I", end), {}
         spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        plain = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
-        self.cuts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        pre, line = spec.get("pre_tokenizer") or {}, self._ids("\n")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.words = usual and len(line) == 1 and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
+        self.line = line[0] if self.words else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > CACHE:
+            self.known.clear()
+        ids = np.array(self._ids("\n".join(words)), "<u4")
+        cuts = np.flatnonzero(ids == self.line)
+        if len(cuts) != len(words) - 1:  # a word's own ids hold the line end's
+            parts = [np.array(self._ids(w), "<u4") for w in words]
+        else:
+            parts = [ids[i:j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        self.known.update((w, p.tobytes()) for w, p in zip(words, parts, strict=True))
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts:
-            return self._whole([text])[0] + self.end
-        chunks = CUT.split(text)
-        known = self.known
-        new = list({c for c in chunks if c not in known})
+        if not self.words or OTHER.search(text) or any(t in text for t in self.added):
+            return np.array(self._ids(text), "<u4").tobytes() + self.end
+        own, words = {}, WORD.findall(text)
+        new = set(words).difference(self.known)
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chunks))
-            known.update(zip(new, self._whole(new), strict=True))
-        out = b"".join([known[c] for c in chunks]) + self.end
-        for c in new:
-            if len(c) > LONG:
-                del known[c]
-        return out
+            odd = [w for w in new if w.isspace() or len(w) > LONG]
+            own = {w: np.array(self._ids(w), "<u4").tobytes() for w in odd}
+            fresh = list(new.difference(odd))
+            if fresh:
+                if len(self.known) + len(fresh) > CACHE:
+                    fresh = list(set(words).difference(odd))
+                self._learn(fresh)
+        known = self.known
+        return b"".join([known[w] if w in known else own[w] for w in words]) + self.end
 
 
 def _filesystem(folder: str):
