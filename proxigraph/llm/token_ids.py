@@ -32,7 +32,7 @@ HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, blocks, bytes of the
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 BLOCKS = np.dtype([("n", "<u4"), ("bits", "u1"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that reaches so many
-CACHE, LONG = 1 << 17, 32  # words that a task remembers, characters of those it does not
+CACHE, LONG = 1 << 18, 32  # words that a task remembers, characters of those it does not
 
 #: Letters of every version of Unicode. In texts of these, printable ASCII, blanks and line ends the byte-level
 #: pattern's classes are beyond doubt, so Python finds the same words as the tokenizer.
@@ -74,12 +74,14 @@ class Encoder:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         ids = np.array(self._ids("\n".join(words)), "<u4")
-        cuts = np.flatnonzero(ids == self.line)
+        cuts = (np.flatnonzero(ids == self.line) * 4).tolist()
         if len(cuts) != len(words) - 1:  # a word's own ids hold the line end's
-            parts = [np.array(self._ids(w), "<u4") for w in words]
-        else:
-            parts = [ids[i:j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
-        self.known.update((w, p.tobytes()) for w, p in zip(words, parts, strict=True))
+            self.known.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in words)
+            return
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(words, [*cuts, len(raw)], strict=True):
+            self.known[w] = raw[at:cut]
+            at = cut + 4
 
     def __call__(self, text: str) -> bytes:
         if not self.words or OTHER.search(text) or any(t in text for t in self.added):
