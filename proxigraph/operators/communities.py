@@ -4,7 +4,7 @@ In a round every node looks for the community around it whose gain in modularity
 moves at once may spoil each other, so a round first tries those of half of the nodes (which half
 changes with the round); if modularity does not rise by that, it makes only moves of which each is the
 best of both communities it touches: no community takes part in two of them, so their gains add up. Modularity
-never falls, and a level ends when no node has anything to gain.
+never falls.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.plans.graph import Graph, co_part, rounded, sql
+from proxigraph.plans.graph import Graph, co_part, rounded, sql, user_seq
 from proxigraph.plans.shared import drop, materialize
 
 LEAST = 1e-9  # gain, in units of a node's degree, below which no node moves
@@ -47,12 +47,14 @@ def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _quality(nodes: DataFrame, links: DataFrame, m2: float, resolution: float) -> float:
-    """Modularity of the communities in ``nodes``."""
+    """Modularity of the communities in ``nodes``, in one job."""
     c = nodes.select("id", "c")
-    same = links.join(c.toDF("v", "cv"), "v").join(c.toDF("u", "cu"), "u").filter("cv = cu").agg(F.sum("w")).first()[0] or 0.0
-    loops = nodes.agg(F.sum("loop")).first()[0] or 0.0
-    square = nodes.groupBy("c").agg(F.sum("degree").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return (same + loops) / m2 - resolution * square / (m2 * m2)
+    zero = F.lit(0.0)
+    same = links.join(c.toDF("v", "cv"), "v").join(c.toDF("u", "cu"), "u").filter("cv = cu").agg(F.sum("w").alias("x"), zero.alias("y"))
+    loops = nodes.agg(F.sum("loop").alias("x"), zero.alias("y"))
+    square = nodes.groupBy("c").agg(F.sum("degree").alias("t")).agg(zero.alias("x"), F.sum(F.col("t") * F.col("t")).alias("y"))
+    inner, squares = same.unionByName(loops).unionByName(square).agg(F.sum("x"), F.sum("y")).first()
+    return (inner or 0.0) / m2 - resolution * (squares or 0.0) / (m2 * m2)
 
 
 def _start(g: Graph) -> tuple[DataFrame, DataFrame]:
@@ -75,13 +77,14 @@ def _contracted(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return materialize(new, "louvain"), materialize(between.filter("cv <> cu").toDF("v", "u", "w"), "louvain-links")
 
 
-def louvain(g: Graph, resolution: float = 1.0, rounds: int = 1000) -> DataFrame:
+def louvain(g: Graph, resolution: float = 1.0, rise: float = 1e-3, rounds: int = 1000) -> DataFrame:
     """(id, level, community, modularity): the community of each vertex at each level, named by its least
     vertex, and the modularity of the level as a whole. The last level is the result.
 
     Weights are summed over parallel edges and must not be negative; loops count twice; vertices without edges
-    are communities of their own. A graph without edges has one level of modularity 0. RuntimeError if a
-    level does not settle in so many ``rounds``."""
+    are communities of their own. A graph without edges has one level of modularity 0. A level ends with a round
+    that raises modularity by less than ``rise``, with 0 when no node has anything to gain; RuntimeError if it
+    does not in so many ``rounds``."""
     if resolution <= 0:
         raise ValueError("resolution must be positive")
     spark = g.vertices.sparkSession
@@ -110,7 +113,10 @@ def louvain(g: Graph, resolution: float = 1.0, rounds: int = 1000) -> DataFrame:
                 break
             drop(nodes)
             drop(moves)
+            small = better - q < rise
             nodes, q, moved = new, better, True
+            if small:
+                break
         else:
             raise RuntimeError(f"level {level} did not settle in {rounds} rounds")
         if not moved and level:
@@ -180,9 +186,8 @@ def _moves_sql(k: int) -> str:
 
 
 QUERIES = {
-    "louvain": lambda s, d: louvain(co_part(s, d)).select("id", "level", "community", rounded("modularity", "modularity")),
-    "louvain_report": lambda s, d: (lambda g: report(g, last_level(louvain(g))))(co_part(s, d)),
-    "louvain_csv": lambda s, d: _csv(co_part(s, d)),
+    "louvain": lambda s, d: louvain(user_seq(s, d)).select("id", "level", "community", rounded("modularity", "modularity")),
+    "louvain_csv": lambda s, d: _csv(user_seq(s, d)),
     "louvain_moves": lambda s, d: moves(co_part(s, d), 3),
 }
 SQL = {"louvain_moves": sql("SELECT id, c AS community FROM n3", _moves_sql(3))}  # whole levels: tests/test_communities.py
