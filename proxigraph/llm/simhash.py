@@ -8,8 +8,9 @@ A bucket too large for one task is dealt out as pairs of tiles. Tasks return a s
 forest of the links they find, never all pairs.
 
 Texts of which a fifth of the shingles differ are some ten bits of 64 apart, too many for bands.
-``similar`` takes WORDS * 64 bits, whose distance estimates the similarity, and meets pairs in
-tables of sampled bits instead, as many as find all but MISSED of the pairs at the limit.
+``similar`` takes WORDS * 64 bits and meets pairs in tables of sampled bits instead, as many as find all
+but MISSED of the pairs at the limit. Bits only propose: whole groups of proposed texts are brought
+together, and a link is one whose sets of shingles have the similarity asked for.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BUCKET = 8192  # fingerprints of a bucket that one task compares by itself
 SHINGLE = 3
 HELD = 1 << 16  # rows of whole buckets that a task compares at once
 WORDS, MISSED, MEET = 4, 0.03, 1024  # of ``similar``: words of a fingerprint, share not met, documents that meet by chance
+SPREAD = 2.5  # standard deviations beyond the mean distance at the limit up to which texts are proposed
+UNIT = 16 << 20  # characters of a proposed group that one task checks by itself
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -62,7 +65,10 @@ def fingerprints(docs: list[str], shingle: int = SHINGLE) -> np.ndarray:
 
 def wide_fingerprints(docs: list[str], shingle: int, words: int = WORDS) -> np.ndarray:
     """(texts x words): SimHash of 64 bits a word; the others' bits come from hashes of the hashes."""
-    hashes, lengths = _hashes(docs, shingle)
+    return _wide(*_hashes(docs, shingle), words)
+
+
+def _wide(hashes: list[np.ndarray], lengths: list[int], words: int = WORDS) -> np.ndarray:
     out = [_majority(hashes, lengths)]
     for _ in range(1, words):
         hashes = [(h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for h in hashes]
@@ -221,10 +227,84 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, bucket: int = B
 
 
 def bits_apart(similarity: float, words: int = WORDS) -> int:
-    """How many bits two texts of this Jaccard similarity differ in, on average, and half a standard
-    deviation more: the share of differing bits is the angle of the shingle counts over pi."""
+    """Up to how many bits two texts of this Jaccard similarity differ in, SPREAD standard deviations above the
+    mean: the share of differing bits is the angle of the shingle counts over pi."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * words * p + math.sqrt(64 * words * p * (1 - p)) / 2)
+    return math.floor(64 * words * p + SPREAD * math.sqrt(64 * words * p * (1 - p)))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity, in integers of a millionth."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _verified(sets: list[np.ndarray], fp: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the groups of alike texts: pairs at most ``radius`` bits apart, of one unit or, where sides
+    are told, of different sides. A pair whose groups are one already is not looked at."""
+    n, out = len(sets), []
+    group, size = np.arange(n), np.array([len(x) for x in sets])
+    for i in range(n):
+        far = np.zeros(n - i - 1, np.uint16)
+        for w in range(fp.shape[1]):
+            far += np.bitwise_count(fp[i + 1 :, w] ^ fp[i, w])
+        small, large = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+        fine = (far <= radius) & (small >= similarity * large - 1e-6)
+        if side[i]:
+            fine &= side[i + 1 :] != side[i]
+        todo = fine.nonzero()[0] + i + 1
+        todo = todo[np.argsort(far[todo - i - 1], kind="stable")]
+        while len(todo := todo[group[todo] != group[i]]):
+            j, todo = int(todo[0]), todo[1:]
+            if _alike(sets[i], sets[j], similarity):
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _check(texts_of: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): verified links between the ids of ``texts_of`` (id, d0, text, f0.., c0, unit, side)."""
+    fp = [f"f{w}" for w in range(WORDS)]
+
+    def unit(t: pa.Table) -> tuple[list[int], list[int]]:
+        import xxhash
+
+        hashes, _ = _hashes(texts(t["text"].combine_chunks()), shingle)
+        sets = [np.unique(h) for h in hashes]
+        told = t["d0"].to_pylist()
+        own = [k for k, x in enumerate(sets) if _signed(xxhash.xxh64_intdigest(x.tobytes(), 7)) == told[k]]  # an id may have other texts
+        ids, grid = t["id"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in fp], axis=1)
+        got = _verified([sets[k] for k in own], grid[own], t["side"].to_numpy()[own], radius, similarity)
+        return [int(ids[own[i]]) for i, _ in got], [int(ids[own[j]]) for _, j in got]
+
+    def run(batches):
+        held, key = [], None
+
+        def flush() -> pa.RecordBatch:
+            a, b = unit(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            keys = b["unit"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and keys[i] != key:
+                    yield flush()
+                    held = []
+                key = keys[i]
+                held.append(b.slice(i, j - i))
+        if held:
+            yield flush()
+
+    return texts_of.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def sampled_bits(n: int, similarity: float, words: int = WORDS) -> np.ndarray:
@@ -235,23 +315,32 @@ def sampled_bits(n: int, similarity: float, words: int = WORDS) -> np.ndarray:
     return np.stack([draw.permutation(64 * words)[:bits] for _ in range(math.ceil(math.log(MISSED) / math.log(1 - met)))])
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, unit: int = UNIT) -> DataFrame:
     """(doc_id, component_id) of documents in groups of two or more; component_id is the least doc_id.
 
-    Documents link where their fingerprints are at most ``bits_apart(similarity)`` apart. Equal
-    texts and texts without words always link. Null ids are left out; rows of one id are one
-    document. Pairs above the similarity are met with a chance of 1 - MISSED or more.
+    Documents link where the Jaccard similarity of their sets of shingles reaches ``similarity``, checked on the
+    whole texts of every proposed group. Pairs at the limit are proposed with a chance of 1 - MISSED or more,
+    those above it more surely; nothing below it links. Texts of equal sets, and texts without words, always
+    link. Null ids are left out; rows of one id are one document. A proposed group of over ``unit`` characters is
+    checked as pairs of its parts, so its work grows with the square of the parts.
     """
     src = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     fp = [f"f{w}" for w in range(WORDS)]
+    kinds = ", ".join(f"{c} long" for c in fp)
 
     def scan(b: pa.RecordBatch) -> dict:
-        got = wide_fingerprints(texts(b["text"]), shingle).view(np.int64)
-        return {"doc_id": b["doc_id"]} | {c: pa.array(got[:, w]) for w, c in enumerate(fp)}
+        import xxhash
+
+        hashes, lengths = _hashes(texts(b["text"]), shingle)
+        got = _wide(hashes, lengths).view(np.int64)
+        sets = [np.unique(h).tobytes() for h in hashes]
+        d0, d1 = ([_signed(xxhash.xxh64_intdigest(x, seed)) for x in sets] for seed in (7, 8))
+        return {"doc_id": b["doc_id"], "d0": d0, "d1": d1, "chars": [len(t or "") for t in b["text"].to_pylist()]} | {c: pa.array(got[:, w]) for w, c in enumerate(fp)}
 
-    rows = materialize(map_arrow(src, scan, "doc_id long, " + ", ".join(f"{c} long" for c in fp)), "simhash-wide")
-    own = materialize(rows.groupBy(*fp).agg(F.min("doc_id").alias("id")), "simhash-reps")
-    at = sampled_bits(own.count(), similarity)
+    rows = materialize(map_arrow(src, scan, f"doc_id long, d0 long, d1 long, chars long, {kinds}"), "simhash-wide")
+    least = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "chars", *fp)).alias("x"))  # texts of one set are one
+    own = materialize(least.select("d0", "d1", F.col("x.doc_id").alias("id"), "x.chars", *[f"x.{c}" for c in fp]), "simhash-reps")
+    at, radius = sampled_bits(own.count(), similarity), bits_apart(similarity)
 
     def deal(batches):
         for big in batches:
@@ -264,9 +353,19 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
                         key = key << 1 | (grid[:, x // 64] >> np.uint64(x % 64) & np.uint64(1)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([b["id"], *[b[c] for c in fp], pa.array(key)], names=["id", *fp, "key"])
 
-    dealt = own.select("id", *fp).mapInArrow(deal, "id long, " + ", ".join(f"{c} long" for c in fp) + ", key long")
-    links = _compare(dealt, WORDS, bits_apart(similarity), bucket)
-    same = rows.join(own, fp).filter(F.col("doc_id") != F.col("id")).select("id", "doc_id")
+    dealt = own.select("id", *fp).mapInArrow(deal, f"id long, {kinds}, key long")
+    proposed = _compare(dealt, WORDS, radius, bucket)
+    met = own.join(components(proposed.toDF("src", "dst")), "id")
+    parts = met.groupBy("component").agg(F.ceil(F.sum("chars") / unit).cast("long").alias("parts"))
+    held = materialize(met.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id", "d0"), "parts")), "simhash-proposed")
+    # A small group is one unit; of a large one, every part meets every part: part p of n is in units (p, q) and (q, p).
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q")
+    place = held.select("id", "d0", *fp, "component", "part", other)
+    first, last = F.least("part", "q"), F.greatest("part", "q")
+    side = F.when(F.col("part") == F.col("q"), 0).when(F.col("part") < F.col("q"), 1).otherwise(2)
+    units = place.select("id", "d0", *fp, F.xxhash64("component", first, last).alias("unit"), side.alias("side"))
+    links = _check(units.join(src.withColumnRenamed("doc_id", "id"), "id"), shingle, radius, similarity)
+    same = rows.join(own.select("d0", "d1", "id"), ["d0", "d1"]).filter(F.col("doc_id") != F.col("id")).select("id", "doc_id")
     comp = components(links.toDF("src", "dst").unionByName(same.toDF("src", "dst")))
     return comp.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
 

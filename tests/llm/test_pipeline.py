@@ -4,10 +4,10 @@ import pytest
 from test_pii import brute as spans_of
 from test_pii import by_hand
 from test_rules_chat_warc import plain
-from test_simhash import groups
+from test_simhash import exact_groups
 
 import corpus_pipeline
-from proxigraph.llm import pii, quality_rules, sentencepiece, simhash
+from proxigraph.llm import pii, quality_rules, sentencepiece
 
 library = pytest.importorskip("sentencepiece")
 D = "/root/testdata/sf0.001"
@@ -24,8 +24,7 @@ def kept(t):
 def test_run_matches_plain_version(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     good = sorted(i for i, r in docs.items() if kept(r.text or ""))
-    wide = simhash.wide_fingerprints([docs[i].text for i in good], 5)
-    comp = groups(good, [sum(int(x) << 64 * k for k, x in enumerate(row)) for row in wide], simhash.bits_apart(0.8))
+    comp, _ = exact_groups({i: docs[i].text for i in good})
     left = [i for i in good if comp[i] == i]
     told = by_hand({i: docs[i].text for i in left})
     lib = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)

@@ -124,6 +124,68 @@ def test_similar_documents_meet(spark, bucket):
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def exact_groups(docs, limit=0.8):
+    """doc_id -> least id of its group, and the linked pairs, by Jaccard of sets of five words."""
+    sets = {}
+    for i, t in docs.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    has = {}
+    for i, x in sets.items():
+        for h in x or {b""}:
+            has.setdefault(h, []).append(i)
+    seen, pairs, up = set(), set(), {i: i for i in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for ids in has.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                p = ids[b], ids[a]
+                if p in seen:
+                    continue
+                seen.add(p)
+                x, y = sets[p[0]], sets[p[1]]
+                if x == y or len(x & y) >= limit * len(x | y):
+                    pairs.add(p)
+                    lo, hi = sorted((find(p[0]), find(p[1])))
+                    up[hi] = lo
+    return {i: find(i) for i in docs}, pairs
+
+
+@pytest.mark.parametrize("unit", [simhash.UNIT, 3000])
+def test_similar_equals_exact_jaccard(spark, unit):
+    """No link below the limit, and of the links at or above it 98 of 100; parts of groups as well as whole ones."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, pairs = exact_groups({r.doc_id: r.text for r in table.collect()})
+    got = {r.doc_id: r.component_id for r in simhash.similar(table, unit=unit).collect()}
+    assert len(pairs) > 50
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_verified_groups_equal_all_pairs():
+    r = np.random.default_rng(6)
+    base = [np.unique(r.integers(0, 1 << 62, 100, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.r_[base[i % 6][: int(r.integers(60, 101))], r.integers(0, 1 << 62, int(r.integers(0, 20)), dtype=np.uint64)]) for i in range(60)]
+    sets.append(np.zeros(0, np.uint64))
+    fp = np.zeros((61, 4), np.uint64)
+    whole, parts = np.zeros(61, int), np.r_[np.ones(30, int), np.full(31, 2)]
+    for side in (whole, parts):
+        forest, plain = simhash._Forest(61), simhash._Forest(61)
+        for a, b in simhash._verified(sets, fp, side, 0, 0.8):
+            forest.link(np.array([a]), np.array([b]))
+        for a in range(61):
+            for b in range(a):
+                union = len(np.union1d(sets[a], sets[b]))
+                if (side is whole or side[a] != side[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * union - 1e-9:
+                    plain.link(np.array([a]), np.array([b]))
+        assert np.array_equal(forest.roots(np.arange(61)), plain.roots(np.arange(61)))
+
+
 def test_bits_estimate_the_similarity():
     r = random.Random(9)
     for j in (0.75, 0.8, 0.9):
@@ -136,3 +198,4 @@ def test_bits_estimate_the_similarity():
             apart.append(int(np.bitwise_count(x ^ y).sum()))
         p = np.arccos(2 * j / (1 + j)) / np.pi * 256
         assert abs(np.mean(apart) - p) < 3
+        assert j < 0.8 or np.mean(np.array(apart) <= simhash.bits_apart(0.8)) >= 0.95
