@@ -32,6 +32,7 @@ HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, blocks, bytes of the
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 BLOCKS = np.dtype([("n", "<u4"), ("bits", "u1"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that reaches so many
+READERS = 1 << 14  # tasks that read segments, at most; more segments are several a task
 CACHE, LONG = 1 << 18, 32  # words that a task remembers, characters of those it does not
 
 #: Letters of every version of Unicode. In texts of these, printable ASCII, blanks and line ends the byte-level
@@ -214,7 +215,8 @@ def read(segments: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip((stop - n).tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array(row["start"] + stop - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.repartition("file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = min(READERS, max(1, segments.count()))  # told, as rows this small would be put into one task
+    return todo.repartition(parts, "file", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
