@@ -202,7 +202,7 @@ def _matches_sql(pattern: Pattern, over=sql) -> str:
 
 
 TYPED = Pattern((("a", "b", "f"), ("b", "c", "c"), ("c", "d", "s")))
-_ALL = "sp(at, path, weight) AS (SELECT 'u1', ['u1'], 0.0::DOUBLE UNION ALL SELECT s.u, list_append(path, s.u), sp.weight + s.weight FROM sp JOIN s ON s.v = sp.at WHERE sp.at <> 'u9' AND NOT list_contains(path, s.u) AND len(path) <= {d} AND sp.weight + s.weight <= {w})"
+_ALL = "sp(tip, path, weight) AS (SELECT 'u1', ['u1'], 0.0::DOUBLE UNION ALL SELECT s.u, list_append(path, s.u), sp.weight + s.weight FROM sp JOIN s ON s.v = sp.tip WHERE sp.tip <> 'u9' AND NOT list_contains(path, s.u) AND len(path) <= {d} AND sp.weight + s.weight <= {w})"
 
 QUERIES = {
     "all_simple_paths": lambda s, d: simple_paths(user_seq(s, d), "u1", "u9", 3).withColumn("path", F.array_join("path", ",")),
@@ -213,8 +213,8 @@ QUERIES = {
     "pattern_typed_path": lambda s, d: _rows(matches(co_part(s, d), TYPED)),
 }
 SQL = {
-    "all_simple_paths": user_sql("SELECT array_to_string(path, ',') AS path, (len(path) - 1)::INT AS hops, weight, false AS cut FROM sp WHERE at = 'u9'", _ALL.format(d=3, w=1e9)),
-    "k_shortest_paths": user_sql("SELECT row_number() OVER (ORDER BY weight, len(path), path)::INT AS place, array_to_string(path, ',') AS path, (len(path) - 1)::INT AS hops, weight FROM sp WHERE at = 'u9' QUALIFY place <= 5", _ALL.format(d=5, w=9)),
+    "all_simple_paths": user_sql("SELECT array_to_string(path, ',') AS path, (len(path) - 1)::INT AS hops, weight, false AS cut FROM sp WHERE tip = 'u9'", _ALL.format(d=3, w=1e9)),
+    "k_shortest_paths": user_sql("SELECT row_number() OVER (ORDER BY weight, len(path), path)::INT AS place, array_to_string(path, ',') AS path, (len(path) - 1)::INT AS hops, weight FROM sp WHERE tip = 'u9' QUALIFY place <= 5", _ALL.format(d=5, w=9)),
     "pattern_square": _matches_sql(SQUARE),
     "pattern_typed_path": _matches_sql(TYPED),
     "pattern_diamond": "SELECT occurrences, count(*) AS sets FROM (" + _matches_sql(DIAMOND, user_sql) + ") GROUP BY 1",
