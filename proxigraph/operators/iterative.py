@@ -89,7 +89,8 @@ def histogram(dist: DataFrame) -> DataFrame:
 
 def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, exact_rounds: int | None = None) -> DataFrame:
     """Undirected PageRank; mass of vertices without edges is spread over all. Stops when the ranks
-    change by less than ``tolerance`` in sum, or after exactly ``exact_rounds``."""
+    change by less than ``tolerance`` in sum, with an error if ``rounds`` do not reach that, or after exactly
+    ``exact_rounds``."""
     d = materialize(g.degrees(), "pr-degrees")
     n = d.count()
     if n == 0:
@@ -106,6 +107,9 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, rounds: i
         r._proxigraph_path = new._proxigraph_path
         if exact_rounds is None and moved < tolerance:
             break
+    else:
+        if exact_rounds is None:
+            raise RuntimeError(f"the ranks did not settle in {rounds} rounds")
     return r.select("id", "rank")
 
 

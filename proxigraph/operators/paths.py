@@ -25,9 +25,11 @@ def tree(g: Graph, source: str, links: DataFrame | None = None) -> DataFrame:
 
 
 def _walk(parents: DataFrame, target: str, rounds: int = 100_000) -> DataFrame:
-    """(step, id) from the root to ``target``, looking up one parent after the other."""
+    """(step, id) from the root to ``target``, looking up one parent after the other; an error beyond ``rounds``."""
     spark, path, at = parents.sparkSession, [], target
-    while at is not None and len(path) < rounds:
+    while at is not None:
+        if len(path) >= rounds:
+            raise RuntimeError(f"the path has over {rounds} vertices")
         row = parents.filter(F.col("id") == at).select("parent").first()
         if row is None:
             path = []

@@ -51,7 +51,7 @@ def predict_signs(g: Graph, vertex: str) -> DataFrame:
     sign = F.when(F.col("type").isin(*NEGATIVE), -1).otherwise(1)
     s = g.both(sign.alias("x"))
     mine = s.filter(F.col("v") == vertex).select(F.col("u").alias("v"), F.col("x").alias("y"))
-    far = s.join(F.broadcast(mine), "v").filter(F.col("u") != vertex)  # neighbours of one vertex
+    far = s.join(mine, "v").filter(F.col("u") != vertex)
     return far.groupBy(F.col("u").alias("id")).agg(F.signum(F.sum(F.col("x") * F.col("y"))).cast("int").alias("sign"))
 
 
@@ -60,7 +60,7 @@ def nearest(g: Graph, vertex: str, k: int) -> DataFrame:
     that share none score 0, so all others are ranked."""
     d = g.degrees()
     mine = g.both().filter(F.col("v") == vertex).select(F.col("u").alias("m"))
-    shared = g.both().join(F.broadcast(mine), F.col("u") == F.col("m")).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("i"))
+    shared = g.both().join(mine, F.col("u") == F.col("m")).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("i"))
     own = d.filter(F.col("id") == vertex).select(F.col("degree").alias("k"))
     x = d.filter(F.col("id") != vertex).join(shared, "id", "left").join(F.broadcast(own)).withColumn("i", F.coalesce("i", F.lit(0)))
     union = F.col("degree") + F.col("k") - F.col("i")
@@ -72,10 +72,10 @@ def structural_equivalence(g: Graph, vertex: str) -> DataFrame:
     n = g.vertices.count()
     d = g.degrees()
     mine = g.both().filter(F.col("v") == vertex).select(F.col("u").alias("m"))
-    shared = g.both().join(F.broadcast(mine), F.col("u") == F.col("m")).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("i"))
+    shared = g.both().join(mine, F.col("u") == F.col("m")).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("i"))
     own = d.filter(F.col("id") == vertex).select(F.col("degree").alias("k"))
     adjacent = mine.select(F.col("m").alias("id"), F.lit(1).alias("adj"))
-    x = d.filter(F.col("id") != vertex).join(shared, "id", "left").join(F.broadcast(adjacent), "id", "left").join(F.broadcast(own))
+    x = d.filter(F.col("id") != vertex).join(shared, "id", "left").join(adjacent, "id", "left").join(F.broadcast(own))
     differ = F.col("degree") + F.col("k") - 2 * F.coalesce("adj", F.lit(0)) - 2 * F.coalesce("i", F.lit(0))
     return x.select("id", rounded(1 - differ / (n - 2) if n > 2 else F.lit(1.0), "share"))
 

@@ -216,7 +216,7 @@ def _two(f):
     return run
 
 
-_HALF = f"ea AS (SELECT * FROM e WHERE ts < {_MID}), eb AS (SELECT * FROM e WHERE end_ts >= {_MID}), va AS (SELECT src AS id FROM ea UNION SELECT dst FROM ea), vb AS (SELECT src AS id FROM eb UNION SELECT dst FROM eb)"
+_HALF = f"ea AS MATERIALIZED (SELECT * FROM e WHERE ts < {_MID}), eb AS MATERIALIZED (SELECT * FROM e WHERE end_ts >= {_MID}), va AS (SELECT src AS id FROM ea UNION SELECT dst FROM ea), vb AS (SELECT src AS id FROM eb UNION SELECT dst FROM eb)"
 _WIN = f"""r AS (SELECT min(ts) AS lo, max(end_ts) AS hi, greatest(1, (max(end_ts) - min(ts) + 1) // {_K}) AS width FROM e),
 wi AS (SELECT w, lo + w * width AS ws, CASE WHEN w = {_K - 1} THEN hi ELSE lo + (w + 1) * width - 1 END AS we FROM r, (SELECT unnest(range({_K})) AS w)),
 ew AS (SELECT w, src, dst FROM e JOIN wi ON ts <= we AND end_ts >= ws),

@@ -10,7 +10,8 @@ from proxigraph.operators.subgraph import _K, _WIN, growth, in_windows
 from proxigraph.plans.graph import Graph, co_part, rounded, sql
 
 METRICS = ("n", "m", "density")
-SLACK, ALARM = 0.5, 1.0  # of the change-point sums; series of few windows seldom reach 3
+SLACK, ALARM = 0.5, 3.0  # of the change-point sums
+EASY = 1.0  # the alarm of the query: its series of few windows seldom reach 3
 JACCARD = 0.3
 
 
@@ -90,13 +91,13 @@ def _snapshots(s, d):
 _VEL = _WIN + ", pv AS (SELECT *, lag(n) OVER (ORDER BY w) AS pn, lag(m) OVER (ORDER BY w) AS pm, lag(density) OVER (ORDER BY w) AS pd FROM gr), ve AS (SELECT w, dn, dm, dd, sqrt(dn * dn + dm * dm + dd * dd) AS speed FROM (SELECT w, " + ", ".join(f"CASE WHEN p{p} = 0 THEN {c}::DOUBLE ELSE ({c} - p{p}) / abs(p{p}) END AS d{p}" for c, p in (("n", "n"), ("m", "m"), ("density", "d"))) + " FROM pv WHERE pn IS NOT NULL))"
 _CUSUM = _WIN + f""", df AS (SELECT w, (m - lag(m) OVER (ORDER BY w))::DOUBLE AS d FROM gr), st AS (SELECT avg(d) AS mean, stddev_pop(d) AS sd FROM df WHERE d IS NOT NULL),
 cs(w, up, down, ru, rd) AS (SELECT (SELECT min(w) FROM gr), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT df.w, greatest(0, ru + (d - mean) / sd - 0.5), greatest(0, rd - (d - mean) / sd - 0.5),
- CASE WHEN greatest(0, ru + (d - mean) / sd - 0.5) > {ALARM} THEN 0 ELSE greatest(0, ru + (d - mean) / sd - 0.5) END, CASE WHEN greatest(0, rd - (d - mean) / sd - 0.5) > {ALARM} THEN 0 ELSE greatest(0, rd - (d - mean) / sd - 0.5) END FROM cs JOIN df ON df.w = cs.w + 1, st)"""
+ CASE WHEN greatest(0, ru + (d - mean) / sd - 0.5) > {EASY} THEN 0 ELSE greatest(0, ru + (d - mean) / sd - 0.5) END, CASE WHEN greatest(0, rd - (d - mean) / sd - 0.5) > {EASY} THEN 0 ELSE greatest(0, rd - (d - mean) / sd - 0.5) END FROM cs JOIN df ON df.w = cs.w + 1, st)"""
 _LIFE = _WIN + f""", dw AS (SELECT w, id, count(*) AS d FROM (SELECT w, unnest([src, dst]) AS id FROM ew) GROUP BY 1, 2), nw AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
 gy AS (SELECT i.id, k.w, coalesce(CASE WHEN n > 1 THEN d / (n - 1) ELSE 0 END, 0) AS y FROM (SELECT DISTINCT id FROM dw) i CROSS JOIN (SELECT unnest(range({_K})) AS w) k LEFT JOIN dw ON dw.id = i.id AND dw.w = k.w LEFT JOIN nw ON nw.w = k.w),
 li AS (SELECT id, regr_slope(y, w) AS s, sum(abs(y - p)) / {_K - 1} AS v, max(y) FILTER (w = 0) > 0 AS a, max(y) FILTER (w = {_K - 1}) > 0 AS b FROM (SELECT *, lag(y) OVER (PARTITION BY id ORDER BY w) AS p FROM gy) GROUP BY id)"""
 QUERIES = {
     "velocity": lambda s, d: velocity(co_part(s, d), _K),
-    "change_points": lambda s, d: change_points(co_part(s, d), _K),
+    "change_points": lambda s, d: change_points(co_part(s, d), _K, EASY),
     "momentum": lambda s, d: momentum(co_part(s, d), _K),
     "node_lifecycles": lambda s, d: lifecycles(co_part(s, d), _K),
     "community_matches": lambda s, d: community_matches(*_snapshots(s, d)),
@@ -104,7 +105,7 @@ QUERIES = {
 _half_components = lambda x: f"r{x}(id, c) AS (SELECT id, id FROM v{x} UNION SELECT q.u, r{x}.c FROM r{x} JOIN (SELECT src AS v, dst AS u FROM e{x} UNION ALL SELECT dst, src FROM e{x}) q ON q.v = r{x}.id), c{x} AS MATERIALIZED (SELECT id, min(c) AS label FROM r{x} GROUP BY id), n{x} AS (SELECT label, count(*) AS n FROM c{x} GROUP BY label HAVING count(*) > 1)"
 SQL = {
     "velocity": sql("SELECT w, round(dn, 6) AS d_n, round(dm, 6) AS d_m, round(dd, 6) AS d_density, round(speed, 6) AS speed FROM ve", _VEL),
-    "change_points": sql(f"SELECT w, 'increase' AS direction, round(up, 6) AS value FROM cs WHERE up > {ALARM} UNION ALL SELECT w, 'decrease', round(down, 6) FROM cs WHERE down > {ALARM}", _CUSUM),
+    "change_points": sql(f"SELECT w, 'increase' AS direction, round(up, 6) AS value FROM cs WHERE up > {EASY} UNION ALL SELECT w, 'decrease', round(down, 6) FROM cs WHERE down > {EASY}", _CUSUM),
     "momentum": sql("SELECT round(s, 4) AS speed, round(x, 4) AS gain, CASE WHEN s IS NULL THEN 'STAGNANT' WHEN s > 1.0 AND x > 0.2 THEN 'EXPLOSIVE' WHEN s > 0.3 AND x > 0 THEN 'ACCELERATING' WHEN s > 0.1 AND abs(x) < 0.1 THEN 'STEADY' WHEN s > 0.1 AND x < -0.1 THEN 'DECELERATING' WHEN s < 0.05 THEN 'STAGNANT' WHEN de < -0.3 THEN 'COLLAPSING' ELSE 'STEADY' END AS phase FROM (SELECT avg(speed) AS s, arg_max(speed, w) - arg_min(speed, w) AS x, sum(dd) AS de FROM (SELECT * FROM ve ORDER BY w DESC LIMIT 3))", _VEL),
     "node_lifecycles": sql("SELECT id, round(s, 4) + 0.0 AS slope, round(v, 4) AS volatility, CASE WHEN NOT a AND b THEN 'NEWCOMER' WHEN a AND NOT b THEN 'DEPARTING' WHEN v > 0.15 THEN 'VOLATILE' WHEN s > 0.02 THEN 'RISING' WHEN s < -0.02 THEN 'DECLINING' ELSE 'STABLE' END AS kind FROM li", _LIFE),
 }

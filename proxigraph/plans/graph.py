@@ -82,11 +82,11 @@ def co_part(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
 
 #: The same graph for DuckDB: CTEs v(id) and e(src, dst, type, weight, label, ts, end_ts), s(v, u, type, weight), d(id, degree).
 CO_PART_SQL = """
-ol AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-pq AS (SELECT a.p, b.p AS q, count(*) AS w, min(epoch_ms(o_orderdate)) AS ts, max(epoch_ms(o_orderdate)) AS end_ts
+ol AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+pq AS MATERIALIZED (SELECT a.p, b.p AS q, count(*) AS w, min(epoch_ms(o_orderdate)) AS ts, max(epoch_ms(o_orderdate)) AS end_ts
        FROM ol a JOIN ol b ON a.o = b.o AND a.p < b.p JOIN orders ON o_orderkey = a.o GROUP BY a.p, b.p HAVING count(*) >= 2),
 v AS (SELECT 'p' || p_partkey AS id FROM part),
-e AS (SELECT least('p' || p, 'p' || q) AS src, greatest('p' || p, 'p' || q) AS dst, (['f', 'c', 'fs', 's', 'sg'])[(p + q) % 5 + 1] AS type,
+e AS MATERIALIZED (SELECT least('p' || p, 'p' || q) AS src, greatest('p' || p, 'p' || q) AS dst, (['f', 'c', 'fs', 's', 'sg'])[(p + q) % 5 + 1] AS type,
              w::DOUBLE AS weight, p_brand AS label, ts, end_ts FROM pq JOIN part ON p_partkey = p),
 s AS (SELECT src AS v, dst AS u, type, weight FROM e UNION ALL SELECT dst, src, type, weight FROM e),
 d AS (SELECT id, coalesce(n, 0)::BIGINT AS degree FROM v LEFT JOIN (SELECT v AS x, count(*) AS n FROM s GROUP BY v) ON x = id)"""
