@@ -37,7 +37,7 @@ from proxigraph.plans.shared import drop, fresh_path, materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SHARD_ROWS = 8192
-SLICE_CHARS = 1_000_000  # characters that a task handles at once, one text at least
+SLICE_CHARS = 500_000  # characters that a task handles at once, one text at least
 MASK = 62  # characters of a chunk whose boundaries fit a long
 LONG = 256  # longer chunks are not put into tables but encoded where they occur
 
@@ -424,7 +424,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | Pieces = MODEL, kee
     read = [*kept, text] if text not in kept else kept
     src = _sharded(docs.select(*[docs[c] for c in read]))
     shared = spark.sparkContext.broadcast(pieces)
-    parts = max(12, math.ceil(math.sqrt(docs.count()) / 4))
+    parts = max(12, math.ceil(math.sqrt(docs.count()) / 3))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
