@@ -3,11 +3,13 @@ communities that stay, join or part. Series have a row per window, so windows ov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proxigraph.operators.subgraph import _K, _WIN, growth, in_windows
 from proxigraph.plans.graph import Graph, co_part, rounded, sql
+from proxigraph.plans.session import table
+from proxigraph.streaming.changes import batch_changes
 
 METRICS = ("n", "m", "density")
 SLACK, ALARM = 0.5, 3.0  # of the change-point sums
@@ -95,7 +97,22 @@ cs(w, up, down, ru, rd) AS (SELECT (SELECT min(w) FROM gr), 0.0::DOUBLE, 0.0::DO
 _LIFE = _WIN + f""", dw AS (SELECT w, id, count(*) AS d FROM (SELECT w, unnest([src, dst]) AS id FROM ew) GROUP BY 1, 2), nw AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
 gy AS (SELECT i.id, k.w, coalesce(CASE WHEN n > 1 THEN d / (n - 1) ELSE 0 END, 0) AS y FROM (SELECT DISTINCT id FROM dw) i CROSS JOIN (SELECT unnest(range({_K})) AS w) k LEFT JOIN dw ON dw.id = i.id AND dw.w = k.w LEFT JOIN nw ON nw.w = k.w),
 li AS (SELECT id, regr_slope(y, w) AS s, sum(abs(y - p)) / {_K - 1} AS v, max(y) FILTER (w = 0) > 0 AS a, max(y) FILTER (w = {_K - 1}) > 0 AS b FROM (SELECT *, lag(y) OVER (PARTITION BY id ORDER BY w) AS p FROM gy) GROUP BY id)"""
+def user_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, ts): users whose events follow each other within a day, at the time of the first."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.date_trunc("day", "ts").alias("day"))
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    return ev.select(name(F.col("user_id")).alias("src"), name(nxt).alias("dst"), "ts").filter("dst is not null")
+
+
+_CHANGES = """WITH n AS (SELECT 'u' || user_id AS a, 'u' || lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS b, date_trunc('day', ts)::TIMESTAMP AS t FROM events),
+o AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, t FROM n WHERE b IS NOT NULL),
+x AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q, max(t) OVER () AS e FROM o WINDOW w AS (PARTITION BY src, dst ORDER BY t))
+SELECT src, dst, strftime(t, '%Y-%m-%d') AS day, 'new' AS change FROM x WHERE p IS NULL OR p + INTERVAL 1 DAY < t
+UNION ALL SELECT src, dst, strftime(t + INTERVAL 1 DAY, '%Y-%m-%d'), 'lost' FROM x WHERE (q IS NULL OR q > t + INTERVAL 1 DAY) AND t < e"""
+
 QUERIES = {
+    "edge_changes": lambda s, d: batch_changes(user_links(s, d), "1 day").select("src", "dst", F.date_format("ts", "yyyy-MM-dd").alias("day"), "change"),
     "velocity": lambda s, d: velocity(co_part(s, d), _K),
     "change_points": lambda s, d: change_points(co_part(s, d), _K, EASY),
     "momentum": lambda s, d: momentum(co_part(s, d), _K),
@@ -104,6 +121,7 @@ QUERIES = {
 }
 _half_components = lambda x: f"r{x}(id, c) AS (SELECT id, id FROM v{x} UNION SELECT q.u, r{x}.c FROM r{x} JOIN (SELECT src AS v, dst AS u FROM e{x} UNION ALL SELECT dst, src FROM e{x}) q ON q.v = r{x}.id), c{x} AS MATERIALIZED (SELECT id, min(c) AS label FROM r{x} GROUP BY id), n{x} AS (SELECT label, count(*) AS n FROM c{x} GROUP BY label HAVING count(*) > 1)"
 SQL = {
+    "edge_changes": _CHANGES,
     "velocity": sql("SELECT w, round(dn, 6) AS d_n, round(dm, 6) AS d_m, round(dd, 6) AS d_density, round(speed, 6) AS speed FROM ve", _VEL),
     "change_points": sql(f"SELECT w, 'increase' AS direction, round(up, 6) AS value FROM cs WHERE up > {EASY} UNION ALL SELECT w, 'decrease', round(down, 6) FROM cs WHERE down > {EASY}", _CUSUM),
     "momentum": sql("SELECT round(s, 4) AS speed, round(x, 4) AS gain, CASE WHEN s IS NULL THEN 'STAGNANT' WHEN s > 1.0 AND x > 0.2 THEN 'EXPLOSIVE' WHEN s > 0.3 AND x > 0 THEN 'ACCELERATING' WHEN s > 0.1 AND abs(x) < 0.1 THEN 'STEADY' WHEN s > 0.1 AND x < -0.1 THEN 'DECELERATING' WHEN s < 0.05 THEN 'STAGNANT' WHEN de < -0.3 THEN 'COLLAPSING' ELSE 'STEADY' END AS phase FROM (SELECT avg(speed) AS s, arg_max(speed, w) - arg_min(speed, w) AS x, sum(dd) AS de FROM (SELECT * FROM ve ORDER BY w DESC LIMIT 3))", _VEL),
