@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ class Encoder:
         return b"".join([known[w] if w in known else own[w] for w in words]) + self.end
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end: int) -> Encoder:
+    """One for all tasks of a Python worker, so that words are not learnt anew."""
+    return Encoder(path, end)
+
+
 def _filesystem(folder: str):
     from pyarrow.fs import FileSystem
 
@@ -160,7 +167,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, doc_id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
-        shard, encoder, out, at, before = TaskContext.get().partitionId(), Encoder(path, end), None, 0, 0
+        shard, encoder, out, at, before = TaskContext.get().partitionId(), _encoder(path, end), None, 0, 0
         name = f"ids-{shard:06d}-{uuid.uuid4().hex}.rcids"
         own, held, n = [], [], 0
 
