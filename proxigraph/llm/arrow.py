@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with ``fn`` giving a dict of columns (lists or Arrow arrays) for each batch."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` with ``fn`` giving a dict of columns (lists or Arrow arrays) for each batch, cut to
+    ``rows`` rows at most if told; such tasks give their memory back when they end."""
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = fn(b)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in ((f, got[f.name]) for f in arrow)], schema=arrow)
+        for big in batches:
+            step = rows or max(1, big.num_rows)
+            for i in range(0, max(1, big.num_rows), step):
+                got = fn(big.slice(i, step))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in ((f, got[f.name]) for f in arrow)], schema=arrow)
+                del got
+            if rows:
+                trim()
 
     return df.mapInArrow(run, out)
 

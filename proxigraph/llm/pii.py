@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.llm.arrow import map_arrow, texts
+from proxigraph.llm.arrow import map_arrow, texts, trim
 from proxigraph.plans.session import table
 from proxigraph.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE_AT, REMOVE_AT = 0.85, 0.97
+ROWS = 256  # texts that a task handles at once
+KNOWN = 250_000  # terms whose place in the filter a task remembers
 BLOOM_BITS = 26  # the filter of candidate terms has a fixed size: 8 MB
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -146,7 +148,7 @@ def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
                 for w in {w.lower() for w in set(_TERM.findall(t))}:
                     hit = known.get(w)
                     if hit is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > KNOWN:
                             known.clear()
                         x = xxhash.xxh64_intdigest(w.encode(), 42) & mask
                         known[w] = hit = bool(int(bits[x >> 3]) >> (x & 7) & 1)
@@ -156,6 +158,8 @@ def _counted(docs: DataFrame, cand: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+        del known, counts
+        trim()
 
     seen = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return seen.join(cand.select("term").distinct(), "term", "left_semi")
@@ -170,7 +174,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[D
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("th", F.xxhash64("text"))
-    found = materialize(map_arrow(src, _scan, _FOUND), "pii-found")
+    found = materialize(map_arrow(src, _scan, _FOUND, ROWS), "pii-found")
     n_all = found.count()
     with_any = found.filter(F.size("entities") > 0)
     by_text = with_any.groupBy("th").agg(F.count("*").alias("docs"), F.first("entities").alias("entities"), F.first("near").alias("near"))
@@ -226,7 +230,7 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             out.append(_clean_text(t, sorted(spans)) if spans else t)
         return {f.name: b.column(i) for i, f in enumerate(schema)} | {text: out}
 
-    return docs.filter(~F.coalesce(risky, F.lit(False))).unionAll(map_arrow(hit.select(*[hit[c] for c in docs.columns], "__pii_told"), run, schema))
+    return docs.filter(~F.coalesce(risky, F.lit(False))).unionAll(map_arrow(hit.select(*[hit[c] for c in docs.columns], "__pii_told"), run, schema, ROWS))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ SHINGLE = 3
 HELD = 1 << 16  # rows of whole buckets that a task compares at once
 WORDS, MISSED, MEET = 4, 0.03, 1024  # of ``similar``: words of a fingerprint, share not met, documents that meet by chance
 SPREAD = 2.5  # standard deviations beyond the mean distance at the limit up to which texts are proposed
+SCAN = 1024  # texts that a task of ``similar`` hashes at once
 UNIT = 16 << 20  # characters of a proposed group that one task checks by itself
 _LANES = np.uint64(0x0101010101010101)
 
@@ -337,7 +338,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
         d0, d1 = ([_signed(xxhash.xxh64_intdigest(x, seed)) for x in sets] for seed in (7, 8))
         return {"doc_id": b["doc_id"], "d0": d0, "d1": d1, "chars": [len(t or "") for t in b["text"].to_pylist()]} | {c: pa.array(got[:, w]) for w, c in enumerate(fp)}
 
-    rows = materialize(map_arrow(src, scan, f"doc_id long, d0 long, d1 long, chars long, {kinds}"), "simhash-wide")
+    rows = materialize(map_arrow(src, scan, f"doc_id long, d0 long, d1 long, chars long, {kinds}", SCAN), "simhash-wide")
     least = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "chars", *fp)).alias("x"))  # texts of one set are one
     own = materialize(least.select("d0", "d1", F.col("x.doc_id").alias("id"), "x.chars", *[f"x.{c}" for c in fp]), "simhash-reps")
     at, radius = sampled_bits(own.count(), similarity), bits_apart(similarity)
