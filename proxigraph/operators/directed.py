@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proxigraph.operators.paths import climb
 from proxigraph.plans.graph import Graph, next_sql, rounded, user_next, user_seq, user_sql
 from proxigraph.plans.shared import drop, materialize
 
@@ -95,6 +96,19 @@ def topological_levels(g: Graph, rounds: int = 100_000) -> DataFrame:
     raise RuntimeError(f"levels did not settle in {rounds} rounds")
 
 
+def critical_path(g: Graph) -> DataFrame:
+    """(step, id): a longest path of a graph without cycles, of equals by the least last vertex and the
+    least predecessors; no rows if there is a cycle."""
+    level = materialize(topological_levels(g), "topo-levels")
+    if not level.filter("level is null").isEmpty():
+        return level.filter(F.lit(False)).select(F.col("level").alias("step"), "id")
+    of = lambda x: level.select(F.col("id").alias(x), F.col("level").alias(f"l_{x}"))
+    up = g.edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").filter("l_dst = l_src + 1").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    last = level.agg(F.max("level").alias("level"))
+    end = level.join(F.broadcast(last), "level").agg(F.min("id").alias("id"))  # a row each
+    return climb(materialize(level.select("id").join(up, "id", "left"), "topo-parents"), end)
+
+
 def reciprocity(g: Graph) -> DataFrame:
     """One row: edges, those with an edge back, and their share."""
     e = g.edges.select("src", "dst").distinct()
@@ -131,6 +145,7 @@ QUERIES = {
     "condensation": lambda s, d: condensation(user_next(s, d, 3)),
     "condensation_cost": lambda s, d: edges_to_connect(condensation(user_next(s, d, 3))),
     "topological_levels": lambda s, d: topological_levels(upward(user_seq(s, d, 4))),
+    "critical_path": lambda s, d: critical_path(upward(user_seq(s, d, 4))),
     "topological_cycles": lambda s, d: topological_levels(user_next(s, d, 3)),
     "reciprocity": lambda s, d: reciprocity(user_next(s, d)),
     "reciprocity_candidates": lambda s, d: reciprocity_candidates(user_next(s, d)),
@@ -141,6 +156,7 @@ SQL = {
     "condensation": _three(next_sql("SELECT * FROM cond", _COND)),
     "condensation_cost": _three(next_sql("SELECT count(*) AS components, CASE WHEN count(*) <= 1 THEN 0 ELSE greatest(count(*) FILTER (kind IN ('source', 'isolated')), count(*) FILTER (kind IN ('sink', 'isolated'))) END::BIGINT AS edges_needed FROM cond", _COND)),
     "topological_levels": user_sql("SELECT id, max(l)::INT AS level FROM lp GROUP BY id", "lp(id, l) AS (SELECT id, 0 FROM v UNION SELECT e.dst, l + 1 FROM lp JOIN e ON e.src = lp.id)").replace("count(*) >= 2", "count(*) >= 4"),
+    "critical_path": user_sql("SELECT ((SELECT max(k) FROM cp) - k)::INT AS step, id FROM cp", "lp(id, l) AS (SELECT id, 0 FROM v UNION SELECT e.dst, l + 1 FROM lp JOIN e ON e.src = lp.id), lv AS MATERIALIZED (SELECT id, max(l) AS l FROM lp GROUP BY id), pa AS MATERIALIZED (SELECT y.id, min(x.id) AS p FROM e JOIN lv x ON x.id = src JOIN lv y ON y.id = dst AND y.l = x.l + 1 GROUP BY y.id), cp(id, k) AS (SELECT min(id), 0 FROM lv WHERE l = (SELECT max(l) FROM lv) UNION ALL SELECT p, k + 1 FROM cp JOIN pa ON pa.id = cp.id)").replace("count(*) >= 2", "count(*) >= 4"),
     "topological_cycles": _three(next_sql("SELECT v.id, x.level FROM v LEFT JOIN (SELECT id, max(l)::INT AS level FROM lp GROUP BY id) x ON x.id = v.id", "rc(a, b) AS (SELECT src, dst FROM e UNION SELECT rc.a, e.dst FROM rc JOIN e ON e.src = rc.b), bad AS (SELECT a AS id FROM rc WHERE a = b UNION SELECT b FROM rc WHERE a IN (SELECT a FROM rc WHERE a = b)), lp(id, l) AS (SELECT id, 0 FROM v WHERE id NOT IN (SELECT id FROM bad) UNION SELECT e.dst, l + 1 FROM lp JOIN e ON e.src = lp.id WHERE e.dst NOT IN (SELECT id FROM bad))")),
     "reciprocity": next_sql("SELECT * FROM rt", _RATE),
     "reciprocity_candidates": next_sql("SELECT m.dst AS src, m.src AS dst, round((rate + least(1.0, coalesce(n, 0) / 3) + 1 - abs(a.d - b.d) / greatest(a.d, b.d)) / 3, 6) AS probability FROM m LEFT JOIN sh ON sh.src = m.src AND sh.dst = m.dst JOIN dg a ON a.v = m.src JOIN dg b ON b.v = m.dst, rt ORDER BY probability DESC, 1, 2 LIMIT 20", _RATE + ", nr AS (SELECT src AS v, dst AS u FROM e UNION SELECT dst, src FROM e), dg AS (SELECT v, count(*) AS d FROM nr GROUP BY v), m AS (SELECT e.src, e.dst FROM e ANTI JOIN e b ON b.src = e.dst AND b.dst = e.src), sh AS (SELECT m.src, m.dst, count(*) AS n FROM m JOIN nr x ON x.v = m.src JOIN nr y ON y.v = m.dst AND y.u = x.u GROUP BY 1, 2)"),

@@ -24,19 +24,29 @@ def tree(g: Graph, source: str, links: DataFrame | None = None) -> DataFrame:
     return found.join(parent, ["id", "hops"], "left")
 
 
-def _walk(parents: DataFrame, target: str, rounds: int = 100_000) -> DataFrame:
-    """(step, id) from the root to ``target``, looking up one parent after the other; an error beyond ``rounds``."""
-    spark, path, at = parents.sparkSession, [], target
-    while at is not None:
-        if len(path) >= rounds:
-            raise RuntimeError(f"the path has over {rounds} vertices")
-        row = parents.filter(F.col("id") == at).select("parent").first()
-        if row is None:
-            path = []
+def climb(parents: DataFrame, target: DataFrame) -> DataFrame:
+    """(step, id) from the root to the one row (id) of ``target``, by ``parents`` (id, parent) whose roots
+    have none. Pointers double: a round knows all vertices below 2^k steps and looks up as many at once,
+    so a path takes the logarithm of its length in rounds. No rows for an unknown or missing target."""
+    jump = parents.filter("parent is not null").select("id", "parent")
+    path = materialize(parents.join(target.select("id"), "id", "left_semi").select("id", F.lit(0).cast("long").alias("up")), "climb")
+    for k in range(64):
+        more = path.join(jump, "id").select(F.col("parent").alias("id"), (F.col("up") + F.lit(1 << k)).alias("up"))
+        more = materialize(more, "climb")
+        if more.isEmpty():
+            drop(more)
             break
-        path.append(at)
-        at = row[0]
-    return spark.createDataFrame([(i, x) for i, x in enumerate(reversed(path))], "step int, id string")
+        path = materialize(path.unionByName(more), "climb")
+        twice = jump.select("id", F.col("parent").alias("mid")).join(jump.select(F.col("id").alias("mid"), "parent"), "mid")
+        jump = materialize(twice.select("id", "parent"), "jump")
+    else:
+        raise ValueError("the parents form a cycle")
+    length = path.agg(F.max("up").alias("top"))
+    return path.join(F.broadcast(length)).select((F.col("top") - F.col("up")).cast("int").alias("step"), "id")  # length: one row
+
+
+def _one(g: Graph, vertex: str) -> DataFrame:
+    return g.vertices.filter(F.col("id") == vertex).select("id")
 
 
 def path_by_hops(g: Graph, source: str, target: str, avoid: tuple[str, ...] = ()) -> DataFrame:
@@ -45,19 +55,20 @@ def path_by_hops(g: Graph, source: str, target: str, avoid: tuple[str, ...] = ()
     if avoid:
         keep = ~F.col("id").isin(*avoid)
         g = Graph(g.vertices.filter(keep), g.edges.filter(~F.col("src").isin(*avoid) & ~F.col("dst").isin(*avoid)))
-    return _walk(materialize(tree(g, source), "tree"), target)
+    return climb(materialize(tree(g, source).select("id", "parent"), "tree"), _one(g, target))
 
 
 def path_through(g: Graph, stops: list[str]) -> DataFrame:
     """(step, id): shortest paths from stop to stop, joined; no rows if one of them is missing."""
-    spark, out = g.vertices.sparkSession, []
-    for a, b in zip(stops, stops[1:], strict=False):
-        leg = [r.id for r in path_by_hops(g, a, b).orderBy("step").collect()]  # a path, not a table
-        if not leg:
-            out = []
-            break
-        out += leg if not out else leg[1:]
-    return spark.createDataFrame(list(enumerate(out)), "step int, id string")
+    legs, base = [], 0
+    for i, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+        leg = materialize(path_by_hops(g, a, b), "leg")
+        n = leg.count()
+        if not n:
+            return leg
+        legs.append(leg.filter(F.col("step") >= (1 if i else 0)).select((F.col("step") + base).alias("step"), "id"))
+        base += n - 1
+    return reduce(DataFrame.unionByName, legs, g.vertices.limit(0).select(F.lit(0).alias("step"), "id"))
 
 
 def weighted_distances(g: Graph, source: str, rounds: int = 100_000) -> DataFrame:
@@ -83,7 +94,7 @@ def weighted_distances(g: Graph, source: str, rounds: int = 100_000) -> DataFram
 def path_by_weight(g: Graph, source: str, target: str) -> DataFrame:
     """(step, id, total) of a path of least weight; no rows without one."""
     d = materialize(weighted_distances(g, source), "relaxed")
-    return _walk(d, target).join(d.select("id", "total"), "id").select("step", "id", "total")
+    return climb(d, _one(g, target)).join(d.select("id", "total"), "id").select("step", "id", "total")
 
 
 def power(g: Graph, k: int) -> DataFrame:

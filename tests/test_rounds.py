@@ -82,3 +82,12 @@ def test_strong_components_and_levels(spark):
     assert directed.reciprocity(g).first()[:2] == (8, 2)
     loop = Graph(g.vertices, g.edges.filter(F.col("src") == "x"), directed=True)
     assert directed.reciprocity(loop).first().rate == 0.0
+
+
+def test_critical_path_is_a_longest_path(spark):
+    arcs = [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "e"), ("y", "z")]
+    ids = spark.createDataFrame([(v,) for v in "abcdexyz"], "id string")
+    g = Graph(ids, spark.createDataFrame(arcs, "src string, dst string"), directed=True)
+    assert [r.id for r in directed.critical_path(g).orderBy("step").collect()] == ["a", "b", "d", "e"]
+    ring = Graph(ids, spark.createDataFrame([*arcs, ("e", "a")], "src string, dst string"), directed=True)
+    assert directed.critical_path(ring).count() == 0 == directed.critical_path(Graph(ids.limit(0), g.edges.limit(0), directed=True)).count()
