@@ -16,9 +16,10 @@ from proxigraph.plans.graph import Graph, user_seq, user_sql
 from proxigraph.plans.shared import drop, materialize
 
 
-def independent_set(g: Graph) -> DataFrame:
-    """(id): the greedy maximal independent set in order of degree, then id; isolated vertices are in it."""
-    d = materialize(g.degrees(), "mis-degrees")
+def independent_set(g: Graph, order: DataFrame | None = None) -> DataFrame:
+    """(id): the greedy maximal independent set in order of degree, then id; isolated vertices are in it.
+    ``order`` (id, degree) gives other numbers than the degrees to go by."""
+    d = materialize(g.degrees() if order is None else g.vertices.select("id").join(order, "id").select("id", "degree"), "mis-degrees")
     s = materialize(g.both(), "mis-links")
     open_, taken = materialize(d.withColumn("k", F.struct("degree", "id")).select("id", "k"), "mis-open"), []
     while not open_.isEmpty():
