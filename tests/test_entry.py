@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["relationship_edges", "proximity_scan", "device_match", "sessionize_pair", "ap_intersect_top1", "nodes_by_type", "edges_between", "query_stats", "degree_stats", "rich_club", "nmi", "local_clustering", "squares", "predict_ensemble", "edge_persistence", "graph_diff", "merge_left", "bfs_levels", "export_laplacian", "merge_union", "triangles", "shortest_path_weight", "betweenness", "label_propagation", "strong_components", "topological_levels", "centrality_spearman", "sample_nodes", "mst_users", "similar_above_threshold", "signed_strong_balance", "velocity", "node_lifecycles", "momentum", "export_gexf", "export_dimacs", "csv_escape", "string_lower",
-        "louvain_moves", "maximal_cliques", "clique_summary", "pattern_square", "pattern_clique", "all_simple_paths", "k_shortest_paths", "girth", "edge_changes", "voronoi_weighted", "merge_intersection", "change_points", "k_nearest"]
+        "louvain_moves", "maximal_cliques", "clique_summary", "pattern_square", "pattern_clique", "all_simple_paths", "k_shortest_paths", "girth", "edge_changes", "voronoi_weighted", "merge_intersection", "change_points", "k_nearest",
+        "critical_path", "quotient_attribute", "quotient_khop", "truss_numbers", "truss_profile", "community_events", "shortest_path_waypoints"]
 
 
 @pytest.fixture(scope="module")
