@@ -59,6 +59,29 @@ def test_block_grows_with_the_table(spark, monkeypatch):
     assert len({x.mix_position for x in got}) == 4000 and len({x.mix_slot for x in got}) <= 57
 
 
+def test_blocks_are_of_one_size_at_every_size_of_the_table(spark):
+    n = (1 << 20) + 50_000  # more blocks than the list that the driver once held
+    got = mixing.mix(spark.range(n).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source"), {"a": 1, "b": 3}, block=1)
+    w = "if(mix_source = 'a', 1, 3)"
+    row = got.selectExpr("max(mix_block)", "count(distinct mix_slot)", f"sum(int(4 * mix_block <= {w} * (mix_slot + 1) and mix_slot * {w} < 4 * (mix_block + 1)))").first()
+    assert row[0] == n - n // 4 - 1 and row[1] == row[2] == n
+
+
+def test_windows_of_slots_keep_the_weights_and_runs_out(spark, monkeypatch):
+    r = random.Random(5)
+    for width in (1, 3, 11, 40):
+        monkeypatch.setattr(mixing, "WINDOW", width)
+        weights = {f"s{i}": r.choice([r.random() + 0.01, r.randint(1, 9)]) for i in range(r.randint(1, 9))}
+        blocks = {s: r.randint(0, 200) for s in weights}
+        part, whole = mixing.parts(weights)
+        plan = mixing.exact_slots(weights, blocks)
+        assert mixing.windows(part, whole, blocks)[1] > 1 and {s: len(x) for s, x in plan.items()} == blocks
+        assert len({t for x in plan.values() for t in x}) == sum(blocks.values())
+        assert all(k * whole <= part[s] * (t + 1) and part[s] * t < (k + 1) * whole for s, x in plan.items() for k, t in enumerate(x))
+        made = mixing._schedule(spark, weights, blocks, ["s", "k", "t"]).collect()
+        assert sorted(map(tuple, made)) == sorted((s, k, t) for s, x in plan.items() for k, t in enumerate(x))
+
+
 def test_mix_takes_many_sources_and_long_runs(spark):
     docs = spark.createDataFrame([(i, "s%d" % (i % 1200)) for i in range(2400)], "doc_id long, source string")
     assert len({x.mix_position for x in mixing.mix(docs, block=1).collect()}) == 2400
