@@ -34,13 +34,17 @@ DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 BLOCKS = np.dtype([("n", "<u4"), ("bits", "u1"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that reaches so many
 READERS = 1 << 14  # tasks that read segments, at most; more segments are several a task
-CACHE, LONG = 1 << 18, 32  # words that a task remembers, characters of those it does not
+CACHE, LONG = 1 << 18, 32  # words that a worker remembers, characters of those it does not
 
 #: Letters of every version of Unicode. In texts of these, printable ASCII, blanks and line ends the byte-level
 #: pattern's classes are beyond doubt, so Python finds the same words as the tokenizer.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-џ一-龥"
 OTHER = re.compile(f"[^\t\n\r -~{LETTERS}]")
-WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
+WORD = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
+
+#: The byte-level alphabet: bytes that can be printed stand for themselves, the others for U+0100 and on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - PRINTED))}
 
 
 def default_tokenizer() -> str:
@@ -52,54 +56,44 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts as little-endian bytes by the tokenizers library, end id included.
 
-    Where the tokenizer cuts texts by the byte-level pattern, the library encodes every different word once
-    while it is remembered: new words go to it as lines of one text, and the line end's id parts theirs.
-    Texts with other characters or an added token go to it whole, as does every text of another tokenizer."""
+    Where the tokenizer cuts texts by the byte-level pattern, the library's model encodes every different word
+    once while it is remembered: of CACHE words those of the last half found, at least.
+    Texts with other characters or an added token go to the library whole, as does every text of another tokenizer."""
 
     def __init__(self, path: str, end: int = END):
         import json
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), struct.pack("<I", end), {}
+        self.tokenizer, self.end, self.known, self.before = Tokenizer.from_file(path), struct.pack("<I", end), {}, {}
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
-        pre, line = spec.get("pre_tokenizer") or {}, self._ids("\n")
+        pre = spec.get("pre_tokenizer") or {}
         self.added = [t["content"] for t in spec["added_tokens"]]
         usual = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.words = usual and len(line) == 1 and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
-        self.line = line[0] if self.words else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        ids = np.array(self._ids("\n".join(words)), "<u4")
-        cuts = (np.flatnonzero(ids == self.line) * 4).tolist()
-        if len(cuts) != len(words) - 1:  # a word's own ids hold the line end's
-            self.known.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in words)
-            return
-        raw, at = ids.tobytes(), 0
-        for w, cut in zip(words, [*cuts, len(raw)], strict=True):
-            self.known[w] = raw[at:cut]
-            at = cut + 4
+        self.words = bool(usual) and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, which is remembered unless it is long."""
+        got = self.known.get(word) or self.before.get(word)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONG:
+            if len(self.known) >= CACHE // 2:
+                self.before, self.known = self.known, {}
+            self.known[word] = got
+        return got
 
     def __call__(self, text: str) -> bytes:
         if not self.words or OTHER.search(text) or any(t in text for t in self.added):
-            return np.array(self._ids(text), "<u4").tobytes() + self.end
-        own, words = {}, WORD.findall(text)
-        new = set(words).difference(self.known)
-        if new:
-            odd = [w for w in new if w.isspace() or len(w) > LONG]
-            own = {w: np.array(self._ids(w), "<u4").tobytes() for w in odd}
-            fresh = list(new.difference(odd))
-            if fresh:
-                if len(self.known) + len(fresh) > CACHE:
-                    fresh = list(set(words).difference(odd))
-                self._learn(fresh)
-        known = self.known
-        return b"".join([known[w] if w in known else own[w] for w in words]) + self.end
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        words = WORD.findall(text)
+        out = [*map(self.known.get, words)]
+        if None in out:
+            word = self._word
+            out = [word(w) if x is None else x for w, x in zip(words, out, strict=True)]
+        return b"".join(out) + self.end
 
 
 @lru_cache(maxsize=1)

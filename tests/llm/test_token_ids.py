@@ -91,6 +91,26 @@ def test_words_give_the_library_s_ids_for_any_text(t):
     assert np.frombuffer(enc(t), "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_new_words_skip_the_whole_encoding_and_the_frequent_ones_stay(monkeypatch):
+    tok, _ = _pair()
+    enc, calls = token_ids.Encoder(token_ids.default_tokenizer()), []
+
+    class Spy:
+        def encode(self, *a, **k):
+            calls.append(a)
+            return tok.encode(*a, **k)
+
+    monkeypatch.setattr(enc, "tokenizer", Spy())
+    monkeypatch.setattr(token_ids, "CACHE", 20)
+    for k in range(60):
+        t = f" often a{k}b c{k}, {k}\n é{k} " + "y" * 50
+        assert np.frombuffer(enc(t), "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
+        assert len(enc.known) + len(enc.before) <= 20 and " often" in {**enc.before, **enc.known}
+    assert not calls
+    every = [chr(c) for c in range(32, 127)] + ["é", "ß", "Ж", "日", "\t", "\n", "\r"]
+    assert b"".join(enc(c)[:-4] for c in every) == np.array([i for c in every for i in tok.encode(c, add_special_tokens=False).ids], "<u4").tobytes()
+
+
 def _pair(memo=[]):  # noqa: B006
     if not memo:
         path = token_ids.default_tokenizer()
