@@ -1,282 +1,299 @@
-"""Blocks of token ids, range-coded under a mix of adaptive order-0 to order-2 predictions.
+"""Blocks of token ids, range-coded under a mix of order-0 to order-2 predictions.
 
-A block is BLOCK ids; its model starts from nothing, so blocks decode on their own. All blocks
+The ids of a call are numbered: those frequent enough for a share of the order-0 frequencies first, the
+rare ones after them, which an escape and the bits of their number stand for. These ``Orders`` go with every block.
+A block is BLOCK ids; all else of its model starts from nothing, so blocks decode on their own. All blocks
 of a call go forward in lockstep, one id each at a step: a lane per block, numpy over the lanes.
 
 Per lane: the id that last followed the id before (order 1) and the two ids before (order 2), each
-with a confidence; weights of the two predictions and of order 0 by the pair of confidences, moved
-towards those that were right, where predictions that agree add up; and order-0 frequencies
-of the ids seen, taken anew at the steps of REFRESH, with an escape to the bits of a new id.
+with a confidence; and weights of the two predictions and of order 0 by the pair of confidences, moved
+towards those that were right, where predictions that agree add up.
 Everything is integer arithmetic. Ids are unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
-BLOCK, LANES = 1024, 4096  # ids of a block, blocks that go forward together
-REFRESH = (16, 64, 128, 256, 512, 768)  # steps at which order-0 frequencies are taken anew
-SLOTS = 10  # bits of the tables that contexts are hashed to
+BLOCK, LANES = 1024, 8192  # ids of a block, blocks that go forward together
+SLOTS = 9  # bits of the tables that contexts are hashed to
 WHOLE, LEAST, RATE = 1 << 16, 64, 4  # weights sum to WHOLE, order 0 has some LEAST, speed of weights
-TOTAL = 13  # bits of the order-0 frequencies
+TOTAL = 16  # bits of the order-0 frequencies
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _NONE = -4  # no id, no confidence
 
 
+class Orders:
+    """Order-0 frequencies: ``ids`` by number, of which the first ``common`` have one each and the rest share the
+    last, the escape's."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq, self.common = ids, freq, len(freq) - 1
+        self.start = np.cumsum(freq) - freq
+        self.bits = max(0, len(ids) - self.common - 1).bit_length()
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Orders, np.ndarray]:
+        """The frequencies of ``ids``, and the number of each of them."""
+        if int(ids.max()) < 1 << 20:
+            every = np.bincount(ids)
+            kinds = np.flatnonzero(every)
+            count, place = every[kinds], np.cumsum(every > 0)[ids] - 1
+        else:
+            kinds, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+        share = (count << TOTAL) // len(ids)
+        common = share > 1
+        order = np.r_[np.flatnonzero(common), np.flatnonzero(~common)]
+        freq = np.r_[share[common], 0]
+        freq[-1] = max(1, int(count[~common].sum() << TOTAL) // len(ids))
+        over = int(freq.sum()) - (1 << TOTAL)
+        freq[int(freq.argmax())] -= over  # one too many at most, and the largest is 2 at least
+        number = np.empty(len(kinds), np.int32)
+        number[order] = np.arange(len(kinds), dtype=np.int32)
+        return cls(kinds[order].astype(np.uint32), freq.astype(np.int64)), number[place]
+
+    def pack(self) -> bytes:
+        ids, k = self.ids.astype(np.int64), self.common
+        parts = np.diff(ids[:k], prepend=0), self.freq, np.diff(ids[k:], prepend=0)
+        return zlib.compress(b"".join([np.array([k, len(ids) - k], "<u4").tobytes(), *[p.astype("<u4").tobytes() for p in parts]]), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Orders:
+        flat = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        k, rare = int(flat[0]), int(flat[1])
+        return cls(np.r_[np.cumsum(flat[2 : 2 + k]), np.cumsum(flat[3 + 2 * k : 3 + 2 * k + rare])].astype(np.uint32), flat[2 + k : 3 + 2 * k])
+
+
 class Writer:
     """Range coders of several lanes: 48-bit low ends, words of 16 bits, carries settled at the end."""
 
     def __init__(self, lanes: int, words: int):
-        self.low, self.range, self.count = np.zeros(lanes, np.int64), np.full(lanes, _FULL + 1), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _FULL + 1)
         self.cap, self.words = words, np.zeros(lanes * words, np.uint32)
+        self.at = np.arange(lanes) * words
 
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: np.ndarray | int) -> None:
-        every = isinstance(lanes, slice)
-        unit = self.range[lanes] >> bits
-        low, wide = self.low[lanes] + unit * start, unit * freq
+    def put(self, n: int, low: np.ndarray, wide: np.ndarray) -> None:
+        """The first ``n`` lanes go on with the ranges of ``wide`` from ``low``."""
+        at = self.at[:n]
         over = (low > _FULL).nonzero()[0]
         if len(over):
-            own = over if every else lanes[over]
-            self.words[own * self.cap + self.count[own] - 1] += 1
-            low[over] &= _FULL
-        small = (wide < _LOW).nonzero()[0]
-        if len(small):
-            own, top = small if every else lanes[small], low[small]
-            self.words[own * self.cap + self.count[own]] = top >> 32
-            self.count[own] += 1
-            low[small] = top << 16 & _FULL
-            wide[small] <<= 16
-        self.low[lanes], self.range[lanes] = low, wide
+            self.words[at[over] - 1] += 1
+        self.words[at] = low >> 32 & 0xFFFF  # counts if the lane goes on
+        small = wide < _LOW
+        at += small
+        shift = small.view(np.int8) << np.int8(4)
+        self.low[:n], self.range[:n] = low << shift & _FULL, wide << shift
+        rest = (self.range[:n] < _LOW).nonzero()[0]
+        if len(rest):
+            self.words[at[rest]] = self.low[rest] >> 32
+            at[rest] += 1
+            self.low[rest] = self.low[rest] << 16 & _FULL
+            self.range[rest] <<= 16
+
+    def some(self, lanes: np.ndarray, value: np.ndarray, bits: int) -> None:
+        """Evenly distributed numbers of ``bits`` bits."""
+        unit = self.range[lanes] >> bits
+        low = self.low[lanes] + unit * value
+        over = lanes[low > _FULL]
+        self.words[self.at[over] - 1] += 1
+        low &= _FULL
+        small = unit < _LOW
+        own = lanes[small]
+        self.words[self.at[own]] = low[small] >> 32
+        self.at[own] += 1
+        low[small] = low[small] << 16 & _FULL
+        unit[small] <<= 16
+        self.low[lanes], self.range[lanes] = low, unit
 
     def room(self, more: int) -> None:
         """Make sure that each lane can take ``more`` words."""
-        if len(self.count) and int(self.count.max()) + more > self.cap:
+        lanes = len(self.at)
+        first = np.arange(lanes) * self.cap
+        if lanes and int((self.at - first).max()) + more > self.cap:
             cap = 2 * self.cap + more
-            words = np.zeros((len(self.count), cap), np.uint32)
+            words = np.zeros((lanes, cap), np.uint32)
             words[:, : self.cap] = self.words.reshape(-1, self.cap)
+            self.at += np.arange(lanes) * (cap - self.cap)
             self.cap, self.words = cap, words.reshape(-1)
 
     def close(self) -> list[np.ndarray]:
         """The words of each lane."""
         self.room(1)
-        own = np.arange(len(self.low)) * self.cap
-        self.words[own + self.count] = self.low + _LOW - 1 >> 32  # a number within the range whose lower words are zero
+        self.words[self.at] = self.low + _LOW - 1 >> 32  # a number within the range whose lower words are zero
+        size = self.at - np.arange(len(self.at)) * self.cap + 1
         while len(over := (self.words >> 16).nonzero()[0]):
             self.words[over] -= 1 << 16
             np.add.at(self.words, over - 1, 1)
         words = self.words.astype("<u2").reshape(-1, self.cap)
-        return [w[: n + 1] for w, n in zip(words, self.count.tolist(), strict=True)]
+        return [w[:n] for w, n in zip(words, size.tolist(), strict=True)]
 
 
 class Reader:
     def __init__(self, words: list[np.ndarray]):
         size = np.array([len(w) for w in words])
-        self.words = np.concatenate([np.concatenate([w, np.zeros(3, "<u2")]) for w in words])
-        self.end = np.cumsum(size + 3)
-        self.at = self.end - size - 3
-        self.code = (self.words[self.at].astype(np.int64) << 32) | (self.words[self.at + 1].astype(np.int64) << 16) | self.words[self.at + 2]
+        self.words = np.concatenate([np.concatenate([w, np.zeros(3, "<u2")]) for w in words]).astype(np.int64)
+        self.at = np.cumsum(size + 3) - size - 3
+        self.code = (self.words[self.at] << 32) | (self.words[self.at + 1] << 16) | self.words[self.at + 2]
         self.at += 3
         self.range = np.full(len(words), _FULL + 1)
 
-    def peek(self, lanes: np.ndarray | slice, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, place): the quotient is below 2^16 and its parts below 2^48, so doubles give its floor."""
+    def take(self, n: int, code: np.ndarray, wide: np.ndarray) -> None:
+        """The first ``n`` lanes go on with the ranges of ``wide``, ``code`` from their low ends."""
+        at = self.at[:n]
+        small = wide < _LOW
+        shift = small.view(np.int8) << np.int8(4)
+        self.code[:n], self.range[:n] = code << shift | self.words.take(at) * small, wide << shift
+        at += small
+        rest = (self.range[:n] < _LOW).nonzero()[0]
+        if len(rest):
+            self._more(rest)
+
+    def _more(self, lanes: np.ndarray) -> None:
+        self.code[lanes] = self.code[lanes] << 16 | self.words[self.at[lanes]]
+        self.at[lanes] += 1
+        self.range[lanes] <<= 16
+
+    def some(self, lanes: np.ndarray, bits: int) -> np.ndarray:
         unit = self.range[lanes] >> bits
-        return unit, np.minimum((self.code[lanes] / unit).astype(np.int64), (1 << bits) - 1)
+        value = quotient(self.code[lanes], unit, bits)
+        self.code[lanes] -= unit * value
+        self.range[lanes] = unit
+        self._more(lanes[unit < _LOW])
+        return value
+
 
-    def take(self, lanes: np.ndarray | slice, unit: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        code, wide = self.code[lanes] - unit * start, unit * freq
-        small = (wide < _LOW).nonzero()[0]
-        if len(small):
-            at = small if isinstance(lanes, slice) else lanes[small]
-            place = self.at[at]
-            code[small] = code[small] << 16 | self.words[np.minimum(place, self.end[at] - 1)]
-            self.at[at] = place + 1
-            wide[small] <<= 16
-        self.code[lanes], self.range[lanes] = code, wide
+def quotient(code: np.ndarray, unit: np.ndarray, bits: int) -> np.ndarray:
+    """Below 2^bits, 16 at most, from parts below 2^48, so doubles give its floor."""
+    return np.minimum((code / unit).astype(np.int64), (1 << bits) - 1)
 
 
 class _Model:
-    """Predictions of all lanes before an id, and what the id teaches them. Tables hold id * 4 +
-    confidence, weights two 16-bit halves; 32 bits where no id has over 28."""
+    """Predictions of all lanes before an id, and what the id teaches them: order 1 in the first rows, order 2
+    in the second. Tables hold number * 4 + confidence, weights two 16-bit halves."""
 
-    def __init__(self, lanes: int, kind: type):
-        self.kind = kind
-        self.one, self.two = np.full(lanes << SLOTS, _NONE, kind), np.full(lanes << SLOTS, _NONE, kind)
+    def __init__(self, lanes: int):
+        self.table = np.full(2 * lanes << SLOTS, _NONE, np.int32)
         prior = np.array([0, WHOLE // 4, WHOLE // 2, WHOLE * 3 // 4])
         a, b = np.repeat(prior, 4), np.tile(prior, 4)
         self.weights = np.tile(((a - a * b // (2 * WHOLE)) << 16 | (WHOLE - a) * b // WHOLE).astype(np.uint32), lanes)
-        self.row, self.state = np.arange(lanes) << SLOTS, np.arange(lanes) << 4
-
-    def look(self, n: int, x1: np.ndarray, x2: np.ndarray) -> None:
-        mask = np.uint32((1 << SLOTS) - 1)
-        mix = x1.astype(np.uint32) * np.uint32(0x9E3779B1)
-        self.k1 = self.row[:n] + (mix >> 16 & mask)
-        mix ^= x2.astype(np.uint32) * np.uint32(0x85EBCA77)
-        self.k2 = self.row[:n] + (mix >> 14 & mask)
-        self.e1, self.e2 = self.one.take(self.k1), self.two.take(self.k2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.i1, self.i2 = self.e1 >> 2, self.e2 >> 2
-        self.s = self.state[:n] + (self.c2 << 2 | self.c1)
+        self.row, self.state = (np.arange(2 * lanes) << SLOTS).reshape(2, lanes), np.arange(lanes) << 4
+        self.second, self.mix = np.zeros(lanes, np.uint32), np.empty((2, lanes), np.uint32)
+
+    def look(self, n: int, x1: np.ndarray) -> None:
+        """Predictions after ``x1`` and the id of the call before."""
+        mix = self.mix[:, :n]
+        np.multiply(x1.view(np.uint32), np.uint32(0x9E3779B1), out=mix[0])
+        np.multiply(mix[0] ^ self.second[:n], np.uint32(0xC2B2AE3D), out=mix[1])
+        self.second = mix[0] >> np.uint32(7)
+        self.k = self.row[:, :n] + (mix >> np.uint32(32 - SLOTS))
+        self.e = self.table.take(self.k)
+        self.c, self.i = self.e & 3, self.e >> 2
+        self.s = self.state[:n] + (self.c[1] << 2 | self.c[0])
         w = self.weights.take(self.s)
-        self.v1, self.v2 = (w & np.uint32(0xFFFF)).view(np.int32), (w >> 16).view(np.int32)
-        self.both = self.v1 + self.v2
-
-    def learn(self, x: np.ndarray, is1: np.ndarray, is2: np.ndarray) -> None:
-        fresh = x << 2 | 1
-        for table, k, e, c, right in ((self.one, self.k1, self.e1, self.c1, is1), (self.two, self.k2, self.e2, self.c2, is2)):
-            table[k] = np.where(right, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        won = np.right_shift(np.int32(WHOLE - LEAST), is1 & is2, dtype=np.int32)  # shared where both are right
-        v1, v2 = (v + np.where(right, won - v >> RATE, -(v >> RATE)) for v, right in ((self.v1, is1), (self.v2, is2)))  # those of predictions never reach 0
-        self.weights[self.s] = (v2 << 16 | v1).view(np.uint32)
-
-
-class _Orders:
-    """Order-0 frequencies of each lane, the escape first; entries lie by lane and id."""
-
-    def __init__(self, lanes: int, lane: np.ndarray, ids: np.ndarray, count: np.ndarray, seen: int):
-        kinds, once = np.bincount(lane, minlength=lanes), np.bincount(lane[count == 1], minlength=lanes)
-        left = (1 << TOTAL) - kinds
-        room = left - LEAST - (left - LEAST) * once // (2 * seen)
-        freq = 1 + count * room[lane] // seen
-        escape = (1 << TOTAL) - np.bincount(lane, freq, lanes).astype(np.int64)
-        self.place = np.arange(len(lane)) + lane + 1
-        self.first = np.cumsum(kinds + 1) - kinds - 1
-        self.ids, self.freq = np.full(len(lane) + lanes, -1), np.zeros(len(lane) + lanes, np.int64)
-        self.ids[self.place], self.freq[self.place], self.freq[self.first] = ids, freq, escape
-        before = np.cumsum(self.freq) - self.freq
-        self.start = before & (1 << TOTAL) - 1  # lanes have the same total
-
-
-def _digits(bits: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Widths of the two parts of a new id by lane, and where they lie in it."""
-    return [(np.minimum(bits, 16), 0), (np.maximum(bits - 16, 0), 16)]
-
-
-def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(ids, bits, payload) of each block of ``ids``."""
-    out = []
-    for i in range(0, len(ids), BLOCK * LANES):
-        out += _encode(ids[i : i + BLOCK * LANES])
-    return out
+        self.v = np.empty((2, n), np.int32)
+        np.bitwise_and(w, np.uint32(0xFFFF), out=self.v[0].view(np.uint32))
+        np.right_shift(w, np.uint32(16), out=self.v[1].view(np.uint32))
+        self.both = self.v[0] + self.v[1]
+
+    def learn(self, x: np.ndarray, right: np.ndarray) -> None:
+        """``right``: which of the two foretold ``x``."""
+        self.table[self.k] = np.where(right, self.e + (self.c < 3), np.where(self.c > 1, self.e - 1, x << 2 | 1))
+        won = np.right_shift(np.int32(WHOLE - LEAST), right[0] & right[1], dtype=np.int32)  # shared where both are right
+        v = self.v + (np.where(right, won, np.int32((1 << RATE) - 1)) - self.v >> RATE)  # those of predictions never reach 0
+        self.weights[self.s] = (v[1] << 16 | v[0]).view(np.uint32)
 
 
-def _ranks(grid: np.ndarray) -> np.ndarray:
-    """(steps x lanes) -> number of each id among its lane's ids, in their order."""
-    out = np.empty(grid.shape, np.uint16 if len(grid) <= 1 << 16 else np.int32)
-    for i in range(0, grid.shape[1], 128):
-        rows = np.ascontiguousarray(grid[:, i : i + 128].T)
-        if rows.max(initial=0) < 1 << 16:
-            rows = rows.astype(np.uint16)
-        order = np.argsort(rows, axis=1, kind="stable")
-        flat = np.take_along_axis(rows, order, 1)
-        rank = np.zeros(rows.shape, out.dtype)
-        rank[:, 1:] = np.cumsum(flat[:, 1:] != flat[:, :-1], axis=1)
-        np.put_along_axis(rows := np.empty_like(rank), order, rank, 1)
-        out[:, i : i + 128] = rows.T
+def _digits(bits: int) -> list[tuple[int, int]]:
+    """Widths of the parts of a rare id's number, and where they lie in it."""
+    return [(min(16, bits - at), at) for at in range(0, bits, 16)]
+
+
+def encode(ids: np.ndarray) -> list[tuple[int, Orders, bytes]]:
+    """(ids, order 0, payload) of each block of ``ids``."""
+    if not len(ids):
+        return []
+    orders, numbers = Orders.of(ids)
+    out = []
+    for i in range(0, len(ids), BLOCK * LANES):
+        out += _encode(numbers[i : i + BLOCK * LANES], orders)
     return out
 
 
-def _encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    lanes = -(-len(ids) // BLOCK)
+def _encode(numbers: np.ndarray, orders: Orders) -> list[tuple[int, Orders, bytes]]:
+    lanes = -(-len(numbers) // BLOCK)
     size = np.full(lanes, BLOCK)
-    size[-1] = len(ids) - BLOCK * (lanes - 1)
-    kind = np.int32 if int(ids.max()) < 1 << 28 else np.int64
-    grid = np.zeros(lanes * BLOCK, kind)
-    grid[: len(ids)] = ids
-    grid[len(ids) :] = ids[-1]
+    size[-1] = len(numbers) - BLOCK * (lanes - 1)
+    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid[: len(numbers)] = numbers
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK)[:, : size.max()].T)
-    rank = _ranks(grid)
-    bits = np.array([int(m).bit_length() for m in grid.max(axis=0)])
-    out, model, table, entry = Writer(lanes, len(grid) + 256), _Model(lanes, kind), None, None
-    x1 = x2 = np.zeros(lanes, kind)
+    out, model, rare = Writer(lanes, len(grid) + 256), _Model(lanes), len(orders.ids) > orders.common
+    x1 = np.zeros(lanes, np.int32)
     for t in range(len(grid)):
         n = lanes if t < size[-1] else lanes - 1
         x = grid[t, :n]
         if t % 64 == 0:
-            out.room(256)  # at most four words an id
-        if t in REFRESH:
-            key = (np.arange(n, dtype=np.int32 if n * BLOCK < 1 << 31 else np.int64) * BLOCK + rank[:t, :n]).ravel()
-            count = np.bincount(key, minlength=n * BLOCK)
-            seen = np.flatnonzero(count)
-            table = _Orders(n, seen // BLOCK, np.zeros(len(seen), np.int64), count[seen], t)
-            entry = np.repeat(table.first.astype(np.int32), BLOCK)
-            entry[seen] = table.place
-            del key, count, seen
-        model.look(n, x1[:n], x2[:n])
-        is1, is2 = x == model.i1, x == model.i2
-        start = np.where(is2, 0, np.where(is1, model.v2, model.both))
-        freq = np.where(is2, np.where(is1, model.both, model.v2), np.where(is1, model.v1, WHOLE - model.both))
-        out.put(slice(0, n), start, freq, 16)
-        rest = (~(is1 | is2)).nonzero()[0]
-        if table is not None and len(rest):
-            at = entry[rest * BLOCK + rank[t, rest]]
-            out.put(rest, table.start[at], table.freq[at], TOTAL)
-            rest = rest[at == table.first[rest]]
-        if len(rest):
-            for wide, shift in _digits(bits[rest]):
-                own = wide.nonzero()[0]
-                if len(own):
-                    out.put(rest[own], x[rest[own]] >> shift & 0xFFFF, np.ones(len(own), np.int64), wide[own])
-        model.learn(x, is1, is2)
-        x1, x2 = x, x1
-    return [(int(n), int(b), w.tobytes()) for n, b, w in zip(size, bits, out.close(), strict=True)]
-
-
-def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+            out.room(320)  # at most five words an id
+        known = np.minimum(x, orders.common) if rare else x
+        model.look(n, x1[:n])
+        right = model.i == x
+        is1, is2 = right
+        hit = is1 | is2
+        unit = out.range[:n] >> 16
+        both = unit * model.both
+        share = unit * np.where(is2, np.where(is1, model.both, model.v[1]), model.v[0])
+        sub = (unit << 16) - both >> TOTAL
+        low = np.where(hit, unit * np.where(is2, 0, model.v[1]), both + sub * orders.start.take(known))
+        out.put(n, out.low[:n] + low, np.where(hit, share, sub * orders.freq.take(known)))
+        if rare and len(own := (~hit & (x >= orders.common)).nonzero()[0]):
+            for bits, at in _digits(orders.bits):
+                out.some(own, x[own] - orders.common >> at & (1 << bits) - 1, bits)
+        model.learn(x, right)
+        x1 = x
+    return [(int(n), orders, w.tobytes()) for n, w in zip(size, out.close(), strict=True)]
+
+
+def decode(blocks: list[tuple[int, Orders, bytes]]) -> np.ndarray:
     """The ids of blocks, one after the other, as unsigned 32-bit integers."""
-    out = []
-    for i in range(0, len(blocks), LANES):
-        some = blocks[i : i + LANES]
+    out, i = [], 0
+    while i < len(blocks):
+        z = next((k for k in range(i, min(i + LANES, len(blocks))) if blocks[k][1] is not blocks[i][1]), min(i + LANES, len(blocks)))
+        some = blocks[i:z]
         order = sorted(range(len(some)), key=lambda k: -some[k][0])  # lanes that go on longest come first
-        got = _decode([some[k] for k in order])
-        back = dict(zip(order, got, strict=True))
+        back = dict(zip(order, _decode([some[k] for k in order], some[0][1]), strict=True))
         out += [back[k] for k in range(len(some))]
+        i = z
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _decode(blocks: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    lanes, size, bits = len(blocks), np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
-    kind = np.int32 if bits.max() <= 28 else np.int64
-    src, model, table, slots = Reader([np.frombuffer(b[2], "<u2") for b in blocks]), _Model(lanes, kind), None, None
-    grid = np.zeros((int(size[0]), lanes), kind)
-    narrow = bits.max() <= 16
-    x1 = x2 = np.zeros(lanes, kind)
+def _decode(blocks: list[tuple[int, Orders, bytes]], orders: Orders) -> list[np.ndarray]:
+    lanes, size = len(blocks), np.array([b[0] for b in blocks])
+    src, model, rare = Reader([np.frombuffer(b[2], "<u2") for b in blocks]), _Model(lanes), len(orders.ids) > orders.common
+    slots = np.repeat(np.arange(len(orders.freq), dtype=np.int32), orders.freq)
+    grid = np.zeros((int(size[0]), lanes), np.int32)
+    x1 = np.zeros(lanes, np.int32)
     for t in range(len(grid)):
-        n = int(np.searchsorted(-size, -t))
-        if t in REFRESH:
-            rows = np.sort(np.ascontiguousarray(grid[:t, :n].T.astype(np.uint16 if narrow else np.uint32)), axis=1, kind="stable")
-            new = np.ones(rows.shape, bool)
-            new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-            at = np.flatnonzero(new)
-            table = _Orders(n, at // t, rows.ravel()[at].astype(np.int64), np.diff(np.r_[at, rows.size]), t)
-            slots = np.repeat(np.arange(len(table.freq), dtype=np.int32), table.freq)
-        model.look(n, x1[:n], x2[:n])
-        unit, place = src.peek(slice(0, n), 16)
-        agree, near = model.i1 == model.i2, place < model.both
-        is2 = near & (agree | (place < model.v2))
+        n = lanes if t < size[-1] else int(np.searchsorted(-size, -t))
+        model.look(n, x1[:n])
+        code, unit = src.code[:n], src.range[:n] >> 16
+        both = unit * model.both
+        near = code < both
+        v2 = unit * model.v[1]
+        sub = (unit << 16) - both >> TOTAL
+        x = slots.take(quotient(np.maximum(code - both, 0), sub, TOTAL))
+        agree = model.i[0] == model.i[1]
+        is2 = near & (agree | (code < v2))
         is1 = near & (agree | ~is2)
-        start = np.where(is2, 0, np.where(is1, model.v2, model.both))
-        freq = np.where(is2, np.where(is1, model.both, model.v2), np.where(is1, model.v1, WHOLE - model.both))
-        src.take(slice(0, n), unit, start, freq)
-        x = np.where(is2, model.i2, model.i1)
-        rest = (~near).nonzero()[0]
-        if table is not None and len(rest):
-            unit, place = src.peek(rest, TOTAL)
-            at = slots[(rest << TOTAL) + place]
-            src.take(rest, unit, table.start[at], table.freq[at])
-            got = table.ids[at]
-            x[rest] = got
-            rest = rest[got < 0]
-        if len(rest):
-            x[rest] = 0
-            for wide, shift in _digits(bits[rest]):
-                own = wide.nonzero()[0]
-                if len(own):
-                    unit, place = src.peek(rest[own], wide[own])
-                    src.take(rest[own], unit, place, np.ones(len(own), np.int64))
-                    x[rest[own]] |= place << shift
-        model.learn(x, is1, is2)
+        low = np.where(near, np.where(is2, 0, v2), both + sub * orders.start.take(x))
+        wide = np.where(near, unit * np.where(is2, np.where(is1, model.both, model.v[1]), model.v[0]), sub * orders.freq.take(x))
+        src.take(n, code - low, wide)
+        x = np.where(near, np.where(is2, model.i[1], model.i[0]), x)
+        if rare and len(own := (~near & (x == orders.common)).nonzero()[0]):
+            for bits, at in _digits(orders.bits):
+                x[own] += (src.some(own, bits) << at).astype(np.int32)
+        model.learn(x, np.stack([is1, is2]))
         grid[t, :n] = x
-        x1, x2 = x, x1
-    rows = grid.T.astype(np.uint32)
+        x1 = x
+    rows = orders.ids[grid.T]
     return [r[:n] for r, n in zip(rows, size.tolist(), strict=True)]

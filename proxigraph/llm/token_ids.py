@@ -1,10 +1,10 @@
 """Token ids as binary files: documents in ascending doc_id order, ids range-coded in blocks.
 
-A file is ``RCIDS001`` and a row of segments. A segment holds whole documents: its magic, the number of
+A file is ``RCIDS002`` and a row of segments. A segment holds whole documents: its magic, the number of
 documents, of ids and of blocks, the lengths of its tables, and a CRC-32 of all that and the tables; a
-zlib table of documents (doc_id, whether it is null, number of ids) and one of blocks (ids, bits, bytes,
-CRC-32 of the payload, CRC-32 of the ids); then the payloads (see ``range_coder``). Numbers are
-little-endian. Every task sorts a range of documents and writes one file; the table of
+zlib table of documents (doc_id, whether it is null, number of ids), one of blocks (ids, bytes,
+CRC-32 of the payload, CRC-32 of the ids) and one of the ids and their frequencies; then the payloads (see
+``range_coder``). Numbers are little-endian. Every task sorts a range of documents and writes one file; the table of
 segments that it returns is written before it is used, so files of repeated tasks are never read.
 """
 
@@ -16,25 +16,30 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxigraph.llm.range_coder import BLOCK, LANES, decode, encode
+from proxigraph.llm.range_coder import BLOCK, LANES, Orders, decode, encode
+from proxigraph.llm.word_table import WordTable
 from proxigraph.plans.session import table
 from proxigraph.plans.shared import fresh_path, materialize
 
 END = 2  # the id that ends a document
-MAGIC, SEGMENT = b"RCIDS001", b"SEGM"
-HEAD = struct.Struct("<4sIQIIII")  # magic, documents, ids, blocks, bytes of the two tables, CRC-32 of them
+MAGIC, SEGMENT = b"RCIDS002", b"SEGM"
+HEAD = struct.Struct("<4sIQIIIII")  # magic, documents, ids, blocks, bytes of the three tables, CRC-32 of them
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
-BLOCKS = np.dtype([("n", "<u4"), ("bits", "u1"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
+BLOCKS = np.dtype([("n", "<u4"), ("size", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that reaches so many
 READERS = 1 << 14  # tasks that read segments, at most; more segments are several a task
-CACHE, LONG = 1 << 18, 32  # words that a worker remembers, characters of those it does not
+CACHE, LONG = 1 << 18, 32  # words remembered for single texts, characters of those that are not
+AT_ONCE = 1 << 20  # bytes of texts that are cut together, at least one text
 
 #: Letters of every version of Unicode. In texts of these, printable ASCII, blanks and line ends the byte-level
 #: pattern's classes are beyond doubt, so Python finds the same words as the tokenizer.
@@ -45,6 +50,7 @@ WORD = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\\s0-9{LETT
 #: The byte-level alphabet: bytes that can be printed stand for themselves, the others for U+0100 and on.
 PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - PRINTED))}
+ALPHABET = np.array([BYTES.get(b, b) for b in range(256)], "<u2")
 
 
 def default_tokenizer() -> str:
@@ -57,8 +63,8 @@ class Encoder:
     """Ids of whole texts as little-endian bytes by the tokenizers library, end id included.
 
     Where the tokenizer cuts texts by the byte-level pattern, the library's model encodes every different word
-    once while it is remembered: of CACHE words those of the last half found, at least.
-    Texts with other characters or an added token go to the library whole, as does every text of another tokenizer."""
+    once while it is remembered: by a ``WordTable`` where many texts come, else of CACHE words those of the last half
+    found, at least. Texts with other characters or an added token go to the library whole, as does every text of another tokenizer."""
 
     def __init__(self, path: str, end: int = END):
         import json
@@ -72,12 +78,20 @@ class Encoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         usual = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.words = bool(usual) and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not spec["model"].get("dropout")
+        self.table: WordTable | None = None
+
+    def _model(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of words, and how many each has."""
+        text = ALPHABET[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-16-le")
+        size = [*map(len, words)]
+        tokens = [self.model.tokenize(text[z - n : z]) for n, z in zip(size, accumulate(size), strict=True)]
+        return [*map(attrgetter("id"), chain.from_iterable(tokens))], [*map(len, tokens)]
 
     def _word(self, word: str) -> bytes:
         """The ids of a word, which is remembered unless it is long."""
         got = self.known.get(word) or self.before.get(word)
         if got is None:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
+            ids, _ = self._model([word.encode()])
             got = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONG:
             if len(self.known) >= CACHE // 2:
@@ -95,6 +109,32 @@ class Encoder:
             out = [word(w) if x is None else x for w, x in zip(words, out, strict=True)]
         return b"".join(out) + self.end
 
+    def many(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text) of texts without nulls, some at a time in their order."""
+        odd = pc.match_substring_regex(texts, OTHER.pattern) if self.words else pa.array([True] * len(texts), pa.bool_())
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        stop = np.cumsum(size)
+        turn = np.r_[np.flatnonzero(odd[1:] != odd[:-1]) + 1, len(odd)]
+        if self.words and self.table is None:
+            self.table = WordTable(self._model, struct.unpack("<I", self.end)[0])
+        i = 0
+        while i < len(odd):
+            z = int(turn[np.searchsorted(turn, i, "right")])
+            z = min(z, max(i + 1, int(np.searchsorted(stop, stop[i] - size[i] + AT_ONCE, "right"))))
+            some = texts.slice(i, z - i)
+            if odd[i]:
+                got = [np.frombuffer(self(t), "<u4") for t in some.to_pylist()]
+                yield np.concatenate(got), np.array([*map(len, got)])
+            else:
+                offsets, data = some.buffers()[1:]
+                first = int(np.frombuffer(offsets, "<i8" if pa.types.is_large_string(some.type) else "<i4")[some.offset])
+                own = np.frombuffer(data, np.uint8)[first : first + int(size[i:z].sum())] if data else np.zeros(0, np.uint8)
+                yield self.table.ids(own, size[i:z])
+            i = z
+
 
 @lru_cache(maxsize=1)
 def _encoder(path: str, end: int) -> Encoder:
@@ -114,11 +154,11 @@ def pack(docs: list[tuple[int | None, int]], ids: np.ndarray) -> bytes:
     own = np.zeros(len(docs), DOCS)
     own["doc_id"], own["null"], own["n"] = [d or 0 for d, _ in docs], [d is None for d, _ in docs], [n for _, n in docs]
     blocks, at = np.zeros(len(coded), BLOCKS), 0
-    for k, (n, bits, payload) in enumerate(coded):
-        blocks[k] = (n, bits, len(payload), zlib.crc32(payload), zlib.crc32(ids[at : at + n].astype("<u4").tobytes()))
+    for k, (n, _, payload) in enumerate(coded):
+        blocks[k] = (n, len(payload), zlib.crc32(payload), zlib.crc32(ids[at : at + n].astype("<u4").tobytes()))
         at += n
-    tables = zlib.compress(own.tobytes(), 6), zlib.compress(blocks.tobytes(), 6)
-    counts = (SEGMENT, len(docs), len(ids), len(coded), len(tables[0]), len(tables[1]))
+    tables = zlib.compress(own.tobytes(), 6), zlib.compress(blocks.tobytes(), 6), coded[0][1].pack() if coded else b""
+    counts = (SEGMENT, len(docs), len(ids), len(coded), *map(len, tables))
     crc = zlib.crc32(b"".join([HEAD.pack(*counts, 0), *tables]))
     return b"".join([HEAD.pack(*counts, crc), *tables, *[b[2] for b in coded]])
 
@@ -127,18 +167,19 @@ def unpack(data: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
     """What ``pack`` got. ValueError where anything is not as written."""
     if len(data) < HEAD.size:
         raise ValueError("the segment is cut short")
-    magic, n_docs, n_ids, n_blocks, a, b, crc = HEAD.unpack_from(data)
-    tables = data[HEAD.size : HEAD.size + a], data[HEAD.size + a : HEAD.size + a + b]
-    if magic != SEGMENT or zlib.crc32(b"".join([HEAD.pack(magic, n_docs, n_ids, n_blocks, a, b, 0), *tables])) != crc:
+    *counts, a, b, c, crc = HEAD.unpack_from(data)
+    places = np.cumsum([HEAD.size, a, b, c]).tolist()
+    tables = [data[p:z] for p, z in pairwise(places)]
+    if counts[0] != SEGMENT or zlib.crc32(b"".join([HEAD.pack(*counts, a, b, c, 0), *tables])) != crc:
         raise ValueError("the segment's tables are damaged")
     own, blocks = np.frombuffer(zlib.decompress(tables[0]), DOCS), np.frombuffer(zlib.decompress(tables[1]), BLOCKS)
-    coded, at = [], HEAD.size + a + b
+    coded, at, orders = [], places[-1], Orders.unpack(tables[2]) if c else None
     for k, x in enumerate(blocks):
         payload = data[at : at + int(x["size"])]
         at += int(x["size"])
         if len(payload) != x["size"] or zlib.crc32(payload) != x["crc"]:
             raise ValueError(f"block {k} is damaged")
-        coded.append((int(x["n"]), int(x["bits"]), payload))
+        coded.append((int(x["n"]), orders, payload))
     ids, at = decode(coded).astype("<u4"), 0
     for k, x in enumerate(blocks):
         if zlib.crc32(ids[at : at + int(x["n"])].tobytes()) != x["ids_crc"]:
@@ -171,7 +212,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, doc_id: st
                 fs.create_dir(root, recursive=True)
                 out, at = fs.open_output_stream(f"{root}/{name}", compression=None), len(MAGIC)
                 out.write(MAGIC)
-            data = pack(own, np.frombuffer(b"".join(held), "<u4"))
+            data = pack(own, np.concatenate(held))
             out.write(data)
             row = pa.RecordBatch.from_pydict(dict(zip(names, ([shard], [name], [at], [len(data)], [before], [n]), strict=True)))
             at, before = at + len(data), before + n
@@ -179,13 +220,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, doc_id: st
             return row
 
         for b in batches:
-            for d, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                ids = encoder(t.as_py())
-                own.append((d, len(ids) // 4))
-                held.append(ids)
-                n += len(ids) // 4
-                if n >= segment_ids:
-                    yield flush()
+            doc_ids, i = b["doc_id"].to_pylist(), 0
+            for ids, size in encoder.many(b["text"]):
+                stop, k = np.cumsum(size), 0
+                while k < len(size):
+                    had = int(stop[k - 1]) if k else 0
+                    z = min(len(size), int(np.searchsorted(stop, had + segment_ids - n)) + 1)
+                    own += zip(doc_ids[i : i + z - k], size[k:z].tolist(), strict=True)
+                    held.append(ids[had : stop[z - 1]])
+                    n, i, k = n + int(stop[z - 1]) - had, i + z - k, z
+                    if n >= segment_ids:
+                        yield flush()
         if own:
             yield flush()
         if out is not None:

@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from proxigraph.llm import range_coder, token_ids
+from proxigraph.llm import range_coder, token_ids, word_table
 
 library = pytest.importorskip("tokenizers")
 D = "/root/testdata/sf0.001"
@@ -46,6 +47,25 @@ def test_blocks_decode_alone_and_in_any_company(monkeypatch):
     assert np.array_equal(range_coder.decode(coded[::-1])[:11], ids[-11:])
 
 
+def test_order_0_is_learnt_once_for_all_blocks():
+    rng = np.random.default_rng(5)
+    p = 1 / np.arange(10, 3010)
+    p /= p.sum()
+    coded = back(ids := rng.choice(3000, 200_000, p=p) * 7)
+    bits = 8 * (sum(len(c[2]) for c in coded) + len(coded[0][1].pack())) / len(ids)
+    assert bits < 1.06 * -(p * np.log2(p)).sum()  # blocks that learn it each: 1.34
+    orders = range_coder.Orders.unpack(coded[0][1].pack())
+    assert np.array_equal(range_coder.decode([(n, orders, c) for n, _, c in coded]), ids)
+
+
+def test_rare_ids_and_full_frequencies():
+    for ids in (np.arange(1 << 16), np.arange(1 << 17) * 30_000, np.r_[np.zeros(200_000), 9], np.r_[np.zeros(200_000), 2**32 - 1, 5, 2**31, np.zeros(70_000)], np.repeat(np.arange(1 << 15), 2)):
+        orders = back(ids.astype(np.int64))[0][1]
+        assert orders.freq.min() > 0 and orders.freq.sum() == 1 << range_coder.TOTAL
+        again = range_coder.Orders.unpack(orders.pack())
+        assert np.array_equal(again.ids, orders.ids) and np.array_equal(again.freq, orders.freq)
+
+
 def test_damage_is_found():
     data = token_ids.pack([(7, 3000), (None, 1)], np.arange(3001) % 50)
     docs, ids = token_ids.unpack(data)
@@ -111,6 +131,42 @@ def test_new_words_skip_the_whole_encoding_and_the_frequent_ones_stay(monkeypatc
     assert b"".join(enc(c)[:-4] for c in every) == np.array([i for c in every for i in tok.encode(c, add_special_tokens=False).ids], "<u4").tobytes()
 
 
+QUOTES = ["'s", "a's", "a''s b", " 's", "\n's", "  's", "'", "a'", "'r", "'re", "x'rex", "'ll'll", "'l l", "'s's", "!'s", "'d\n", "9've", " '\n're", "a \n\t b  ", "\n \n", " ", "  ", "'\n's  'll", "ab'S"]
+
+
+def many(enc, texts, type=pa.string()):  # noqa: B008
+    got = [*enc.many(pa.array(["-", *texts, "-"], type).slice(1, len(texts)))]
+    assert sum(len(n) for _, n in got) == len(texts)
+    ids, n = np.concatenate([x for x, _ in got]), np.concatenate([n for _, n in got])
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_many_texts_give_the_library_s_ids_and_ask_once_for_a_word(monkeypatch):
+    tok, _ = _pair()
+    texts = [*ODD, "", *QUOTES, *[a + b for a in QUOTES for b in QUOTES], "", " " + "long" * 9 + " é日" * 9, ""]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for at_once, kept in ((1, 1 << 10), (40, 12), (1 << 20, 12), (1 << 20, 1 << 10)):
+        monkeypatch.setattr(token_ids, "AT_ONCE", at_once)
+        monkeypatch.setattr(word_table, "KEPT", kept)
+        enc = token_ids.Encoder(token_ids.default_tokenizer())
+        assert many(enc, texts) == many(enc, texts) == want and many(enc, texts, pa.large_string()) == want
+        assert enc.table.words <= kept
+    asked = []
+    monkeypatch.setattr(enc.table, "model", lambda words: asked.extend(words) or enc._model(words))
+    plain = ["once upon upon", "upon a q1 once", " a q1"]
+    assert many(enc, plain * 3) == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in plain] * 3
+    assert len(asked) == len(set(asked))
+    word = __import__("public_tokenizers").path("word_bpe_49k.json")
+    assert many(token_ids.Encoder(word), ODD) == [[*library.Tokenizer.from_file(word).encode(t, add_special_tokens=False).ids, 2] for t in ODD]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\taZ9.,'sreldé日 ٣ß<|>")), min_size=1, max_size=5))
+def test_many_texts_give_the_library_s_ids_for_any_texts(texts):
+    tok, enc = _pair()
+    assert many(enc, texts) == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def _pair(memo=[]):  # noqa: B006
     if not memo:
         path = token_ids.default_tokenizer()
