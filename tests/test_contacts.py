@@ -37,6 +37,6 @@ def test_counts_of_pairs(spark, events, sizes):
     assert rows(pipeline.pair_counts(events)) == rows(pipeline.contacts(events).groupBy("u1", "u2").count())
 
 
-@pytest.mark.parametrize("name", ["meeting_rows", "pairs_canonical"])
+@pytest.mark.parametrize("name", ["meeting_rows", "pairs_canonical", "sessionize_pair"])
 def test_contacts_are_not_shuffled(spark, name):
     assert "Join" not in entry.queries()[name](spark, D)._jdf.queryExecution().toString()
