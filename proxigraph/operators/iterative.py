@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from proxigraph.plans.components import components
 from proxigraph.plans.graph import Graph, co_part, rounded, sql, user_seq, user_sql
+from proxigraph.plans.numbering import numbered
 from proxigraph.plans.shared import drop, materialize
 
-MAX_PAIRS = 50_000_000  # distances between all pairs are only listed up to so many
+LAYER_ROWS = 30_000_000  # rows that a layer of a batch of sources can have at most
 
 
 def connected(g: Graph) -> DataFrame:
@@ -59,32 +60,62 @@ def bfs(g: Graph, source: str) -> DataFrame:
     return levels(g, g.vertices.filter(F.col("id") == source).withColumn("source", F.col("id"))).select("id", "hops")
 
 
-def distances(g: Graph) -> DataFrame:
-    """All pairs with a path; refused where that could be more than MAX_PAIRS."""
-    n = g.vertices.count()
-    if n * n > MAX_PAIRS:
-        raise ValueError(f"all pairs of {n} vertices are too many; use bfs from chosen sources")
-    return levels(g, g.vertices.withColumn("source", F.col("id")))
-
-
-def distance_summary(dist: DataFrame, n: int) -> DataFrame:
-    d = dist.filter("source < id")
-    a = d.agg(F.count("*").alias("pairs"), F.sum("hops").alias("wiener"), F.sum((F.col("hops") + F.col("hops") * F.col("hops")) / 2).cast("long").alias("hyper_wiener"), F.sum(1.0 / F.col("hops")).alias("h"), F.max("hops").alias("diameter"))
+def layer_sizes(g: Graph) -> DataFrame:
+    """(id, hops, n): how many vertices of an undirected graph lie so many hops from each, itself at 0.
+
+    Breadth first from all vertices, 64 of them as the bits of a row: (id, word, bits) are those of a word's sources that
+    reach id at this layer. Distances are symmetric, so bits are counted where they arrive. As many words are
+    searched at once as LAYER_ROWS allows; of the layers only the last two are kept, and counts."""
+    s = materialize(g.both().distinct(), "layer-links")
+    i = F.col("i") - 1
+    v = materialize(numbered(g.vertices.select("id"), [F.col("id")], "i").select("id", F.floor(i / 64).alias("word"), F.expr("shiftleft(1L, cast((i - 1) % 64 as int))").alias("bits")), "layer-sources")
+    n = v.count()
+    most, zero, counted = max(1, LAYER_ROWS // max(1, n)), F.lit(0).cast("long"), []
+    for first in range(0, -(-n // 64), most):
+        now, before, h = materialize(v.filter(F.col("word").between(first, first + most - 1)), "layer"), None, 0
+        held = [(h, now)]
+        while True:
+            offer = now.join(s, F.col("id") == F.col("v")).select(F.col("u").alias("id"), "word", F.col("bits").alias("new"), zero.alias("old"))
+            for table in (now, before):
+                if table is not None:
+                    offer = offer.unionByName(table.select("id", "word", zero.alias("new"), F.col("bits").alias("old")))
+            x = offer.groupBy("id", "word").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+            h, before, now = h + 1, now, materialize(x.select("id", "word", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("bits")).filter("bits <> 0"), "layer")
+            over = now.isEmpty()
+            done = held if over else held[:-1]  # the next round looks at the last one
+            if over or len(done) == 8:
+                sizes = [t.select("id", F.lit(k).alias("hops"), F.bit_count("bits").alias("n")) for k, t in done]
+                counted.append(materialize(reduce(DataFrame.unionByName, sizes).groupBy("id", "hops").agg(F.sum("n").alias("n")), "layer-sizes"))
+                for _, t in done:
+                    drop(t)
+                held = held[len(done) :]
+            if over:
+                drop(now)
+                break
+            held.append((h, now))
+    none = v.select("id", F.lit(0).alias("hops"), zero.alias("n")).limit(0)
+    return reduce(DataFrame.unionByName, counted, none).groupBy("id", "hops").agg(F.sum("n").alias("n"))
+
+
+def distance_summary(sizes: DataFrame, n: int) -> DataFrame:
+    k, h = F.col("pairs"), F.col("hops")
+    a = histogram(sizes).agg(F.coalesce(F.sum(k), F.lit(0)).alias("pairs"), F.sum(h * k).alias("wiener"), F.sum(F.expr("hops * (hops + 1) div 2") * k).alias("hyper_wiener"), F.sum(k / h).alias("h"), F.max(h).alias("diameter"))
     return a.select("pairs", "wiener", "hyper_wiener", rounded("h", "harary"), "diameter", rounded(F.col("wiener") / F.col("pairs"), "avg_path"), rounded(2 * F.col("h") / (n * (n - 1)), "efficiency"))
 
 
-def eccentricity(dist: DataFrame) -> DataFrame:
-    return dist.groupBy("id").agg(F.max("hops").alias("ecc"))
+def eccentricity(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("id").agg(F.max("hops").alias("ecc"))
 
 
-def closeness(dist: DataFrame, n: int) -> DataFrame:
+def closeness(sizes: DataFrame, n: int) -> DataFrame:
     """r^2 / ((n - 1) sum of distances), r the number of vertices reached."""
-    a = dist.groupBy("id").agg((F.count("*") - 1).alias("r"), F.sum("hops").alias("s"))
+    a = sizes.groupBy("id").agg((F.sum("n") - 1).alias("r"), F.sum(F.col("hops") * F.col("n")).alias("s"))
     return a.select("id", rounded(F.when(F.col("s") > 0, F.col("r") * F.col("r") / ((n - 1) * F.col("s"))).otherwise(0.0), "closeness"))
 
 
-def histogram(dist: DataFrame) -> DataFrame:
-    return dist.filter("source < id").groupBy("hops").agg(F.count("*").alias("pairs"))
+def histogram(sizes: DataFrame) -> DataFrame:
+    """(hops, pairs) of different vertices, each pair counted once."""
+    return sizes.filter("hops > 0").groupBy("hops").agg(F.expr("sum(n) div 2").alias("pairs"))
 
 
 def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, exact_rounds: int | None = None) -> DataFrame:
@@ -239,7 +270,7 @@ _ORBITS = ", ".join(["o0 AS MATERIALIZED (SELECT id, sha256(degree::VARCHAR) AS
 def _dist(f):
     def run(s: SparkSession, d: str) -> DataFrame:
         g = user_seq(s, d)
-        return f(materialize(distances(g), "dist"), g.vertices.count())
+        return f(materialize(layer_sizes(g), "dist"), g.vertices.count())
 
     return run
 

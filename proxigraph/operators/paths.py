@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.operators.iterative import histogram, levels
+from proxigraph.operators.iterative import histogram, layer_sizes, levels
 from proxigraph.plans.graph import Graph, co_part, rounded, sql, user_seq, user_sql
 from proxigraph.plans.shared import drop, materialize
 
@@ -119,9 +119,9 @@ def ball_overlap(g: Graph, a: str, b: str, k: int) -> DataFrame:
     return c.agg(rounded(F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)) / F.count("*"), F.lit(1.0)), "overlap"))
 
 
-def distance_percentiles(dist: DataFrame, at: tuple[float, ...] = (0.25, 0.5, 0.9)) -> DataFrame:
+def distance_percentiles(sizes: DataFrame, at: tuple[float, ...] = (0.25, 0.5, 0.9)) -> DataFrame:
     """(p, hops): nearest-rank percentiles of the distances between different vertices, from their histogram."""
-    h = histogram(dist)
+    h = histogram(sizes)
     lower = h.select(F.col("hops").alias("x"), F.col("pairs").alias("n"))
     upto = h.join(F.broadcast(lower), F.col("x") <= F.col("hops")).groupBy("hops").agg(F.sum("n").alias("upto"))  # a row per distance
     total = h.agg(F.sum("pairs").alias("total"))
@@ -218,11 +218,6 @@ _SIGMA = ", ".join(["g0 AS MATERIALIZED (SELECT id AS source, id, 0 AS hops, 1.0
 _LP = ", ".join(["l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"] + [f"l{i + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.label, l.label) AS label FROM l{i} l LEFT JOIN (SELECT v, arg_min(label, (-n, label)) AS label FROM (SELECT s.v, label, count(*) AS n FROM s JOIN l{i} x ON x.id = s.u GROUP BY 1, 2) GROUP BY v) b ON b.v = l.id)" for i in range(5)])
 
 
-def _all(s: SparkSession, d: str) -> DataFrame:
-    g = user_seq(s, d)
-    return materialize(levels(g, g.vertices.select("id", F.col("id").alias("source"))), "dist")
-
-
 QUERIES = {
     "shortest_path_hops": lambda s, d: path_by_hops(user_seq(s, d), A, B),
     "shortest_path_avoiding": lambda s, d: path_by_hops(user_seq(s, d), A, B, ("u2", "u3", "u5")),
@@ -232,7 +227,7 @@ QUERIES = {
     "power_graph": lambda s, d: power(user_seq(s, d), 2),
     "growth_profile": lambda s, d: growth_profile(user_seq(s, d), A),
     "ball_overlap": lambda s, d: ball_overlap(user_seq(s, d), A, B, 1),
-    "distance_percentiles": lambda s, d: distance_percentiles(_all(s, d)),
+    "distance_percentiles": lambda s, d: distance_percentiles(materialize(layer_sizes(user_seq(s, d)), "dist")),
     "betweenness": lambda s, d: brandes(user_seq(s, d))[0].select("id", rounded("betweenness", "betweenness")),
     "betweenness_edges": lambda s, d: brandes(user_seq(s, d))[1].select("src", "dst", rounded("betweenness", "betweenness")),
     "bridges": lambda s, d: bridges(user_seq(s, d, 4)),
