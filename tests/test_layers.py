@@ -48,3 +48,7 @@ def test_closeness_of_many(many):
     n, sizes = many
     got = {x.id: x.closeness for x in it.closeness(sizes, n).collect()}
     assert len(got) == n and got["7"] == 0 and got["a00"] == round(16 / (7204 * 10), 6) and got["a02"] == round(16 / (7204 * 6), 6)
+
+
+def test_histogram_of_many(many):
+    assert sorted(map(tuple, it.histogram(many[1]).collect())) == [(1, 4), (2, 3), (3, 2), (4, 1)]
