@@ -52,3 +52,8 @@ def test_closeness_of_many(many):
 
 def test_histogram_of_many(many):
     assert sorted(map(tuple, it.histogram(many[1]).collect())) == [(1, 4), (2, 3), (3, 2), (4, 1)]
+
+
+def test_eccentricity_of_many(many):
+    got = {x.id: x.ecc for x in it.eccentricity(many[1]).collect()}
+    assert len(got) == many[0] and [got[f"a{i:02}"] for i in range(5)] == [4, 3, 2, 3, 4] and got["7"] == 0
