@@ -57,3 +57,8 @@ def test_histogram_of_many(many):
 def test_eccentricity_of_many(many):
     got = {x.id: x.ecc for x in it.eccentricity(many[1]).collect()}
     assert len(got) == many[0] and [got[f"a{i:02}"] for i in range(5)] == [4, 3, 2, 3, 4] and got["7"] == 0
+
+
+def test_summary_of_many(many):
+    x = it.distance_summary(many[1], many[0]).first()
+    assert (x.pairs, x.wiener, x.hyper_wiener, x.diameter, x.avg_path, x.harary) == (10, 20, 35, 4, 2.0, round(4 + 3 / 2 + 2 / 3 + 1 / 4, 6))
