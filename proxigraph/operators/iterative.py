@@ -246,6 +246,8 @@ def orbits(g: Graph, rounds: int = 3) -> DataFrame:
 
 
 _RR = "rr(id, c) AS (SELECT id, id FROM v UNION SELECT s.u, rr.c FROM rr JOIN s ON s.v = rr.id), comp AS (SELECT id, min(c) AS component FROM rr GROUP BY id)"
+#: To the end, a row for each vertex and source: the first to reach it stays.
+_SEARCH = "b(id, source, hops) USING KEY (id, source) AS (SELECT id, id, 0 FROM v WHERE id IN ({}) UNION SELECT s.u, b.source, min(b.hops) + 1 FROM b JOIN s ON s.v = b.id WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.id = s.u AND r.source = b.source) GROUP BY s.u, b.source)"
 _DIST = "dd(source, id, hops) AS (SELECT id, id, 0 FROM v UNION SELECT source, s.u, hops + 1 FROM dd JOIN s ON s.v = dd.id WHERE hops < 12), dist AS (SELECT source, id, min(hops) AS hops FROM dd GROUP BY source, id)"
 
 
@@ -296,7 +298,7 @@ QUERIES = {
 SQL = {
     "components": sql("SELECT * FROM comp", _RR),
     "community_report": sql("SELECT component, size, coalesce(edges, 0) AS edges, coalesce(weight, 0) AS weight FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) LEFT JOIN (SELECT component, count(*) AS edges, sum(weight) AS weight FROM e JOIN comp ON id = src GROUP BY 1) USING (component)", _RR),
-    "bfs_levels": user_sql("SELECT id, min(h)::INT AS hops FROM b GROUP BY id", "b(id, h) AS (SELECT id, 0 FROM v WHERE id = 'u1' UNION SELECT s.u, h + 1 FROM b JOIN s ON s.v = b.id WHERE h < 12)"),
+    "bfs_levels": user_sql("SELECT id, hops::INT AS hops FROM b", _SEARCH.format("'u1'")),
     "distance_histogram": user_sql("SELECT hops::INT AS hops, count(*) AS pairs FROM dist WHERE source < id GROUP BY 1", _DIST),
     "eccentricity": user_sql("SELECT id, max(hops)::INT AS ecc FROM dist GROUP BY id", _DIST),
     "closeness": user_sql("SELECT id, round(CASE WHEN sum(hops) > 0 THEN (count(*) - 1) * (count(*) - 1) / (((SELECT count(*) FROM v) - 1) * sum(hops)) ELSE 0 END, 6) AS closeness FROM dist GROUP BY id", _DIST),
