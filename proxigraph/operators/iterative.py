@@ -309,6 +309,6 @@ SQL = {
     "core_density_profile": sql("SELECT core, vertices, edges, round(CASE WHEN vertices > 1 THEN 2.0 * edges / (vertices * (vertices - 1)) ELSE 0 END, 6) AS density FROM (SELECT core, sum(n) OVER (ORDER BY core DESC)::BIGINT AS vertices, sum(coalesce(k, 0)) OVER (ORDER BY core DESC)::BIGINT AS edges FROM (SELECT core, count(*) AS n FROM c40 GROUP BY core) LEFT JOIN (SELECT least(x.core, y.core) AS core, count(*) AS k FROM e JOIN c40 x ON x.id = src JOIN c40 y ON y.id = dst GROUP BY 1) USING (core))", _core_sql(40)),
     "ktruss": sql("SELECT DISTINCT src, dst FROM (SELECT unnest([a, a, b]) AS src, unnest([b, c, c]) AS dst FROM tri)", _TRI),
     "symmetry_orbits": sql("SELECT * FROM o3", _ORBITS),
-    "voronoi": user_sql("SELECT id, arg_min(source, hops * 100 + source[2:]::INT) AS seed, min(hops)::INT AS hops FROM dist WHERE source IN ('u1', 'u2', 'u3') GROUP BY id", _DIST),
+    "voronoi": user_sql("SELECT id, arg_min(source, (hops, source)) AS seed, min(hops)::INT AS hops FROM b GROUP BY id", _SEARCH.format("'u1', 'u2', 'u3'")),
     "bipartite_test": sql("SELECT component, bool_and(NOT odd) AS bipartite FROM (SELECT c.component, EXISTS (SELECT 1 FROM par a JOIN par b ON a.id = b.id AND a.p <> b.p AND a.id = c.id) AS odd FROM comp c) GROUP BY component", _RR + ", par(id, p) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT s.u, 1 - par.p FROM par JOIN s ON s.v = par.id)"),
 }
