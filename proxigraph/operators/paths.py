@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxigraph.operators.iterative import histogram, layer_sizes, levels
+from proxigraph.operators.iterative import _SEARCH, histogram, layer_sizes, levels
 from proxigraph.plans.graph import Graph, co_part, rounded, sql, user_seq, user_sql
 from proxigraph.plans.shared import drop, materialize
 
@@ -242,7 +242,7 @@ SQL = {
     "weighted_distances": user_sql("SELECT id, total, parent FROM par", _WPAR),
     "shortest_path_weight": user_sql("SELECT ((SELECT max(k) FROM back) - k)::INT AS step, id, total FROM back JOIN par USING (id)", _WPAR + f", back(id, k) AS (SELECT id, 0 FROM par WHERE id = '{B}' UNION ALL SELECT par.parent, k + 1 FROM back JOIN par ON par.id = back.id WHERE par.parent IS NOT NULL)"),
     "power_graph": user_sql("SELECT source AS src, id AS dst FROM dist WHERE source < id AND hops <= 2", _DIST),
-    "growth_profile": user_sql("SELECT hops, boundary, reached, round(CASE WHEN reached > boundary THEN boundary / (reached - boundary) ELSE 0 END, 6) AS rate FROM (SELECT hops, count(*) AS boundary, sum(count(*)) OVER (ORDER BY hops)::BIGINT AS reached FROM dist WHERE source = 'u1' GROUP BY hops)", _DIST),
+    "growth_profile": user_sql("SELECT hops, boundary, reached, round(CASE WHEN reached > boundary THEN boundary / (reached - boundary) ELSE 0 END, 6) AS rate FROM (SELECT hops, count(*) AS boundary, sum(count(*)) OVER (ORDER BY hops)::BIGINT AS reached FROM b GROUP BY hops)", _SEARCH.format(f"'{A}'")),
     "ball_overlap": user_sql(f"SELECT round(coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) / count(*), 1), 6) AS overlap FROM (SELECT id, count(DISTINCT source) AS n FROM dist WHERE source IN ('{A}', '{B}') AND hops <= 1 GROUP BY id)", _DIST),
     "distance_percentiles": user_sql("SELECT p, min(hops) AS hops FROM (SELECT hops, sum(count(*)) OVER (ORDER BY hops) AS upto, sum(count(*)) OVER () AS total FROM dist WHERE source < id GROUP BY hops), (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS p) WHERE upto >= greatest(1, ceil(p * total)) GROUP BY p", _DIST),
     "betweenness": _BTW,
