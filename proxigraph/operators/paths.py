@@ -211,6 +211,11 @@ def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
 
 A, B = "u1", "u9"
 _DIST = "dd(source, id, hops) AS (SELECT id, id, 0 FROM v UNION SELECT source, s.u, hops + 1 FROM dd JOIN s ON s.v = dd.id WHERE hops < 12), dist AS MATERIALIZED (SELECT source, id, min(hops)::INT AS hops FROM dd GROUP BY source, id)"
+#: Breadth first from all vertices to the end, 64 of them as the bits of a row.
+_LAYERS = """links AS MATERIALIZED (SELECT v, u FROM s), places AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM v),
+w(id, word, hops, fresh, seen) AS (SELECT id, i // 64, 0, 1::UBIGINT << (i % 64)::INT, 1::UBIGINT << (i % 64)::INT FROM places UNION ALL
+ SELECT id, word, hops + 1, bit_or(new) & ~bit_or(old), bit_or(new) | bit_or(old) FROM (SELECT links.u AS id, word, hops, fresh AS new, 0::UBIGINT AS old FROM w JOIN links ON links.v = w.id WHERE fresh <> 0
+ UNION ALL SELECT id, word, hops, 0, seen FROM w WHERE EXISTS (SELECT 1 FROM w WHERE fresh <> 0)) GROUP BY id, word, hops)"""
 _PAR = "par AS MATERIALIZED (SELECT x.id, x.hops, min(y.id) AS parent FROM dist x JOIN s ON s.u = x.id JOIN dist y ON y.source = x.source AND y.id = s.v AND y.hops = x.hops - 1 WHERE x.source = '{a}' GROUP BY 1, 2), back(id, hops) AS (SELECT id, hops FROM dist WHERE source = '{a}' AND id = '{b}' UNION ALL SELECT par.parent, back.hops - 1 FROM back JOIN par ON par.id = back.id)"
 _RELAX = ", ".join(["f0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS total FROM v WHERE id = 'u1')"] + [f"f{i + 1} AS MATERIALIZED (SELECT id, min(total) AS total FROM (SELECT * FROM f{i} UNION ALL SELECT s.u, total + weight FROM f{i} JOIN s ON s.v = f{i}.id) GROUP BY id)" for i in range(40)])
 _WPAR = _RELAX + ", par AS MATERIALIZED (SELECT x.id, x.total, min(y.id) AS parent FROM f40 x LEFT JOIN (s JOIN f40 y ON y.id = s.v) ON s.u = x.id AND y.total + s.weight = x.total AND x.id <> 'u1' GROUP BY 1, 2)"
@@ -244,7 +249,7 @@ SQL = {
     "power_graph": user_sql("SELECT source AS src, id AS dst FROM dist WHERE source < id AND hops <= 2", _DIST),
     "growth_profile": user_sql("SELECT hops, boundary, reached, round(CASE WHEN reached > boundary THEN boundary / (reached - boundary) ELSE 0 END, 6) AS rate FROM (SELECT hops, count(*) AS boundary, sum(count(*)) OVER (ORDER BY hops)::BIGINT AS reached FROM b GROUP BY hops)", _SEARCH.format(f"'{A}'")),
     "ball_overlap": user_sql(f"SELECT round(coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) / count(*), 1), 6) AS overlap FROM (SELECT id, count(DISTINCT source) AS n FROM dist WHERE source IN ('{A}', '{B}') AND hops <= 1 GROUP BY id)", _DIST),
-    "distance_percentiles": user_sql("SELECT p, min(hops) AS hops FROM (SELECT hops, sum(count(*)) OVER (ORDER BY hops) AS upto, sum(count(*)) OVER () AS total FROM dist WHERE source < id GROUP BY hops), (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS p) WHERE upto >= greatest(1, ceil(p * total)) GROUP BY p", _DIST),
+    "distance_percentiles": user_sql("SELECT p, min(hops)::INT AS hops FROM (SELECT hops, sum(sum(bit_count(fresh))) OVER (ORDER BY hops) / 2 AS upto, sum(sum(bit_count(fresh))) OVER () / 2 AS total FROM w WHERE hops > 0 GROUP BY hops), (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS p) WHERE upto >= greatest(1, ceil(p * total)) GROUP BY p", _LAYERS),
     "betweenness": _BTW,
     "betweenness_edges": user_sql("SELECT e.src, e.dst, round(coalesce(b, 0), 6) AS betweenness FROM e LEFT JOIN (SELECT least(s.v, s.u) AS src, greatest(s.v, s.u) AS dst, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM s JOIN sg x ON x.id = s.v JOIN sg y ON y.source = s.u JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + 1 + y.hops GROUP BY 1, 2) q ON q.src = e.src AND q.dst = e.dst", _DIST + ", " + _SIGMA),
     "bridges": user_sql("SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.a = e.src AND cut.b = e.dst AND cut.id = e.dst)", "cut(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cut.a, cut.b, s.u FROM cut JOIN s ON s.v = cut.id AND NOT (s.v = cut.a AND s.u = cut.b) AND NOT (s.v = cut.b AND s.u = cut.a))").replace("count(*) >= 2", "count(*) >= 4"),
