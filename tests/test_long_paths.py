@@ -16,7 +16,7 @@ def line(spark, folder, n):
     return str(folder)
 
 
-@pytest.mark.parametrize("name, n", [("bfs_levels", 18), ("voronoi", 18), ("growth_profile", 18), ("distance_percentiles", 20)])
+@pytest.mark.parametrize("name, n", [("bfs_levels", 18), ("voronoi", 18), ("growth_profile", 18), ("distance_percentiles", 20), ("sample_snowball", 60)])
 def test_more_than_twelve_hops(spark, tmp_path, name, n):
     d = line(spark, tmp_path, n)
     duck = duckdb.connect()
