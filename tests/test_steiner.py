@@ -44,3 +44,10 @@ def test_weight_is_at_most_twice_the_least(spark):
     with pytest.raises(ValueError):
         steiner.steiner_tree(g, spark.createDataFrame([("nobody",)], "id string"))
     assert steiner.steiner_tree(g, spark.createDataFrame([("v00",)], "id string")).count() == 0
+
+
+def test_terminals_in_parts_get_a_tree_each(spark, monkeypatch):
+    g = graph(spark, [("u1", "b", 1.0), ("b", "u3", 1.0), ("u1", "u3", 5.0), ("u5", "x", 2.0), ("x", "u7", 2.0), ("x", "y", 1.0)], ["u9"])
+    monkeypatch.setattr(steiner, "user_seq", lambda s, d: g)
+    got = {tuple(r) for r in steiner.QUERIES["steiner_tree"](spark, "").collect()}
+    assert got == {("b", "u1", 1.0), ("b", "u3", 1.0), ("u5", "x", 2.0), ("u7", "x", 2.0)}
