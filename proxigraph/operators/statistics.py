@@ -31,7 +31,7 @@ def degree_stats(g: Graph) -> DataFrame:
     pct = F.percentile("degree", [p / 100 for p in PERCENTILES])
     a = d.agg(F.count("*").alias("n"), F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.avg(x).alias("mean"), F.sum(x * x).alias("s2"), F.sum(x * x * x).alias("s3"), F.sum(x * x * x * x).alias("s4"), pct.alias("p"))
     mode = d.groupBy("degree").agg(F.count("*").alias("c")).agg(F.max(F.struct("c", -F.col("degree"))).alias("x")).select((-F.col("x.col2")).alias("mode"))
-    n, mu = F.col("n"), F.col("mean")
+    n, mu = F.col("n").cast("double"), F.col("mean")  # powers of n leave the range of longs at 2.1 M vertices
     m2 = F.col("s2") - n * mu * mu
     m3 = F.col("s3") - 3 * mu * F.col("s2") + 2 * n * mu * mu * mu
     m4 = F.col("s4") - 4 * mu * F.col("s3") + 6 * mu * mu * F.col("s2") - 3 * n * mu * mu * mu * mu
