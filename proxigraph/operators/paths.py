@@ -219,6 +219,20 @@ w(id, word, hops, fresh, seen) AS (SELECT id, i // 64, 0, 1::UBIGINT << (i % 64)
 _PAR = "par AS MATERIALIZED (SELECT x.id, x.hops, min(y.id) AS parent FROM dist x JOIN s ON s.u = x.id JOIN dist y ON y.source = x.source AND y.id = s.v AND y.hops = x.hops - 1 WHERE x.source = '{a}' GROUP BY 1, 2), back(id, hops) AS (SELECT id, hops FROM dist WHERE source = '{a}' AND id = '{b}' UNION ALL SELECT par.parent, back.hops - 1 FROM back JOIN par ON par.id = back.id)"
 _RELAX = ", ".join(["f0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS total FROM v WHERE id = 'u1')"] + [f"f{i + 1} AS MATERIALIZED (SELECT id, min(total) AS total FROM (SELECT * FROM f{i} UNION ALL SELECT s.u, total + weight FROM f{i} JOIN s ON s.v = f{i}.id) GROUP BY id)" for i in range(40)])
 _WPAR = _RELAX + ", par AS MATERIALIZED (SELECT x.id, x.total, min(y.id) AS parent FROM f40 x LEFT JOIN (s JOIN f40 y ON y.id = s.v) ON s.u = x.id AND y.total + s.weight = x.total AND x.id <> 'u1' GROUP BY 1, 2)"
+#: Brandes from all vertices at once, to the end: forth counts shortest paths layer by layer and carries the layer before (old) along;
+#: dep has each vertex's dependency by source, from the last layer back.
+_BRANDES = """places AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id)::INT AS i FROM v),
+links AS MATERIALIZED (SELECT a.i AS v, b.i AS u FROM s JOIN places a ON a.id = s.v JOIN places b ON b.id = s.u),
+forth(source, i, hops, sigma, old) AS (SELECT i, i, 0, 1.0::DOUBLE, false FROM places UNION ALL
+ SELECT source, i, min(hops), sum(sigma), max(age) = 1 FROM (SELECT f.source, links.u AS i, f.hops + 1 AS hops, f.sigma, 0 AS age FROM forth f JOIN links ON links.v = f.i WHERE NOT f.old
+ UNION ALL SELECT source, i, hops, sigma, CASE WHEN old THEN 2 ELSE 1 END FROM forth) GROUP BY source, i HAVING max(age) < 2),
+ahead AS MATERIALIZED (SELECT source, i, hops, sigma FROM forth WHERE NOT old),
+back(source, i, hops, sigma, delta) AS (SELECT source, i, hops, sigma, 0.0::DOUBLE FROM ahead WHERE hops = (SELECT max(hops) FROM ahead) UNION ALL
+ SELECT a.source, a.i, a.hops, a.sigma, a.sigma * coalesce(x.share, 0) FROM ahead a LEFT JOIN (SELECT w.source, links.v AS i, sum((1 + w.delta) / w.sigma) AS share FROM back w JOIN links ON links.u = w.i GROUP BY w.source, links.v) x
+ ON x.source = a.source AND x.i = a.i WHERE a.hops = (SELECT max(hops) - 1 FROM back)),
+dep AS MATERIALIZED (SELECT * FROM back)"""
+_EDGE_DEP = """flow AS MATERIALIZED (SELECT least(x.i, y.i) AS i, greatest(x.i, y.i) AS j, sum(x.sigma * (1 + y.delta) / y.sigma) / 2 AS b FROM dep x JOIN links ON links.v = x.i JOIN dep y ON y.source = x.source AND y.i = links.u AND y.hops = x.hops + 1 GROUP BY 1, 2),
+eflow AS MATERIALIZED (SELECT a.id AS src, c.id AS dst, b FROM flow JOIN places a ON a.i = flow.i JOIN places c ON c.i = flow.j)"""
 _SIGMA = ", ".join(["g0 AS MATERIALIZED (SELECT id AS source, id, 0 AS hops, 1.0::DOUBLE AS sigma FROM v)"] + [f"g{i + 1} AS MATERIALIZED (SELECT a.source, s.u AS id, {i + 1} AS hops, sum(a.sigma) AS sigma FROM g{i} a JOIN s ON s.v = a.id JOIN dist ON dist.source = a.source AND dist.id = s.u AND dist.hops = {i + 1} GROUP BY 1, 2)" for i in range(12)]) + ", sg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(13)) + ")"
 _LP = ", ".join(["l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"] + [f"l{i + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.label, l.label) AS label FROM l{i} l LEFT JOIN (SELECT v, arg_min(label, (-n, label)) AS label FROM (SELECT s.v, label, count(*) AS n FROM s JOIN l{i} x ON x.id = s.u GROUP BY 1, 2) GROUP BY v) b ON b.v = l.id)" for i in range(5)])
 
@@ -251,7 +265,7 @@ SQL = {
     "ball_overlap": user_sql(f"SELECT round(coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) / count(*), 1), 6) AS overlap FROM (SELECT id, count(DISTINCT source) AS n FROM dist WHERE source IN ('{A}', '{B}') AND hops <= 1 GROUP BY id)", _DIST),
     "distance_percentiles": user_sql("SELECT p, min(hops)::INT AS hops FROM (SELECT hops, sum(sum(bit_count(fresh))) OVER (ORDER BY hops) / 2 AS upto, sum(sum(bit_count(fresh))) OVER () / 2 AS total FROM w WHERE hops > 0 GROUP BY hops), (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS p) WHERE upto >= greatest(1, ceil(p * total)) GROUP BY p", _LAYERS),
     "betweenness": _BTW,
-    "betweenness_edges": user_sql("SELECT e.src, e.dst, round(coalesce(b, 0), 6) AS betweenness FROM e LEFT JOIN (SELECT least(s.v, s.u) AS src, greatest(s.v, s.u) AS dst, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM s JOIN sg x ON x.id = s.v JOIN sg y ON y.source = s.u JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + 1 + y.hops GROUP BY 1, 2) q ON q.src = e.src AND q.dst = e.dst", _DIST + ", " + _SIGMA),
+    "betweenness_edges": user_sql("SELECT e.src, e.dst, round(coalesce(b, 0), 6) AS betweenness FROM e LEFT JOIN eflow q ON q.src = e.src AND q.dst = e.dst", _BRANDES + ", " + _EDGE_DEP),
     "bridges": user_sql("SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.a = e.src AND cut.b = e.dst AND cut.id = e.dst)", "cut(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cut.a, cut.b, s.u FROM cut JOIN s ON s.v = cut.id AND NOT (s.v = cut.a AND s.u = cut.b) AND NOT (s.v = cut.b AND s.u = cut.a))").replace("count(*) >= 2", "count(*) >= 4"),
     "label_propagation": sql("SELECT * FROM l5", _LP),
 }

@@ -26,3 +26,19 @@ def test_more_than_twelve_hops(spark, tmp_path, name, n):
     want = sorted(tuple(one(dict(zip(rel.columns, r))[c]) for c in cols) for r in rel.fetchall())
     got = entry.queries()[name](spark, d)
     assert sorted(got.columns) == cols and sorted(tuple(one(r[c]) for c in cols) for r in got.collect()) == want
+
+
+def of_line(spark, folder, name, n):
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from read_parquet('{line(spark, folder, n)}/events.parquet/*.parquet')")
+    rel = duck.sql(entry.oracle_sql()[name])
+    return [dict(zip(rel.columns, r)) for r in rel.fetchall()]
+
+
+def place(r):
+    return min(int(r["src"][1:]), int(r["dst"][1:]))
+
+
+def test_sql_of_betweenness_edges(spark, tmp_path):
+    got = of_line(spark, tmp_path, "betweenness_edges", 30)
+    assert {place(r): r["betweenness"] for r in got} == {i: (i + 1) * (29 - i) for i in range(29)}
