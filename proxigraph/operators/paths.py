@@ -252,7 +252,7 @@ QUERIES = {
     "bridges": lambda s, d: bridges(user_seq(s, d, 4)),
     "label_propagation": lambda s, d: label_propagation(co_part(s, d)),
 }
-_BTW = user_sql("SELECT v.id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN (SELECT x.id, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM sg x JOIN sg y ON y.source = x.id JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + y.hops WHERE x.hops > 0 AND y.hops > 0 GROUP BY x.id) q ON q.id = v.id", _DIST + ", " + _SIGMA)
+_BTW = user_sql("SELECT v.id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN (SELECT places.id, sum(delta) / 2 AS b FROM dep JOIN places USING (i) WHERE hops > 0 GROUP BY places.id) q ON q.id = v.id", _BRANDES)
 _path = lambda a, b: _PAR.replace("{a}", a).replace("{b}", b)
 SQL = {
     "shortest_path_hops": user_sql("SELECT hops AS step, id FROM back", _DIST + ", " + _path(A, B)),

@@ -42,3 +42,8 @@ def place(r):
 def test_sql_of_betweenness_edges(spark, tmp_path):
     got = of_line(spark, tmp_path, "betweenness_edges", 30)
     assert {place(r): r["betweenness"] for r in got} == {i: (i + 1) * (29 - i) for i in range(29)}
+
+
+def test_sql_of_betweenness(spark, tmp_path):
+    got = of_line(spark, tmp_path, "betweenness", 30)
+    assert {r["id"]: r["betweenness"] for r in got} == {f"u{i}": i * (29 - i) for i in range(30)}
