@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxigraph.operators.iterative import _SEARCH, connected, levels, spanning_forest
-from proxigraph.operators.paths import _DIST, _SIGMA, brandes, bridges
+from proxigraph.operators.paths import _BRANDES, _EDGE_DEP, brandes, bridges
 from proxigraph.operators.subgraph import sparsify_threshold
 from proxigraph.plans.graph import Graph, rounded, user_seq, user_sql
 from proxigraph.plans.numbering import numbered
@@ -93,8 +93,8 @@ _X = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 _PICK = "pick AS (SELECT id FROM v ORDER BY " + _X.format("id || '|7'") + ", id LIMIT ceil((SELECT count(*) FROM v) * 0.4)::INT)"
 _NEAR = _SEARCH.format("'u1', 'u4'") + ", pick AS (SELECT id FROM (SELECT id, min(hops) AS h FROM b GROUP BY id) ORDER BY h, id LIMIT ceil((SELECT count(*) FROM v) * 0.3)::INT)"
 _CUT = "cut(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cut.a, cut.b, s.u FROM cut JOIN e ON e.src = cut.a AND e.dst = cut.b JOIN s ON s.v = cut.id AND (s.weight, least(s.v, s.u), greatest(s.v, s.u)) < (e.weight, e.src, e.dst)), tree AS (SELECT src, dst, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM cut WHERE a = src AND b = dst AND id = dst))"
-_IMPORTANCE = _DIST + ", " + _SIGMA + """, cuts(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cuts.a, cuts.b, s.u FROM cuts JOIN s ON s.v = cuts.id AND NOT (s.v = cuts.a AND s.u = cuts.b) AND NOT (s.v = cuts.b AND s.u = cuts.a)),
-eb AS MATERIALIZED (SELECT e.src, e.dst, coalesce(b, 0) AS b, (NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.a = e.src AND cuts.b = e.dst AND cuts.id = e.dst))::INT AS bridge FROM e LEFT JOIN (SELECT least(s.v, s.u) AS src, greatest(s.v, s.u) AS dst, sum(x.sigma * y.sigma / t.sigma) / 2 AS b FROM s JOIN sg x ON x.id = s.v JOIN sg y ON y.source = s.u JOIN sg t ON t.source = x.source AND t.id = y.id AND t.hops = x.hops + 1 + y.hops GROUP BY 1, 2) q ON q.src = e.src AND q.dst = e.dst),
+_IMPORTANCE = _BRANDES + ", " + _EDGE_DEP + """, cuts(a, b, id) AS (SELECT src, dst, src FROM e UNION SELECT cuts.a, cuts.b, s.u FROM cuts JOIN s ON s.v = cuts.id AND NOT (s.v = cuts.a AND s.u = cuts.b) AND NOT (s.v = cuts.b AND s.u = cuts.a)),
+eb AS MATERIALIZED (SELECT e.src, e.dst, coalesce(b, 0) AS b, (NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.a = e.src AND cuts.b = e.dst AND cuts.id = e.dst))::INT AS bridge FROM e LEFT JOIN eflow q ON q.src = e.src AND q.dst = e.dst),
 dg AS (SELECT v AS id, count(*) AS d FROM s GROUP BY v),
 imp AS (SELECT src, dst, round(least(1.0, 0.5 * bridge + 0.3 * CASE WHEN (SELECT max(b) FROM eb) > 0 THEN b / (SELECT max(b) FROM eb) ELSE 0 END + 0.2 * (1 - (x.d + y.d) / 2 / (SELECT max(d) FROM dg))), 6) AS importance FROM eb JOIN dg x ON x.id = src JOIN dg y ON y.id = dst)"""
 _INSIDE = "SELECT src, dst, weight FROM e WHERE src IN (SELECT id FROM pick) AND dst IN (SELECT id FROM pick)"

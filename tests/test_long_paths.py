@@ -47,3 +47,13 @@ def test_sql_of_betweenness_edges(spark, tmp_path):
 def test_sql_of_betweenness(spark, tmp_path):
     got = of_line(spark, tmp_path, "betweenness", 30)
     assert {r["id"]: r["betweenness"] for r in got} == {f"u{i}": i * (29 - i) for i in range(30)}
+
+
+def weight(i):
+    """Importance of the i-th edge of a line of 30: a bridge, by betweenness, by degrees."""
+    return round(0.5 + 0.3 * (i + 1) * (29 - i) / 225 + 0.2 * (0.25 if i in (0, 28) else 0), 6)
+
+
+def test_sql_of_edge_importance(spark, tmp_path):
+    got = of_line(spark, tmp_path, "edge_importance", 30)
+    assert {place(r): r["importance"] for r in got} == pytest.approx({i: weight(i) for i in range(29)}, abs=1.5e-6)
