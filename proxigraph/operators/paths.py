@@ -233,7 +233,6 @@ back(source, i, hops, sigma, delta) AS (SELECT source, i, hops, sigma, 0.0::DOUB
 dep AS MATERIALIZED (SELECT * FROM back)"""
 _EDGE_DEP = """flow AS MATERIALIZED (SELECT least(x.i, y.i) AS i, greatest(x.i, y.i) AS j, sum(x.sigma * (1 + y.delta) / y.sigma) / 2 AS b FROM dep x JOIN links ON links.v = x.i JOIN dep y ON y.source = x.source AND y.i = links.u AND y.hops = x.hops + 1 GROUP BY 1, 2),
 eflow AS MATERIALIZED (SELECT a.id AS src, c.id AS dst, b FROM flow JOIN places a ON a.i = flow.i JOIN places c ON c.i = flow.j)"""
-_SIGMA = ", ".join(["g0 AS MATERIALIZED (SELECT id AS source, id, 0 AS hops, 1.0::DOUBLE AS sigma FROM v)"] + [f"g{i + 1} AS MATERIALIZED (SELECT a.source, s.u AS id, {i + 1} AS hops, sum(a.sigma) AS sigma FROM g{i} a JOIN s ON s.v = a.id JOIN dist ON dist.source = a.source AND dist.id = s.u AND dist.hops = {i + 1} GROUP BY 1, 2)" for i in range(12)]) + ", sg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(13)) + ")"
 _LP = ", ".join(["l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"] + [f"l{i + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.label, l.label) AS label FROM l{i} l LEFT JOIN (SELECT v, arg_min(label, (-n, label)) AS label FROM (SELECT s.v, label, count(*) AS n FROM s JOIN l{i} x ON x.id = s.u GROUP BY 1, 2) GROUP BY v) b ON b.v = l.id)" for i in range(5)])
 
 

@@ -57,3 +57,7 @@ def weight(i):
 def test_sql_of_edge_importance(spark, tmp_path):
     got = of_line(spark, tmp_path, "edge_importance", 30)
     assert {place(r): r["importance"] for r in got} == pytest.approx({i: weight(i) for i in range(29)}, abs=1.5e-6)
+
+
+def test_sql_of_sparsify_importance(spark, tmp_path):
+    assert sorted(map(place, of_line(spark, tmp_path, "sparsify_importance", 60))) == list(range(17, 41))
