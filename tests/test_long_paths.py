@@ -1,6 +1,7 @@
 """Queries against their SQL on users that follow each other in one long line."""
 
 import datetime as dt
+import math
 
 import duckdb
 import pytest
@@ -61,3 +62,7 @@ def test_sql_of_edge_importance(spark, tmp_path):
 
 def test_sql_of_sparsify_importance(spark, tmp_path):
     assert sorted(map(place, of_line(spark, tmp_path, "sparsify_importance", 60))) == list(range(17, 41))
+
+
+def test_sql_of_spectral_radius(spark, tmp_path):
+    assert of_line(spark, tmp_path, "spectral_radius", 14) == [{"radius": round(2 * math.cos(math.pi / 15), 5)}]
