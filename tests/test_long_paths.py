@@ -66,3 +66,8 @@ def test_sql_of_sparsify_importance(spark, tmp_path):
 
 def test_sql_of_spectral_radius(spark, tmp_path):
     assert of_line(spark, tmp_path, "spectral_radius", 14) == [{"radius": round(2 * math.cos(math.pi / 15), 5)}]
+
+
+def test_sql_of_eigenvector_centrality(spark, tmp_path):
+    got = {r["id"]: r["centrality"] for r in of_line(spark, tmp_path, "eigenvector_centrality", 15)}
+    assert got == pytest.approx({f"u{i}": math.sin(math.pi * (i + 1) / 16) for i in range(15)}, abs=1.5e-5)
